@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 BLOCK = 1 << 20
 U = np.uint64
 

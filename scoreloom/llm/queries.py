@@ -5,17 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import simhash
+from scoreloom.llm import decontaminate, linedup, simhash
 from scoreloom.llm.common import table
 
 
+def op1_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Words as the contract has them, and distinct 5-word shingles of each row, the whole sequence for 1 to 4 words.
+_SHINGLES = r"""
+  SELECT DISTINCT id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS s
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i
+        FROM (SELECT {id} AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {table})
+        WHERE len(w) > 0)
+"""
+
+OP1_SQL = f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+     q AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+     n AS (SELECT id, count(*) AS n FROM q GROUP BY id)
+SELECT d.id AS doc_id, q.id AS item_id, count(*) AS n_shared, any_value(n.n) AS n_item
+FROM d JOIN q USING (s) JOIN n ON n.id = q.id
+GROUP BY d.id, q.id HAVING 5 * count(*) >= 4 * any_value(n.n)
+"""
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return labels.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linedup.drop_repeated_lines(table(spark, sf_dir, "documents"), count_col="n_removed")
+    return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
+    "op1_containment": op1_containment,
+    "op8_patience_lines": op8_patience_lines,
     "op4_simhash_golay": op4_simhash_golay,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_containment": OP1_SQL,
+}
