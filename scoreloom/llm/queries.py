@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, linedup, simhash
+from scoreloom.llm import decontaminate, linedup, simhash, toxicity
 from scoreloom.llm.common import table
 
 
@@ -41,9 +41,14 @@ def op8_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_containment": op1_containment,
     "op8_patience_lines": op8_patience_lines,
+    "op10_kneser_ney": op10_kneser_ney,
     "op4_simhash_golay": op4_simhash_golay,
 }
 
