@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, linedup, simhash, toxicity
+from scoreloom.llm import decontaminate, linedup, mixing, simhash, toxicity
 from scoreloom.llm.common import table
 
 
@@ -31,6 +31,12 @@ GROUP BY d.id, q.id HAVING 5 * count(*) >= 4 * any_value(n.n)
 """
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rates = mixing.document_rates(docs, mixing.labelled_domains(docs, table(spark, sf_dir, "labels")), mixing.TARGETS)
+    return rates.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.round("rate", 6).alias("rate"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return labels.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,6 +55,7 @@ QUERIES = {
     "op1_containment": op1_containment,
     "op8_patience_lines": op8_patience_lines,
     "op10_kneser_ney": op10_kneser_ney,
+    "op3_soft_mixing": op3_soft_mixing,
     "op4_simhash_golay": op4_simhash_golay,
 }
 
