@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, linedup, mixing, simhash, toxicity
+from scoreloom.llm import decontaminate, linedup, mixing, quality, simhash, toxicity
 from scoreloom.llm.common import table
 
 
@@ -42,6 +42,39 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+_STOPS = ", ".join(f"'{x}'" for x in quality.STOP_FORMS)
+_MEASURES = {
+    "n_words": "n_words",
+    "mean_word_chars": "word_chars / greatest(n_words, 1)",
+    "symbol_word_ratio": "n_symbols / greatest(n_words, 1)",
+    "mark_word_ratio": "len(regexp_extract_all(t, '[!?#*$%&|<>]')) / greatest(n_words, 1)",
+    "capital_ratio": r"len(regexp_extract_all(t, '\p{Lu}')) / greatest(word_chars, 1)",
+    "n_stop_words": "len(list_intersect(list_distinct(w), stops))",
+    "stop_word_ratio": "len(list_filter(w, lambda x: list_contains(stops, x))) / greatest(n_words, 1)",
+    "dup_line_ratio": "n_dup_lines / greatest(len(l), 1)",
+    "repeat_word_ratio": "n_repeat_words / greatest(n_words, 1)",
+}
+_RULES = " AND ".join(f"{_MEASURES[m]} {op} {v}" for m, low, high in quality.THRESHOLDS for op, v in ((">=", low), ("<=", high)) if v is not None)
+
+OP5_SQL = rf"""
+WITH a AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, [{_STOPS}] AS stops FROM documents),
+     b AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM a),
+     s AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+     m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM s) WHERE n > 1),
+     c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM m) GROUP BY r),
+     d AS (SELECT b.*, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+                  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM b LEFT JOIN c USING (r)),
+     e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_RULES} AS kept FROM e
+"""
+
+
 def op8_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linedup.drop_repeated_lines(table(spark, sf_dir, "documents"), count_col="n_removed")
     return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
@@ -53,6 +86,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_containment": op1_containment,
+    "op5_quality_rules": op5_quality_rules,
     "op8_patience_lines": op8_patience_lines,
     "op10_kneser_ney": op10_kneser_ney,
     "op3_soft_mixing": op3_soft_mixing,
@@ -61,4 +95,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_containment": OP1_SQL,
+    "op5_quality_rules": OP5_SQL,
 }
