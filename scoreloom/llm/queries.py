@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, linedup, mixing, quality, simhash, toxicity
+from scoreloom.llm import decontaminate, licenses, linedup, mixing, preferences, quality, secrets, simhash, tokens, toxicity
 from scoreloom.llm.common import table
 
 
@@ -31,6 +31,32 @@ GROUP BY d.id, q.id HAVING 5 * count(*) >= 4 * any_value(n.n)
 """
 
 
+def _span_list(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+
+
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preferences.format_pairs(preferences.reply_pairs(table(spark, sf_dir, "conversations")))
+    digests = [F.md5(c).alias(f"{c}_md5") for c in ("prompt", "chosen", "rejected")]
+    return out.select("pair_id", "n_prompt_turns", *digests, _span_list("chosen_spans").alias("chosen_spans"), _span_list("rejected_spans").alias("rejected_spans"))
+
+
+OP2_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+     l AS (SELECT conv_id, max(k) AS k FROM n WHERE role = 'assistant' GROUP BY conv_id),
+     r AS (SELECT n.conv_id, n.k, n.text FROM n JOIN l USING (conv_id, k)),
+     p AS (SELECT a.conv_id, a.k, a.text AS reply, b.text AS other FROM r a JOIN r b ON b.conv_id = xor(a.conv_id, 1) WHERE a.text <> b.text),
+     q AS (SELECT p.conv_id, string_agg('<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10), '' ORDER BY n.k) AS prompt
+           FROM p JOIN n ON n.conv_id = p.conv_id AND n.k < p.k GROUP BY p.conv_id)
+SELECT p.conv_id AS pair_id, p.k - 1 AS n_prompt_turns, md5(coalesce(q.prompt, '')) AS prompt_md5,
+       md5('<|assistant|>' || chr(10) || reply || '<|end|>' || chr(10)) AS chosen_md5,
+       md5('<|assistant|>' || chr(10) || other || '<|end|>' || chr(10)) AS rejected_md5,
+       '14:' || (22 + length(reply)) AS chosen_spans, '14:' || (22 + length(other)) AS rejected_spans
+FROM p LEFT JOIN q USING (conv_id)
+"""
+
+
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rates = mixing.document_rates(docs, mixing.labelled_domains(docs, table(spark, sf_dir, "labels")), mixing.TARGETS)
@@ -75,11 +101,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["nr"] < len(secrets.KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k, *_ in secrets.KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), "n_live", "n_example")
+
+
+def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licences(table(spark, sf_dir, "documents"))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["family"]))), ",")
+    spans = F.array_join(F.transform("notices", lambda x: F.concat_ws(":", x["family"], x["start"], x["end"])), ",")
+    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), families.alias("families"), spans.alias("spans"))
+
+
 def op8_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linedup.drop_repeated_lines(table(spark, sf_dir, "documents"), count_col="n_removed")
     return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.load_pieces())
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -87,13 +131,18 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_containment": op1_containment,
     "op5_quality_rules": op5_quality_rules,
+    "op6_secret_ownership": op6_secret_ownership,
+    "op7_license_paragraphs": op7_license_paragraphs,
     "op8_patience_lines": op8_patience_lines,
+    "op9_unigram_counts": op9_unigram_counts,
     "op10_kneser_ney": op10_kneser_ney,
+    "op2_preference_pairs": op2_preference_pairs,
     "op3_soft_mixing": op3_soft_mixing,
     "op4_simhash_golay": op4_simhash_golay,
 }
 
 ORACLES: dict[str, str] = {
     "op1_containment": OP1_SQL,
+    "op2_preference_pairs": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
 }
