@@ -108,6 +108,36 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k, *_ in secrets.KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), "n_live", "n_example")
 
 
+def _secret_spans_sql() -> str:
+    """Spans of all kinds: a hit starts after the parts before it and the hits before it."""
+    kinds = [(k, p, n) for k, p, n in secrets.KINDS] + [(k, p, 1) for k, p in secrets.MORE_KINDS]
+    parts = []
+    for nr, (kind, pattern, least) in enumerate(kinds):
+        p = pattern.replace("'", "''")
+        value = "regexp_replace(hits[i], '" + secrets._KEY.replace("'", "''") + "', '')" if kind == "assign" else "hits[i]"
+        parts.append(
+            f"SELECT r, {nr} AS nr, '{kind}' AS kind, {value} AS value, {least} AS least, length(hits[i]) AS size,"
+            f" list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS start"
+            f" FROM (SELECT r, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{p}') AS hits, regexp_split_to_array(t, '{p}') AS gaps FROM a))"
+        )
+    return " UNION ALL ".join(parts)
+
+
+OP6_SQL = f"""
+WITH a AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+     s AS (SELECT r, nr, kind, value, start::BIGINT AS b, (start + size)::BIGINT AS e FROM ({_secret_spans_sql()}) WHERE length(value) >= least),
+     o AS (SELECT value, count(DISTINCT owner) AS n FROM s JOIN a USING (r) GROUP BY value),
+     g AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+                  coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, nr) FILTER (WHERE nr < {len(secrets.KINDS)}), '') AS base,
+                  string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, nr) AS spans,
+                  count(*) FILTER (WHERE n < {secrets.WIDE_OWNERS}) AS n_live, count(*) FILTER (WHERE n >= {secrets.WIDE_OWNERS}) AS n_example
+           FROM s JOIN o USING (value) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM a LEFT JOIN g USING (r)
+"""
+
+
 def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licences(table(spark, sf_dir, "documents"))
     families = F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["family"]))), ",")
@@ -145,4 +175,5 @@ ORACLES: dict[str, str] = {
     "op1_containment": OP1_SQL,
     "op2_preference_pairs": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op6_secret_ownership": OP6_SQL,
 }
