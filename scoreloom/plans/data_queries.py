@@ -1 +1,267 @@
-"""Placeholder."""
+"""Integrity, deduplication, splitting, joins and evidence, each with its DuckDB statement."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scoreloom.operators import dedupe as D
+from scoreloom.operators import evidence as E
+from scoreloom.operators import integrity as I
+from scoreloom.plans.fixtures import DOC_ROWS, SCAN_ROWS, SCORE_ROWS, doc_rows, scan_rows, score_rows, table
+from scoreloom.registry import query
+
+S = SCORE_ROWS
+
+
+def _dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """Score rows with planted faults."""
+    k = F.col("image_id").cast("long")
+    rows = score_rows(spark, sf)
+    return rows.withColumns({"label": F.when(k % 50 == 0, 2).otherwise(F.col("label")), "score": F.when(k % 51 == 0, F.lit(None)).when(k % 53 == 0, F.lit(float("nan"))).when(k % 59 == 0, F.col("score") + 1).otherwise(F.col("score")), "cluster_id": F.when(k % 57 == 0, " ").otherwise(F.col("source_key")), "phash": F.when(k % 61 == 0, "xyz").otherwise(F.col("phash"))})
+
+
+_DIRTY = f"""{S}, dirty AS (SELECT * REPLACE (CASE WHEN k % 50 = 0 THEN 2 ELSE label END AS label, CASE WHEN k % 51 = 0 THEN NULL WHEN k % 53 = 0 THEN 'nan'::DOUBLE WHEN k % 59 = 0 THEN score + 1 ELSE score END AS score,
+CASE WHEN k % 57 = 0 THEN ' ' ELSE source_key END AS cluster_id, CASE WHEN k % 61 = 0 THEN 'xyz' ELSE phash END AS phash) FROM (SELECT *, image_id::BIGINT AS k FROM score_rows))"""
+
+
+@query(f"""WITH {_DIRTY} SELECT 'label' AS rule, image_id AS key FROM dirty WHERE label NOT IN (0, 1) UNION ALL SELECT 'score', image_id FROM dirty WHERE score IS NULL OR isnan(score) OR score < 0 OR score > 1
+UNION ALL SELECT 'blank_cluster', image_id FROM dirty WHERE trim(cluster_id) = '' UNION ALL SELECT 'phash', image_id FROM dirty WHERE NOT regexp_matches(phash, '^[0-9a-fA-F]{{1,16}}$')""")
+def row_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return I.row_violations(_dirty(spark, sf))
+
+
+@query(f"""WITH {S}, r AS (SELECT * REPLACE (source_key AS cluster_id) FROM score_rows)
+SELECT 'duplicate_id' AS rule, image_id AS key FROM r GROUP BY image_id HAVING count(*) > 1
+UNION ALL SELECT 'cluster_crosses', cluster_id FROM r GROUP BY cluster_id HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'cluster_conflict', cluster_id FROM r GROUP BY cluster_id HAVING count(DISTINCT label) > 1
+UNION ALL SELECT 'generator_crosses', generator FROM r GROUP BY generator HAVING count(DISTINCT split) > 1""")
+def split_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return I.split_violations(score_rows(spark, sf).withColumn("cluster_id", F.col("source_key")), distance=4)
+
+
+@query(f"WITH {S} SELECT source_key, count(DISTINCT label) AS n_labels, count(*) AS n FROM score_rows GROUP BY source_key HAVING count(DISTINCT label) > 1")
+def cluster_label_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return score_rows(spark, sf).groupBy("source_key").agg(F.countDistinct("label").alias("n_labels"), F.count("*").alias("n")).where("n_labels > 1")
+
+
+_ISO = ("image_id", "cluster_id", "generator")
+
+
+@query(f"WITH {S} " + " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) AS shared, count(*) = 0 AS passed FROM (SELECT {k} FROM score_rows WHERE split = 'calibration' INTERSECT SELECT {k} FROM score_rows WHERE split = 'eval')" for k in _ISO))
+def calibration_isolation(spark: SparkSession, sf: str) -> DataFrame:
+    return I.isolation(score_rows(spark, sf), F.col("split") == "calibration", F.col("split") == "eval", list(_ISO))
+
+
+@query(f"WITH {S}, e AS (SELECT DISTINCT image_id FROM score_rows WHERE split = 'eval'), a AS (SELECT DISTINCT image_id FROM score_rows WHERE noise < 0.97) SELECT count(*) AS n, count(a.image_id) AS n_covered, count(a.image_id) / count(*) AS coverage FROM e LEFT JOIN a USING (image_id)")
+def audit_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    rows = score_rows(spark, sf)
+    return I.coverage(rows.where("split = 'eval'"), rows.where("noise < 0.97"), "image_id")
+
+
+@query(f"WITH {S} SELECT degradation, count(DISTINCT generator) AS n_values, count(*) FILTER (WHERE generator IS NULL) AS n_null, min(generator) AS value, count(DISTINCT generator) = 1 AS passed FROM score_rows WHERE degradation = 'F' GROUP BY degradation")
+def single_model_binding(spark: SparkSession, sf: str) -> DataFrame:
+    return I.single_value(score_rows(spark, sf).where("degradation = 'F'"), "generator").select(F.lit("F").alias("degradation"), "n_values", "n_null", "value", "passed")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return I.duplicate_keys(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+def _hashed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a hash that differs by up to 2 bits between copies of a text."""
+    return doc_rows(spark, sf).select(F.col("doc_id").alias("id"), D.hash_bits(F.substring("digest", 1, 16)).bitwiseXOR(F.expr("shiftleft(1L, cast(doc_id % 63 as int))")).alias("bits"), "digest", "grp")
+
+
+_HASHED = f"""{DOC_ROWS}, hashed AS (SELECT doc_id AS id, digest, ('0x' || substr(digest, 1, 8))::BIGINT AS hi0, ('0x' || substr(digest, 9, 8))::BIGINT AS lo0, doc_id % 63 AS k FROM doc_rows),
+bits AS (SELECT id, digest, CASE WHEN k >= 32 THEN xor(hi0, 1::BIGINT << (k - 32)::INT) ELSE hi0 END AS hi, CASE WHEN k < 32 THEN xor(lo0, 1::BIGINT << k::INT) ELSE lo0 END AS lo FROM hashed),
+node AS (SELECT hi, lo, min(id) AS id FROM bits GROUP BY hi, lo)"""
+
+
+@query(f"WITH {_HASHED} SELECT x.id AS a, y.id AS b, (bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)))::INT AS distance FROM node x JOIN node y ON x.id < y.id AND bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 6")
+def hamming_pairs_banded(spark: SparkSession, sf: str) -> DataFrame:
+    return D.hamming_pairs(_hashed(spark, sf), 6)
+
+
+@query(f"WITH {DOC_ROWS} SELECT min(doc_id) AS id FROM doc_rows GROUP BY digest")
+def greedy_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return D.greedy_dedupe(_hashed(spark, sf).select("id", "bits"), 6).select("id")
+
+
+@query(f"""WITH RECURSIVE {DOC_ROWS}, g AS (SELECT grp, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, grp) AS r FROM doc_rows GROUP BY grp), t AS (SELECT sum(n)::DOUBLE AS n FROM g),
+a AS (SELECT 0::BIGINT AS r, NULL::VARCHAR AS grp, NULL::VARCHAR AS split, 0.0::DOUBLE AS f, 0.0::DOUBLE AS c, 0.0::DOUBLE AS e
+UNION ALL SELECT g.r, g.grp, s, f + CASE WHEN s = 'fit' THEN g.n ELSE 0 END, c + CASE WHEN s = 'calibration' THEN g.n ELSE 0 END, e + CASE WHEN s = 'eval' THEN g.n ELSE 0 END
+FROM (SELECT a.*, CASE WHEN t.n * 0.5::DOUBLE - f >= t.n * 0.2::DOUBLE - c AND t.n * 0.5::DOUBLE - f >= t.n * 0.3::DOUBLE - e THEN 'fit' WHEN t.n * 0.2::DOUBLE - c >= t.n * 0.3::DOUBLE - e THEN 'calibration' ELSE 'eval' END AS s FROM a, t) x JOIN g ON g.r = x.r + 1)
+SELECT grp, split FROM a WHERE r > 0""")
+def greedy_group_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    return D.greedy_assignment(doc_rows(spark, sf).groupBy("grp").agg(F.count("*").alias("n")), (0.5, 0.2, 0.3))
+
+
+_BUCKET = "('0x' || substr(digest, 1, 16))::UBIGINT"
+
+
+@query(f"WITH {DOC_ROWS} SELECT doc_id, CASE WHEN {_BUCKET} % 10 < 5 THEN 'fit' WHEN {_BUCKET} % 10 < 7 THEN 'calibration' ELSE 'eval' END AS split, CASE WHEN ({_BUCKET} % 1000)::DOUBLE / 1000 < 0.4 THEN 'fit' ELSE 'eval' END AS two_way FROM doc_rows")
+def hash_bucket_split(spark: SparkSession, sf: str) -> DataFrame:
+    h = F.substring("digest", 1, 16)
+    return doc_rows(spark, sf).select("doc_id", D.bucket_split(h).alias("split"), D.bucket_split(h, {"fit": 0.2, "eval": 0.3}).alias("two_way"))
+
+
+_LANG_SPLIT = "CASE WHEN doc_id % 10 < 5 THEN 'fit' WHEN doc_id % 10 < 7 THEN 'calibration' ELSE 'eval' END"
+
+
+def _split_docs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id") % 10
+    return doc_rows(spark, sf).withColumn("split", F.when(k < 5, "fit").when(k < 7, "calibration").otherwise("eval"))
+
+
+@query(f"WITH {DOC_ROWS}, s AS (SELECT *, {_LANG_SPLIT} AS split FROM doc_rows) SELECT doc_id, split FROM (SELECT *, first_value(split) OVER (PARTITION BY digest ORDER BY doc_id) AS f FROM s) WHERE split = f")
+def cross_split_hash_drop(spark: SparkSession, sf: str) -> DataFrame:
+    return D.cross_split_drop(_split_docs(spark, sf), "doc_id").select("doc_id", "split")
+
+
+@query(f"WITH {DOC_ROWS}, s AS (SELECT *, {_LANG_SPLIT} AS split FROM doc_rows), c AS (SELECT grp, count(DISTINCT split) AS k FROM s GROUP BY grp) SELECT split, count(*) AS n, count(DISTINCT grp) AS n_groups, count(DISTINCT grp) FILTER (WHERE k > 1) AS n_crossing FROM s JOIN c USING (grp) GROUP BY split")
+def split_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return D.split_summary(_split_docs(spark, sf))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus AS src_status, coalesce(o_orderkey IS NULL, false) AS unmatched FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def manifest_provenance_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Degraded records to their sources; unmatched ones are marked for the gate instead of dropped."""
+    left, right = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return left.join(right, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", F.col("o_orderstatus").alias("src_status"), F.col("o_orderkey").isNull().alias("unmatched"))
+
+
+@query(f"""WITH {DOC_ROWS}, own AS (SELECT doc_id, 'eval' AS split FROM labels WHERE quality = 0), grps(grp, split) AS (VALUES ('src1', 'fit'), ('src2', 'calibration'), ('src3', 'eval'))
+SELECT doc_id, coalesce(own.split, grps.split) AS split FROM doc_rows LEFT JOIN own USING (doc_id) LEFT JOIN grps USING (grp) WHERE coalesce(own.split, grps.split) IS NOT NULL""")
+def split_lookup_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """A record's own split, else its group's, else it goes."""
+    own = table(spark, sf, "labels").where("quality = 0").select("doc_id", F.lit("eval").alias("own"))
+    groups = spark.createDataFrame([("src1", "fit"), ("src2", "calibration"), ("src3", "eval")], "grp string, by_group string")
+    out = doc_rows(spark, sf).join(own, "doc_id", "left").join(F.broadcast(groups), "grp", "left").select("doc_id", F.coalesce("own", "by_group").alias("split"))
+    return out.where(F.col("split").isNotNull())
+
+
+@query("SELECT o_orderkey, c AS condition FROM orders CROSS JOIN (VALUES ('jpeg'), ('webp'), ('crop')) v(c) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND ((l_linenumber = 1 AND c = 'jpeg') OR (l_linenumber = 4 AND c = 'crop')))")
+def resume_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Work left: each (record, condition) that the log does not have."""
+    work = table(spark, sf, "orders").select("o_orderkey").crossJoin(F.broadcast(spark.createDataFrame([("jpeg",), ("webp",), ("crop",)], "condition string")))
+    done = table(spark, sf, "lineitem").where("l_linenumber in (1, 4)").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_linenumber") == 1, "jpeg").otherwise("crop").alias("condition"))
+    return work.join(done, ["o_orderkey", "condition"], "left_anti")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING count(DISTINCT quality) = 1)")
+def label_semi_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose normalised key has one label; aliases with conflicting labels are out."""
+    agreed = table(spark, sf, "labels").groupBy("doc_id").agg(F.countDistinct("quality").alias("n")).where("n = 1").select("doc_id")
+    return table(spark, sf, "documents").select("doc_id", "source").join(agreed, "doc_id", "left_semi")
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 END, o_totalprice) AS feature, o_orderkey % 3 = 0 AS cached FROM orders")
+def cache_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """A cached row overrides, anything else is computed."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    cached = orders.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("hit"))
+    return orders.join(cached, "o_orderkey", "left").select("o_orderkey", F.coalesce("hit", "o_totalprice").alias("feature"), F.col("hit").isNotNull().alias("cached"))
+
+
+_BOX = "SELECT user_id AS page, event_id AS id, event_id AS rank, (event_id * 37 % 1900)::DOUBLE AS x0, (event_id * 53 % 1000)::DOUBLE AS y0, (event_id * 37 % 1900 + 40 + event_id % 300)::DOUBLE AS x1, (event_id * 53 % 1000 + 40 + event_id % 200)::DOUBLE AS y1 FROM events"
+
+
+@query(f"""WITH b AS ({_BOX}), p AS (SELECT a.id AS keeper, c.id AS suppressed, greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) AS overlap FROM b a JOIN b c ON a.page = c.page AND a.rank < c.rank) SELECT * FROM p WHERE overlap >= 0.8""")
+def overlapping_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return D.keep_first_boxes(table(spark, sf, "events").selectExpr("user_id page", "event_id id", "event_id rank", "cast(event_id * 37 % 1900 as double) x0", "cast(event_id * 53 % 1000 as double) y0", "cast(event_id * 37 % 1900 + 40 + event_id % 300 as double) x1", "cast(event_id * 53 % 1000 + 40 + event_id % 200 as double) y1"))
+
+
+_PART = "(SELECT {keys} part, sha256('[' || string_agg('\"' || v || '\"', ',' ORDER BY v) || ']') AS h, count(*) AS n FROM (SELECT DISTINCT {keys} {value} AS v, substr(md5({value}), 1, 2) AS part FROM {rows}) GROUP BY ALL)"
+
+
+@query(f"WITH {S} SELECT split, sha256('[' || string_agg('\"' || h || '\"', ',' ORDER BY part) || ']') AS set_sha256, sum(n)::BIGINT AS n FROM {_PART.format(keys='split,', value='cluster_id', rows='score_rows')} GROUP BY split")
+def set_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return E.set_hash(score_rows(spark, sf), "cluster_id", ("split",))
+
+
+@query(f"""WITH {S}, r AS (SELECT split, sha256('["' || image_id || '","' || label || '","' || cluster_id || '"]') AS h FROM score_rows), p AS (SELECT split, substr(h, 1, 2) AS part, sha256(string_agg(h, '' ORDER BY h)) AS p, count(*) AS n FROM r GROUP BY ALL)
+SELECT split, sha256(string_agg(p, '' ORDER BY part)) AS digest, sum(n)::BIGINT AS n FROM p GROUP BY split""")
+def row_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return E.row_digest(score_rows(spark, sf), ["image_id", "label", "cluster_id"], ("split",))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type || ':' || props AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+c AS (SELECT user_id, event_id, payload, r, '' AS previous_sha256, sha256('|' || payload) AS entry_sha256 FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.payload, e.r, c.entry_sha256, sha256(c.entry_sha256 || '|' || e.payload) FROM c JOIN e ON e.user_id = c.user_id AND e.r = c.r + 1)
+SELECT user_id, event_id, payload, previous_sha256, entry_sha256 FROM c""")
+def hash_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return E.chain(table(spark, sf, "events").withColumn("payload", F.concat_ws(":", "event_type", "props")), "event_id", "payload", ("user_id",))
+
+
+@query("SELECT 0::BIGINT AS user_id, 0::BIGINT AS event_id WHERE false")
+def chain_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken links of a sound log: none."""
+    return E.broken_links(hash_chain(spark, sf), "event_id", "payload", ("user_id",)).select("user_id", "event_id")
+
+
+@query("""SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 11 = 0 THEN 'new' ELSE 'changed' END AS status, NOT (p_partkey % 7 <> 0 AND p_partkey % 11 = 0) AND p_partkey % 2 = 0 AS fatal FROM part WHERE (p_partkey % 7 = 0) <> (p_partkey % 11 = 0) OR (p_partkey % 5 = 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0)""")
+def freeze_drift(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    path = F.col("p_partkey").cast("string").alias("path")
+    frozen = p.where("p_partkey % 11 <> 0").select(path, F.sha2(F.col("p_partkey").cast("string"), 256).alias("sha256"))
+    now = p.where("p_partkey % 7 <> 0").select(path, F.sha2(F.when(F.col("p_partkey") % 5 == 0, F.lit("x")).otherwise(F.col("p_partkey").cast("string")), 256).alias("sha256"))
+    return E.freeze_drift(frozen, now, F.col("path").cast("long") % 2 == 0)
+
+
+@query(f"""WITH {S}, e AS (SELECT * FROM score_rows WHERE split = 'eval'), o AS (SELECT count(*) FILTER (WHERE label = 1) AS min_ai, count(*) FILTER (WHERE label = 0) AS min_real, count(DISTINCT cluster_id) FILTER (WHERE label = 1) AS min_ai_clusters,
+(avg((score >= 0.65)::INT) FILTER (WHERE label = 1) + avg((score < 0.65)::INT) FILTER (WHERE label = 0)) / 2 AS balanced_accuracy FROM e)
+SELECT unnest(['min_ai', 'min_real', 'min_ai_clusters', 'balanced_accuracy']) AS gate, unnest([min_ai::DOUBLE, min_real::DOUBLE, min_ai_clusters::DOUBLE, balanced_accuracy]) AS observed, unnest([100.0::DOUBLE, 100.0::DOUBLE, 100.0::DOUBLE, 0.8::DOUBLE]) AS least,
+unnest([min_ai >= 100, min_real >= 100, min_ai_clusters >= 100, balanced_accuracy >= 0.8]) AS passed FROM o""")
+def release_gates(spark: SparkSession, sf: str) -> DataFrame:
+    e = score_rows(spark, sf).where("split = 'eval'")
+    side = lambda k, good: F.avg(F.when(F.col("label") == k, good.cast("int")))
+    ba = (side(1, F.col("score") >= 0.65) + side(0, F.col("score") < 0.65)) / 2
+    seen = e.agg(F.count_if(F.col("label") == 1).alias("min_ai"), F.count_if(F.col("label") == 0).alias("min_real"), F.countDistinct(F.when(F.col("label") == 1, F.col("cluster_id"))).alias("min_ai_clusters"), ba.alias("balanced_accuracy"))
+    return I.gate_table(seen, {"min_ai": 100, "min_real": 100, "min_ai_clusters": 100, "balanced_accuracy": 0.8})
+
+
+@query(f"WITH {SCAN_ROWS} SELECT page, seq, priority FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY priority DESC, seq) AS r FROM scan_rows) WHERE r <= 5")
+def priority_order(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("page").orderBy(F.desc("priority"), "seq")
+    return scan_rows(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 5").select("page", "seq", "priority")
+
+
+@query(f"WITH {SCAN_ROWS} SELECT phase, count(*) AS n, avg((phase = 'purchase')::INT) AS share FROM scan_rows GROUP BY phase")
+def phase_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_rows(spark, sf).groupBy("phase").agg(F.count("*").alias("n"), F.avg((F.col("phase") == "purchase").cast("int")).alias("share"))
+
+
+@query(f"WITH {SCAN_ROWS} SELECT url, max(seq) AS seq, max_by(priority, seq) AS priority FROM scan_rows GROUP BY url")
+def latest_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return D.latest_by(scan_rows(spark, sf).select("url", "seq", "priority"), ["url"], "seq")
+
+
+@query(f"WITH {SCAN_ROWS} SELECT page, url, seq FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY seq DESC) AS r FROM (SELECT page, url, max(seq) AS seq FROM scan_rows GROUP BY ALL)) WHERE r <= 3")
+def recency_eviction(spark: SparkSession, sf: str) -> DataFrame:
+    last = scan_rows(spark, sf).groupBy("page", "url").agg(F.max("seq").alias("seq"))
+    return D.newest(last, "seq", 3, ("page",))
+
+
+@query(f"WITH {SCAN_ROWS} SELECT page, seq, (n - r)::DOUBLE / (n + 1) AS bonus FROM (SELECT page, seq, row_number() OVER (PARTITION BY page ORDER BY priority DESC, seq) - 1 AS r, count(*) OVER (PARTITION BY page) AS n FROM scan_rows)")
+def viewport_rank_bonus(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("page").orderBy(F.desc("priority"), "seq")
+    n, r = F.count("*").over(Window.partitionBy("page")), F.row_number().over(order) - 1
+    return scan_rows(spark, sf).select("page", "seq", ((n - r) / (n + 1)).alias("bonus"))
+
+
+@query(f"WITH {SCAN_ROWS}, e AS (SELECT *, (seq // 1000) AS epoch, max(seq // 1000) OVER (PARTITION BY page) AS latest FROM scan_rows) SELECT page, seq FROM e WHERE epoch = latest")
+def latest_epoch_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scan_rows(spark, sf).withColumn("epoch", F.floor(F.col("seq") / 1000))
+    latest = rows.groupBy("page").agg(F.max("epoch").alias("epoch"))
+    return rows.join(latest, ["page", "epoch"], "left_semi").select("page", "seq")
+
+
+@query(f"WITH {SCAN_ROWS} SELECT url, min(seq) AS leader, max(priority) AS priority, count(*) - 1 AS waiters FROM scan_rows GROUP BY url")
+def single_flight(spark: SparkSession, sf: str) -> DataFrame:
+    """One job for each URL, led by its first request, at the highest priority asked for."""
+    return scan_rows(spark, sf).groupBy("url").agg(F.min("seq").alias("leader"), F.max("priority").alias("priority"), (F.count("*") - 1).alias("waiters"))
