@@ -1 +1,202 @@
-"""Placeholder."""
+"""URL, markup and text functions over pages, documents and fixed cases."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scoreloom.functions import texts as X
+from scoreloom.plans.fixtures import table
+from scoreloom.registry import query
+
+
+def _cases(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    def one(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).lower()
+        return f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else repr(v)
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({names})"
+
+
+@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '') || (CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END) AS resource_key
+FROM (SELECT *, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS p FROM pages)""")
+def resource_key(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", X.resource_key(F.col("url")).alias("resource_key"))
+
+
+@query(r"SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
+def pages_by_host(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").groupBy(X.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '^$', ''), ''), 'unknown') AS slug FROM documents")
+def slugify(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.slug(F.substring("text", 1, 80)).alias("slug"))
+
+
+@query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^<>]*>', '', 'g'), '(?s)<.*$', ''), '>', '', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages")
+def strip_html(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.md5(X.strip_markup(F.col("html"))).alias("text_md5"))
+
+
+_FAILURES = [("HTTP 404 at host", "http-404"), ("request timed out", "timeout"), ("Failed to fetch", "network"), ("image too large: exceeded", "size-limit"), ("createImageBitmap failed", "decode"), ("odd", "other")]
+
+
+@query(_values(_FAILURES, "error, kind"))
+def failure_category(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [(e,) for e, _ in _FAILURES], "error string").select("error", X.failure_kind(F.col("error")).alias("kind"))
+
+
+_INLINE = [("data:image/png;base64,AAAA", 3.0, False), ("data:text/plain,hello", 5.0, False), ("data:broken", float("inf"), False), ("https://a.b/c.png", 0.0, True)]
+
+
+@query("SELECT * FROM (VALUES ('data:image/png;base64,AAAA', 3.0::DOUBLE, false), ('data:text/plain,hello', 5.0, false), ('data:broken', 'inf'::DOUBLE, false), ('https://a.b/c.png', 0.0, true)) v(url, bytes, kept)")
+def data_url_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("url")
+    return _cases(spark, [(r[0],) for r in _INLINE], "url string").select("url", X.inline_bytes(u).alias("bytes"), X.is_kept_in_session(u).alias("kept"))
+
+
+_SRCSETS = [("https://h/a.jpg 320w, https://h/b,c.jpg 1280w, https://h/d.jpg 2x", "https://h/b,c.jpg 1280|https://h/a.jpg 320"), ("https://h/a.jpg 10w,https://h/b.jpg 20w", "https://h/b.jpg 20|https://h/a.jpg 10"), ("", "")]
+
+
+@query(_values(_SRCSETS, "srcset, parsed"))
+def srcset_parse(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = F.array_join(F.transform(X.srcset(F.col("srcset")), lambda s: F.concat_ws(" ", s["url"], s["width"])), "|")
+    return _cases(spark, [(s,) for s, _ in _SRCSETS], "srcset string").select("srcset", parsed.alias("parsed"))
+
+
+_QUERIES = [
+    ("https://www.google.com/imgres?imgurl=https%3A%2F%2Fa.org%2Fp.jpg&url=https%3A%2F%2Fb.org", "https://a.org/p.jpg"),
+    ("https://r.net/?url=https%3A%2F%2Fwww.google.com%2Fsearch&u=https%3A%2F%2Fc.org%2Fx.png", "https://c.org/x.png"),
+    ("https://r.net/?q=1", None),
+]
+
+
+@query(_values(_QUERIES, "url, origin"))
+def query_param_origin(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [(u,) for u, _ in _QUERIES], "url string").select("url", X.image_from_query(F.col("url")).alias("origin"))
+
+
+_WIKI = [("https://up.w.org/w/c/thumb/a/ab/F.jpg/320px-F.jpg", "https://up.w.org/w/c/a/ab/F.jpg"), ("https://up.w.org/w/c/a/ab/F.jpg", None)]
+
+
+@query(_values(_WIKI, "url, original"))
+def wiki_original(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [(u,) for u, _ in _WIKI], "url string").select("url", X.wiki_original(F.col("url")).alias("original"))
+
+
+_THUMBS = [("https://encrypted-tbn0.gstatic.com/images?q=1", True), ("https://tse3.mm.bing.net/th?id=2", True), ("https://gstatic.com/x", False)]
+
+
+@query(_values(_THUMBS, "url, thumb"))
+def search_thumb_flag(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [(u,) for u, _ in _THUMBS], "url string").select("url", X.is_search_thumbnail(F.col("url")).alias("thumb"))
+
+
+_CLASSES = [
+    ("", True, 10, 10, 100, 100, "wait-source"),
+    ("https://a/b.svg?x", True, 10, 10, 100, 100, "skip"),
+    ("https://a/b.png", False, 10, 10, 100, 100, "wait-load"),
+    ("https://a/b.png", True, 10, 0, 100, 100, "wait-load"),
+    ("https://a/b.png", True, 256, 256, 24, 24, "skip"),
+    ("https://a/b.png", True, 256, 256, 240, 240, "scan"),
+]
+
+
+@query(_values([(i, r[-1]) for i, r in enumerate(_CLASSES)], "i, class"))
+def candidate_class(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _cases(spark, [(i, *r[:-1]) for i, r in enumerate(_CLASSES)], "i int, url string, complete boolean, w int, h int, dw int, dh int")
+    c = X.candidate_class(*(F.col(x) for x in ("url", "complete", "w", "h", "dw", "dh")), 48)
+    return rows.select("i", c.alias("class"))
+
+
+_CSS = [("url('https://a/b.png') , url(c.svg), URL( \"d.jpg\" )", "https://a/b.png|d.jpg"), ("none", "")]
+
+
+@query(_values(_CSS, "css, urls"))
+def css_background_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [(c,) for c, _ in _CSS], "css string").select("css", F.array_join(X.css_urls(F.col("css")), "|").alias("urls"))
+
+
+_RANGES = [(" bytes 0-99/1000 ", 0, 99, 1000), ("bytes 5-9/*", 5, 9, None), ("items 1-2/3", None, None, None)]
+
+
+@query("SELECT * FROM (VALUES (' bytes 0-99/1000 ', 0::BIGINT, 99::BIGINT, 1000::BIGINT), ('bytes 5-9/*', 5, 9, NULL), ('items 1-2/3', NULL, NULL, NULL)) v(header, first, last, total)")
+def content_range(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [(r[0],) for r in _RANGES], "header string").select("header", X.content_range(F.col("header")).alias("r")).select("header", "r.first", "r.last", "r.total")
+
+
+@query("SELECT doc_id, contains(lower(text), 'all rights reserved') OR contains(lower(text), 'copyright') OR contains(lower(text), 'courtesy of') OR contains(lower(text), 'used with permission') OR contains(lower(text), 'trademark') AS restricted, contains(lower(text), 'cc0') OR contains(lower(text), 'public domain') OR contains(lower(text), 'pd-') OR contains(lower(text), 'no restrictions') AS free FROM documents")
+def licence_markers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.has_any(F.col("text"), X.RESTRICTED).alias("restricted"), X.has_any(F.col("text"), X.FREE_LICENCES).alias("free"))
+
+
+_HUD = [("AID dev 12 img 10 tracked 4 scored 3 pending 2 failed 1 setup 0 too-small", 12, 4, 0), ("nothing", None, None, None)]
+
+
+@query("SELECT * FROM (VALUES ('AID dev 12 img 10 tracked 4 scored 3 pending 2 failed 1 setup 0 too-small', 12, 4, 0), ('nothing', NULL, NULL, NULL)) v(text, images, scored, skipped)")
+def hud_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [(r[0],) for r in _HUD], "text string").select("text", X.hud_counts(F.col("text")).alias("h")).select("text", "h.images", "h.scored", "h.skipped")
+
+
+_UP = [
+    ("https://h/s.jpg", 100, "https://h/m.jpg 400w, https://h/t.jpg 50w", None, "https://h/full.jpg", "https://h/m.jpg same-file|https://h/full.jpg linked"),
+    ("https://h/s.jpg", 500, "https://h/m.jpg 900w", None, None, ""),
+    ("https://up.w.org/w/c/thumb/a/ab/F.jpg/320px-F.jpg", 200, None, "https://h/z.jpg", None, "https://up.w.org/w/c/a/ab/F.jpg same-file|https://h/z.jpg same-file"),
+]
+
+
+@query(_values([(i, r[-1]) for i, r in enumerate(_UP)], "i, candidates"))
+def upgrade_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _cases(spark, [(i, *r[:-1]) for i, r in enumerate(_UP)], "i int, url string, edge int, srcset string, zoom string, link string")
+    found = X.upgrade_candidates(F.col("url"), F.col("edge"), 440, F.col("srcset"), F.create_map(F.lit("zoomSrc"), F.col("zoom")), F.col("link"))
+    return rows.select("i", F.array_join(F.transform(found, lambda c: F.concat_ws(" ", c["url"], c["confidence"])), "|").alias("candidates"))
+
+
+_ASSETS = [(["http://a/x~thumb.jpg", "http://a/x~large.jpg", "http://a/x~orig.jpg", "http://a/m.json"], "http://a/x~orig.jpg"), (["http://a/x~small.png"], "http://a/x~small.png"), (["http://a/m.json"], None)]
+
+
+@query(_values([(i, a) for i, (_, a) in enumerate(_ASSETS)], "i, asset"))
+def preferred_asset(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [(i, u) for i, (u, _) in enumerate(_ASSETS)], "i int, urls array<string>").select("i", X.preferred_asset(F.col("urls")).alias("asset"))
+
+
+_PATHS = [("a\\b/./c.JPG", "a/b/c.JPG", "jpeg"), ("/abs/x.png", None, "png"), ("a/../x.webp", None, "webp"), ("C:\\x.gif", None, "gif")]
+
+
+@query(_values(_PATHS, "path, canonical, format"))
+def path_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("path")
+    return _cases(spark, [(r[0],) for r in _PATHS], "path string").select("path", X.canonical_path(p).alias("canonical"), X.format_of(F.lit(None).cast("string"), p).alias("format"))
+
+
+_JOINS = [("../b.png", "https://h/x/y/", "https://h/x/b.png"), ("//k/c.png", "https://h/", "https://k/c.png"), ("data:x", "https://h/", None), ("", "https://h/", None)]
+
+
+@query(_values(_JOINS, "ref, base, url"))
+def url_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [r[:2] for r in _JOINS], "ref string, base string").select("ref", "base", X.resolve_url(F.col("ref"), F.col("base")).alias("url"))
+
+
+_MOJIBAKE = [("cafÃ©", "café"), ("plain", "plain"), ("日本", "日本")]
+
+
+@query(_values(_MOJIBAKE, "seen, fixed"))
+def undo_cp1252(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, [(a,) for a, _ in _MOJIBAKE], "seen string").select("seen", X.undo_cp1252(F.col("seen")).alias("fixed"))
+
+
+_STEPS = [([("jpeg", 80.0), ("rescale", 0.5), ("jpeg", 60.0)], 60.0), ([("jpeg", 70.0), ("jpeg", None)], 70.0), ([], None)]
+
+
+@query("SELECT * FROM (VALUES (0, 60.0::DOUBLE), (1, 70.0), (2, NULL)) v(i, quality)")
+def last_step_number(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _cases(spark, [(i, s) for i, (s, _) in enumerate(_STEPS)], "i int, steps array<struct<op:string,quality:double>>")
+    return rows.select("i", X.last_number(F.col("steps"), "jpeg", "quality").alias("quality"))
