@@ -15,7 +15,7 @@ from scoreloom.llm.common import fresh, stage
 
 #: Labelled rows that the domain classifier is fitted on at most, and buckets its words are hashed to.
 SAMPLE, BUCKETS = 2_000, 1 << 10
-MOST_STEPS, CLOSE = 60, 1e-7
+MOST_STEPS, CLOSE = 60, 1e-6
 #: Share of all tokens that each domain (language, then + for good and - for poor quality) is to have.
 TARGETS = {"en+": 0.50, "de+": 0.15, "fr+": 0.15, "es+": 0.12, "en-": 0.04, "de-": 0.015, "fr-": 0.015, "es-": 0.01}
 
@@ -125,38 +125,45 @@ def fit_rates(table: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
     """Steps of projected-gradient least squares on nonnegative rates, over all of ``table(n_tokens, posterior)``.
 
     The unknowns are one rate a document. The residual is the expected token
-    total by domain less the target share of all tokens; it is measured in the
-    metric of the documents' own domain covariance and a rate's step is scaled
-    by its tokens, which makes the step length 1 safe and a document's move
-    depend on its posterior alone. A step is then a vector over domains: the
-    driver keeps these, and each pass sums ``domains`` numbers over the table.
+    total by domain less the target share of all tokens. A rate's gradient step
+    is scaled by its tokens, so that it depends on the document's posterior
+    alone, and the residual is measured in the metric of the domain covariance
+    of the documents that still have a positive rate, in which a step of length
+    1 solves the problem unless more rates reach 0. A step that does not bring
+    the totals nearer is halved. A step is thus a vector over domains: the
+    driver keeps these, and each pass sums ``k + k * k`` numbers over the table.
     """
     k = len(targets)
 
-    def sums(steps: list[np.ndarray], gram: bool):
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n = batch.column(0).to_numpy(zero_copy_only=False)
                 p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                total = (n * _rate(p, steps)) @ p
-                more = ((p * n[:, None]).T @ p).ravel() if gram else np.zeros(0)
-                yield pa.record_batch([pa.array([[*total, *more]], pa.list_(pa.float64()))], ["s"])
+                r = _rate(p, steps)
+                gram = (p * (n * (r > 0))[:, None]).T @ p
+                yield pa.record_batch([pa.array([[*((n * r) @ p), *gram.ravel()]], pa.list_(pa.float64()))], ["s"])
 
-        size = k + k * k * gram
         parts = table.select("n_tokens", "posterior").mapInArrow(run, "s array<double>")
-        row = parts.agg(*(F.sum(F.element_at("s", i + 1)).alias(f"s{i}") for i in range(size))).first()
-        return np.array([v or 0.0 for v in row])
-
-    first = sums([], True)
-    now, gram = first[:k], first[k:].reshape(k, k)
-    goal = targets * now.sum()
-    metric = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) if now.sum() else np.zeros((k, k))
-    steps: list[np.ndarray] = []
-    while len(steps) < MOST_STEPS and np.abs(now - goal).sum() > CLOSE * max(goal.sum(), 1):
-        steps.append(metric @ (now - goal))
-        before, now = now, sums(steps, False)
-        if np.abs(before - now).sum() <= CLOSE * max(goal.sum(), 1):
+        row = parts.agg(*(F.sum(F.element_at("s", i + 1)).alias(f"s{i}") for i in range(k + k * k))).first()
+        out = np.array([v or 0.0 for v in row])
+        return out[:k], out[k:].reshape(k, k)
+
+    now, gram = sums([])
+    goal, steps, length = targets * now.sum(), [], 1.0
+    far = lambda totals: float(np.abs(totals - goal).sum())
+    for _ in range(MOST_STEPS):
+        if far(now) <= CLOSE * goal.sum() or length < 1e-3:
             break
+        step = length * np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k), hermitian=True) @ (now - goal)
+        then, then_gram = sums([*steps, step])
+        if far(then) < far(now):
+            gain = far(now) - far(then)
+            steps, now, gram, length = [*steps, step], then, then_gram, min(1.0, 2 * length)
+            if gain <= 1e-5 * goal.sum():
+                break
+        else:
+            length /= 2
     return steps
 
 
