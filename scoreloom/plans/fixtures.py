@@ -54,7 +54,7 @@ DOC_ROWS = "doc_rows AS (SELECT doc_id, source AS grp, lang, md5(text) AS digest
 def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as scan requests of pages."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("page"), F.concat_ws("/", F.lit("https://img.example"), "event_type", (F.col("event_id") % 97).cast("string")).alias("url"), F.col("value").alias("priority"), F.col("event_type").alias("phase"), F.col("ts"))
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("page"), F.concat_ws("/", F.lit("https://img.example"), "event_type", (F.col("event_id") % 97).cast("string")).alias("url"), F.col("value").alias("priority"), F.col("event_type").alias("phase"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 SCAN_ROWS = "scan_rows AS (SELECT event_id AS seq, user_id::VARCHAR AS page, 'https://img.example/' || event_type || '/' || (event_id % 97)::VARCHAR AS url, value AS priority, event_type AS phase, ts FROM events)"

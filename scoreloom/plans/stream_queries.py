@@ -1 +1,56 @@
-"""Placeholder."""
+"""Streams run to their end over the events; results equal the batch twins'."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scoreloom.plans.fixtures import SCAN_ROWS, scan_rows
+from scoreloom.registry import query
+from scoreloom.streaming import scans as W
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    e = W.read_files(spark, sf, "events.parquet", W.EVENTS)
+    url = F.concat_ws("/", F.lit("https://img.example"), "event_type", (F.col("event_id") % 97).cast("string"))
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("page"), url.alias("url"), F.col("value").alias("priority"), F.col("event_type").alias("phase"), "ts")
+
+
+@query(f"WITH {SCAN_ROWS} SELECT url, min(seq) AS leader, max(priority) AS priority, count(*) - 1 AS waiters FROM scan_rows GROUP BY url")
+def single_flight_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return W.finish(W.single_flight(_requests(spark, sf)), "single-flight", "complete")
+
+
+@query(f"WITH {SCAN_ROWS} SELECT page, count(*) AS n FROM scan_rows GROUP BY page")
+def running_scan_count(spark: SparkSession, sf: str) -> DataFrame:
+    return W.finish(W.scan_counter(_requests(spark, sf)), "counter").groupBy("page").agg(F.max("n").alias("n"))
+
+
+@query(f"WITH {SCAN_ROWS} SELECT page, url, seq FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY seq DESC) AS r FROM (SELECT page, url, max(seq) AS seq FROM scan_rows GROUP BY ALL)) WHERE r <= 3")
+def lru_memo(spark: SparkSession, sf: str) -> DataFrame:
+    return W.finish(W.lru_memo(_requests(spark, sf), 3), "memo")
+
+
+@query(f"WITH {SCAN_ROWS} SELECT epoch_us(time_bucket(INTERVAL 10 MINUTES, ts)) // 1000000 AS start, phase, count(*) AS n, avg(priority) AS priority FROM scan_rows GROUP BY ALL")
+def windowed_counts_stream(spark: SparkSession, sf: str) -> DataFrame:
+    out = W.finish(W.page_counts(_requests(spark, sf)), "windows", "complete")
+    return out.select(F.col("window.start").cast("long").alias("start"), "phase", "n", "priority")
+
+
+@query(f"WITH {SCAN_ROWS}, d AS (SELECT page, url FROM scan_rows GROUP BY ALL) SELECT page, count(*) AS n FROM d GROUP BY page")
+def resumable_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Each (page, url) is worked on once, however often it is asked for or the job restarts."""
+    work = _requests(spark, sf).select("page", "url")
+    return W.finish(work, "resume", "append", ["page", "url"]).groupBy("page").agg(F.count("*").alias("n"))
+
+
+@query()
+def availability_latch(spark: SparkSession, sf: str) -> DataFrame:
+    reports = _requests(spark, sf).select("page", "seq", (F.col("phase") != "error").alias("available"))
+    return W.finish(W.availability(reports), "latch")
+
+
+@query()
+def admission_simulation(spark: SparkSession, sf: str) -> DataFrame:
+    requests = scan_rows(spark, sf).select("page", "seq", "url", "priority", (F.unix_micros("ts") % 3_600_000_000 / 1e6).alias("at"))
+    return W.simulate_admission(requests)
