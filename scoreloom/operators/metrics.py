@@ -133,7 +133,7 @@ def best_threshold(rows: DataFrame, score: str = "score", keys: Sequence[str] =
     tpr = (F.col("p_all") - F.col("p_to") + F.col("p")) / F.col("p_all")
     total = total.withColumn("ba", (tpr + (F.col("q_to") - F.col("q")) / F.col("q_all")) / 2)
     best = F.max(F.struct(F.col("ba"), -F.col("s")))
-    return total.groupBy(*keys).agg(best.alias("m")).select(*keys, (-F.col("m.col2")).alias("threshold"), F.col("m.ba").alias("balanced_accuracy"))
+    return total.groupBy(*keys).agg(best.alias("m")).where("m is not null").select(*keys, (-F.col("m.col2")).alias("threshold"), F.col("m.ba").alias("balanced_accuracy"))
 
 
 def two_sided_stump(rows: DataFrame, score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
@@ -141,7 +141,7 @@ def two_sided_stump(rows: DataFrame, score: str = "score", keys: Sequence[str] =
     up = best_threshold(rows, score, keys).withColumn("polarity", F.lit(1))
     down = best_threshold(rows.withColumn(score, -F.col(score)), score, keys).withColumn("polarity", F.lit(-1))
     best = F.max_by(F.struct("polarity", "threshold", "balanced_accuracy"), F.struct("balanced_accuracy", "polarity"))
-    return up.unionByName(down).groupBy(*keys).agg(best.alias("m")).select(*keys, "m.polarity", "m.threshold", "m.balanced_accuracy")
+    return up.unionByName(down).groupBy(*keys).agg(best.alias("m")).where("m is not null").select(*keys, "m.polarity", "m.threshold", "m.balanced_accuracy")
 
 
 def oracle_balanced_accuracy(rows: DataFrame, score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
@@ -150,7 +150,7 @@ def oracle_balanced_accuracy(rows: DataFrame, score: str = "score", keys: Sequen
     by_score = rows.where(finite(F.col(score))).groupBy(*keys, F.col(score).alias("s")).agg(p, q)
     total = running_totals(by_score, "s", ["p", "q"], keys).where("p_all > 0 and q_all > 0")
     gap = F.abs(F.col("p_to") / F.col("p_all") - F.col("q_to") / F.col("q_all"))
-    return total.groupBy(*keys).agg(((1 + F.max(gap)) / 2).alias("oracle_ba"))
+    return total.groupBy(*keys).agg(((1 + F.max(gap)) / 2).alias("oracle_ba")).where("oracle_ba is not null")
 
 
 def permutation_gate(rows: DataFrame, score: str = "score", samples: int = 20, seed: str = "20260813", tests: int = 1) -> DataFrame:
