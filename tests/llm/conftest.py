@@ -1,14 +1,5 @@
-import random
-
 import pytest
-
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-
-
-def prose(seed: int, n: int) -> str:
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ed", "ing"]) for _ in range(n))
-
+from samples import prose
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, removed string, fp string, key string, spans string, "

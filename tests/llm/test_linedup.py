@@ -1,6 +1,6 @@
 from collections import Counter
 
-from conftest import prose
+from samples import prose
 
 from scoreloom.llm import linedup as L
 
