@@ -143,9 +143,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.xxhash64(F.col(text_col))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key.alias("v"), F.col(text_col).alias("text"))
     found = stage(rows.mapInArrow(_line_batches, "id long, v long, h1 long, h2 long, at array<int>, words int"), "lines")
+    first_lines = found.where(F.get("at", F.lit(0)) == 0)
+    if first_lines.groupBy("id", "v").count().where("count > 1").limit(1).count():  # repeated rows are one document
+        found = stage(found.dropDuplicates(["id", "v", "h1", "h2"]), "lines-once")
     who = F.struct("id", "v")
     shared = found.groupBy("h1", "h2").agg(F.min(who).alias("head"), F.max(who).alias("tail")).where("head <> tail").select("h1", "h2", "head")
-    live = stage(found.join(shared, ["h1", "h2"]).groupBy("id", "v", "h1", "h2", "head").agg(F.first("at").alias("at"), F.first("words").alias("words")), "shared")
+    shared = stage(shared, "heads")  # with an exchange of its own the join below can split a hot line
+    live = stage(found.join(shared, ["h1", "h2"]), "shared")
     pairs = live.where(who != F.col("head")).select("id", "v", F.col("head.id").alias("p"), F.col("head.v").alias("pv")).distinct()
     here = pairs.join(live.select("id", "v", "h1", "h2", F.col("at").alias("here"), "words"), ["id", "v"])
     there = live.select(F.col("id").alias("p"), F.col("v").alias("pv"), "h1", "h2", F.col("at").alias("there"))
