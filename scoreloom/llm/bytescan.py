@@ -1,7 +1,7 @@
 """Vectorised scans over the bytes of Arrow string columns.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. All functions work on
-chunks of a few megabytes, so memory is bounded by the chunk size or by the one
+chunks of about a megabyte, so memory is bounded by the chunk size or by the one
 document that is larger than it.
 """
 
@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
-BLOCK = 1 << 20
+CHUNK = 1 << 20
+BLOCK = 1 << 18
 U = np.uint64
 
 SPACE = np.zeros(256, bool)

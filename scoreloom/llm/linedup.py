@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,21 +161,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
-    out = []
-    for text, gone in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
-        if gone and text is not None:
-            gone, rank, kept, cut = set(gone), 0, [], False
-            for line in text.split("\n"):
-                if line.strip(SPACES):
-                    cut = rank in gone
-                    rank += 1
-                    if not cut:
-                        kept.append(line)
-                elif not cut:
+    """The texts less their removed lines; only texts that change become Python strings."""
+    changed = pc.fill_null(pc.greater(pc.list_value_length(removed), 0), False)
+    rows = pc.indices_nonzero(changed)
+    new = []
+    for text, gone in zip(texts.take(rows), removed.take(rows), strict=True):
+        gone, rank, kept, cut = set(gone.as_py()), 0, [], False
+        for line in text.as_py().split("\n"):
+            if line.strip(SPACES):
+                cut = rank in gone
+                rank += 1
+                if not cut:
                     kept.append(line)
-            text = "\n".join(kept)
-        out.append(text)
-    return pa.array(out, pa.string())
+            elif not cut:
+                kept.append(line)
+        new.append("\n".join(kept))
+    return pc.replace_with_mask(texts, changed, pa.array(new, texts.type))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:

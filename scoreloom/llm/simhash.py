@@ -20,6 +20,8 @@ SHINGLE, DISTANCE = 3, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Members up to which a bucket is compared pair by pair; larger ones go through shared variants.
 PAIRWISE = 64
+#: Shingles hashed at once, and hashes unpacked to bits at once.
+HASHED, UNPACKED = 1 << 17, 1 << 14
 #: Generator polynomial of the binary Golay code of length 23.
 _GENERATOR = 0xAE3
 
@@ -70,13 +72,13 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
         span = np.repeat(np.minimum(size, SHINGLE), count)
         ones = np.zeros((len(size), 64), np.int64)
         rows = np.repeat(np.arange(len(size)), count)
-        for at in range(0, len(base), 1 << 18):  # bounds the memory for unpacked bits
-            part = slice(at, at + (1 << 18))
-            b = base[part]
-            h = B.xxh64(joined, starts[b], ends[b + span[part] - 1])
-            bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            doc, begin = np.unique(rows[part], return_index=True)
-            ones[doc] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+        for at in range(0, len(base), HASHED):  # both bounds keep a worker's memory small
+            part = base[at : at + HASHED]
+            h = B.xxh64(joined, starts[part], ends[part + span[at : at + HASHED] - 1]).astype(">u8").view(np.uint8).reshape(-1, 8)
+            for cut in range(0, len(h), UNPACKED):
+                bits = np.unpackbits(h[cut : cut + UNPACKED], axis=1)
+                doc, begin = np.unique(rows[at + cut : at + cut + len(bits)], return_index=True)
+                ones[doc] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
         packed = np.packbits(2 * ones > count[:, None], axis=1)
         out[lo : lo + len(size)] = packed.view(">u8").ravel().astype(np.uint64)
     return out
