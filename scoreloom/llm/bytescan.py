@@ -7,6 +7,7 @@ document that is larger than it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,11 @@ CHUNK = 1 << 20
 BLOCK = 1 << 18
 U = np.uint64
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _TRIM = None
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -52,6 +58,14 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
         yield lo, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay beside the ones at work."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 @dataclass
