@@ -58,7 +58,7 @@ def failure_kind(error: Column) -> Column:
 
 def hud_counts(text: Column) -> Column:
     names = ("images", "tracked", "scored", "pending", "failed", "setup", "skipped")
-    p = r"AID dev\b.*?(\d+) img.*?(\d+) tracked.*?(\d+) scored.*?(\d+) pending.*?(\d+) failed.*?(\d+) setup.*?(\d+) too-small"
+    p = r"\bdev\b.*?(\d+) img.*?(\d+) tracked.*?(\d+) scored.*?(\d+) pending.*?(\d+) failed.*?(\d+) setup.*?(\d+) too-small"
     return F.when(text.rlike(p), F.struct(*(F.regexp_extract(text, p, i).cast("int").alias(n) for i, n in enumerate(names, 1))))
 
 

@@ -138,10 +138,10 @@ def licence_markers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.has_any(F.col("text"), X.RESTRICTED).alias("restricted"), X.has_any(F.col("text"), X.FREE_LICENCES).alias("free"))
 
 
-_HUD = [("AID dev 12 img 10 tracked 4 scored 3 pending 2 failed 1 setup 0 too-small", 12, 4, 0), ("nothing", None, None, None)]
+_HUD = [("HUD dev 12 img 10 tracked 4 scored 3 pending 2 failed 1 setup 0 too-small", 12, 4, 0), ("nothing", None, None, None)]
 
 
-@query("SELECT * FROM (VALUES ('AID dev 12 img 10 tracked 4 scored 3 pending 2 failed 1 setup 0 too-small', 12, 4, 0), ('nothing', NULL, NULL, NULL)) v(text, images, scored, skipped)")
+@query("SELECT * FROM (VALUES ('HUD dev 12 img 10 tracked 4 scored 3 pending 2 failed 1 setup 0 too-small', 12, 4, 0), ('nothing', NULL, NULL, NULL)) v(text, images, scored, skipped)")
 def hud_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _cases(spark, [(r[0],) for r in _HUD], "text string").select("text", X.hud_counts(F.col("text")).alias("h")).select("text", "h.images", "h.scored", "h.skipped")
 
