@@ -22,8 +22,6 @@ RARE = 5
 SHARED = 8.0
 #: Likelihood-ratio statistic (one degree of freedom) below which counts by class do not differ, and the shared model speaks alone.
 DIFFERENT = 12.0
-#: Entries of a scoring table; with 8 bytes each this bounds what executors get.
-SLOTS = 1 << 20
 #: Words in the window whose mean is the second feature.
 WINDOW = 4
 #: Labelled documents used at most to calibrate the score, and label rows up to which labels are broadcast.
@@ -84,7 +82,7 @@ def count_expressions(labelled: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame, toxic: Column, ordinary: Column) -> DataFrame:
-    """``(g, ratio, weight)``: ln of the toxic over the ordinary probability of each expression that is not rare.
+    """``(g, ratio)``: ln of the toxic over the ordinary probability of each expression that is not rare.
 
     At each order (whole words, then beginnings of words, which stand for all
     words that continue them) both classes have a Kneser-Ney model: counts less
@@ -109,20 +107,32 @@ def log_ratios(counts: DataFrame, toxic: Column, ordinary: Column) -> DataFrame:
     share = F.col("all_t") / F.col("all_n")
     gain = sum(F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / (F.col("n") * part))).otherwise(0.0) for c, part in (("t", share), ("o", 1 - share)))
     ratio = F.when(2 * gain >= DIFFERENT, F.ln(by_class[0] / by_class[1])).otherwise(0.0)
-    return full.select("g", ratio.cast("float").alias("ratio"), ((F.abs(ratio) + 1e-6) * F.col("n")).alias("weight"))
+    return full.select("g", ratio.cast("float").alias("ratio"))
 
 
 @dataclass
 class Table:
-    """Ratios by slot of the gram's hash, with 32 bits of the hash to tell grams apart."""
+    """Ratios by the gram's mixed hash in rising order; ``first`` is where the hashes of each beginning of ``bits`` bits start."""
 
-    mark: np.ndarray
+    keys: np.ndarray
     ratio: np.ndarray
+    first: np.ndarray
+    bits: int
 
     def of(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = B.mix(g)
-        slot = (h >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
-        return self.mark[slot] == h.astype(np.uint32), self.ratio[slot]
+        part = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[part], self.first[part + 1]
+        known, ratio = np.zeros(len(h), bool), np.zeros(len(h), np.float32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == h[left]
+            found = left[hit]
+            known[found], ratio[found] = True, self.ratio[at[found]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return known, ratio
 
     def words(self, keys: list[np.ndarray]) -> np.ndarray:
         """The ratio of each word, from the highest order that has one."""
@@ -136,22 +146,13 @@ class Table:
         return out
 
 
-def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = B.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        slot = (h >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
-        yield pa.record_batch([pa.array(slot), pa.array(h.astype(np.uint32).view(np.int32)), batch.column(1), batch.column(2)], ["slot", "mark", "ratio", "weight"])
-
-
 def scoring_table(ratios: DataFrame) -> Table:
-    """A slot keeps the weightiest of its grams, so the table has ``SLOTS`` entries at most, however large the corpus."""
-    slots = ratios.mapInArrow(_slot_batches, "slot long, mark int, ratio float, weight double")
-    best = slots.groupBy("slot").agg(F.max_by(F.struct("mark", "ratio"), F.struct("weight", "mark")).alias("b")).select("slot", "b.mark", "b.ratio")
-    rows = best.toPandas()
-    out = Table(np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.float32))
-    out.mark[rows["slot"]] = rows["mark"].to_numpy(np.int32).view(np.uint32)
-    out.ratio[rows["slot"]] = rows["ratio"].to_numpy(np.float32)
-    return out
+    """Every gram of ``ratios(g, ratio)``, so the table grows with their number: 12 bytes each and 4 to 8 for the index."""
+    rows = ratios.select("g", "ratio").toArrow()
+    keys, at = np.unique(B.mix(rows["g"].to_numpy().view(np.uint64)), return_index=True)
+    bits = max(1, len(keys).bit_length())
+    sizes = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return Table(keys, rows["ratio"].to_numpy()[at].astype(np.float32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), bits)
 
 
 def features(texts: pa.Array, model: Table) -> np.ndarray:

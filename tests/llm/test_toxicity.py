@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+from pyspark.sql import functions as F
 from samples import prose
 
 from scoreloom.llm import toxicity as T
@@ -44,3 +46,14 @@ def test_odd_rows(spark, odd, odd_rows, none):
     flat = T.toxicity(odd, labels.where("toxic = 0")).collect()
     assert {r.score for r in flat} == {0.0}, "one class only"
     assert T.drop_toxic(odd, odd, labels.where("doc_id = 77")).schema == odd.schema
+
+
+def test_table_keeps_every_ratio(spark):
+    n = 1_200_000
+    ratios = spark.range(n).select(F.col("id").alias("g"), (F.col("id") % 7).cast("float").alias("ratio"), F.lit(1.0).alias("weight"))
+    table = T.scoring_table(ratios)
+    known, ratio = table.of(np.arange(2 * n, dtype=np.uint64))
+    assert known[:n].all() and not known[n:].any()
+    assert (ratio[:n] == np.arange(n) % 7).all()
+    known, _ = T.scoring_table(ratios.where("g < 0")).of(np.arange(5, dtype=np.uint64))
+    assert not known.any()
