@@ -19,8 +19,24 @@ from scoreloom.llm.common import SPACES, fresh, stage
 BLOCK_WORDS = 20
 
 
+def _windows(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """By line, a hash of the shortest run from it with ``BLOCK_WORDS`` words; 0 where that is the line alone or the document ends before."""
+    total = np.cumsum(size)
+    last = np.searchsorted(total, total - size + BLOCK_WORDS)
+    inside = last < len(doc)
+    inside[inside] = doc[last[inside]] == doc[inside]
+    out, at, step = h.copy(), np.flatnonzero(inside & (last > np.arange(len(doc)))), 1
+    many = np.zeros(len(doc), bool)
+    many[at] = True
+    while len(at):  # each line has a word, so there are less than BLOCK_WORDS steps
+        out[at] = B.mix(out[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + step])
+        step += 1
+        at = at[last[at] - at >= step]
+    return np.where(many, out, np.uint64(0))
+
+
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct line with a word of each document: its two hashes, positions among such lines, words."""
+    """A row for each distinct line with a word of each document: its two hashes, positions among such lines, windows from these, words."""
     for batch in batches:
         ids, version = batch.column(0), batch.column(1)
         for lo, data, offsets in B.chunks(batch.column(2)):
@@ -39,11 +55,13 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             new[1:] = (doc[order][1:] != doc[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
             head = np.flatnonzero(new)
             first = order[head]
-            at = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(rank[order].astype(np.int32)))
+            cuts = pa.array(np.append(head, len(order)).astype(np.int32))
+            at = pa.ListArray.from_arrays(cuts, pa.array(rank[order].astype(np.int32)))
+            runs = pa.ListArray.from_arrays(cuts, pa.array(_windows(h1, doc, size)[order].view(np.int64)))
             row = pa.array(lo + doc[first])
             yield pa.record_batch(
-                [ids.take(row), version.take(row), pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), at, pa.array(size[first].astype(np.int32))],
-                ["id", "v", "h1", "h2", "at", "words"],
+                [ids.take(row), version.take(row), pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), at, runs, pa.array(size[first].astype(np.int32))],
+                ["id", "v", "h1", "h2", "at", "runs", "words"],
             )
 
 
@@ -137,13 +155,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one are paired with that first one, so a line held by very many documents
     gives as many pairs as documents, never their square. Rarity decides by
     itself: a line held by few documents points at the few that overlap, a
-    frequent one costs its one pair a document, and nothing is capped. A pair's
-    shared lines are then joined and aligned by patience diff. Documents are
+    frequent one costs its one pair a document, and nothing is capped. Windows,
+    the shortest runs of several lines with ``BLOCK_WORDS`` words, are paired in
+    the same way, so a block has a partner also if each of its lines has an
+    earlier holder of its own. A pair's shared lines are then joined and aligned
+    by patience diff. Documents are
     ordered by id and, for one id with several texts, by the text's hash.
     """
     key = F.xxhash64(F.col(text_col))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key.alias("v"), F.col(text_col).alias("text"))
-    found = stage(rows.mapInArrow(_line_batches, "id long, v long, h1 long, h2 long, at array<int>, words int"), "lines")
+    found = stage(rows.mapInArrow(_line_batches, "id long, v long, h1 long, h2 long, at array<int>, runs array<long>, words int"), "lines")
     first_lines = found.where(F.get("at", F.lit(0)) == 0)
     if first_lines.groupBy("id", "v").count().where("count > 1").limit(1).count():  # repeated rows are one document
         found = stage(found.dropDuplicates(["id", "v", "h1", "h2"]), "lines-once")
@@ -151,7 +172,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = found.groupBy("h1", "h2").agg(F.min(who).alias("head"), F.max(who).alias("tail")).where("head <> tail").select("h1", "h2", "head")
     shared = stage(shared, "heads")  # with an exchange of its own the join below can split a hot line
     live = stage(found.join(shared, ["h1", "h2"]), "shared")
-    pairs = live.where(who != F.col("head")).select("id", "v", F.col("head.id").alias("p"), F.col("head.v").alias("pv")).distinct()
+    pairs = live.where(who != F.col("head")).select("id", "v", F.col("head.id").alias("p"), F.col("head.v").alias("pv"))
+    windows = live.select("id", "v", F.explode("runs").alias("w")).where("w <> 0")
+    firsts = windows.groupBy("w").agg(F.min(who).alias("head"), F.max(who).alias("tail")).where("head <> tail").select("w", "head")
+    windows = windows.join(stage(firsts, "window-heads"), "w").where(who != F.col("head"))
+    pairs = pairs.union(windows.select("id", "v", F.col("head.id"), F.col("head.v"))).distinct()
     here = pairs.join(live.select("id", "v", "h1", "h2", F.col("at").alias("here"), "words"), ["id", "v"])
     there = live.select(F.col("id").alias("p"), F.col("v").alias("pv"), "h1", "h2", F.col("at").alias("there"))
     both = here.join(there, ["p", "pv", "h1", "h2"])

@@ -41,6 +41,28 @@ def test_passage_stays_in_the_first_document_only(spark):
         assert out[i] == f"{prose(100 + i, 30)}\n{prose(200 + i, 30)}\nAll rights reserved."
 
 
+def every_pair(docs):
+    """Lines removed by document: aligned with every earlier document."""
+    lines = dict(sorted((i, t.split("\n")) for i, t in docs))
+    out = {i: set() for i in lines}
+    for i in lines:
+        for f in range(i):
+            both = set(lines[i]) & set(lines[f])
+            left, right = ({p: x for p, x in enumerate(lines[k]) if x in both} for k in (i, f))
+            out[i] |= set(L.blocks(L.align(left, right), {p: len(x.split()) for p, x in enumerate(lines[i])}))
+    return {i: len(gone) for i, gone in out.items()}
+
+
+def test_block_whose_lines_have_earlier_holders_of_their_own(spark):
+    one, two, three = prose(1, 8), prose(2, 12), prose(3, 6)
+    own = lambda k: prose(100 + k, 9)
+    parts = [[own(0), one], [own(1), two], [own(2), three], [own(3), one, two, own(4)], [own(5), one, two, three], [own(6), two, three, one, own(7)], [one, two, own(8), two, three, one]]
+    docs = [(i, "\n".join(p)) for i, p in enumerate(parts)]
+    found = {r.doc_id: r.n for r in L.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), count_col="n").collect()}
+    assert found == every_pair(docs)
+    assert found[4] == 2 and found[5] == 0 and found[6] == 5
+
+
 def test_alignment():
     assert L.patience([(0, 5), (1, 1), (2, 2), (3, 0), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
     assert L.align(dict(enumerate([1, 2, 3, 2])), dict(enumerate([9, 1, 2, 3]))) == [(0, 1), (1, 2), (2, 3)]
