@@ -166,20 +166,23 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, the one of least id, of each component; columns stay as they are.
 
-    Rows that repeat the kept id count as the same document, and one of them
-    stays. A component without any id keeps all its rows: there is nothing to
-    tell them apart by.
+    Rows are told apart by id and fingerprint, so a row without an id goes only
+    if its own component has an id, and a row whose id repeats with another
+    text only by the component of that text. Rows that repeat the kept id count
+    as the same document, and one of them stays. A component without any id
+    keeps all its rows: there is nothing to tell them apart by.
     """
     labels = simhash_components(docs, id_col, text_col)
     gone = labels.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
     repeated = labels.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    key, extra = fresh(docs, "key", "extra")
-    out = docs.withColumn(key, F.col(id_col).cast("long"))
-    drop_null = gone.where("doc_id is null").limit(1).count() > 0
-    gone = gone.where("doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
-    if drop_null:
-        out = out.where(F.col(key).isNotNull())
-    out = out.join(gone, key, "left_anti")
+    key, fp, gone_key, gone_fp = fresh(docs, "key", "fp", "gone_key", "gone_fp")
+
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array(fingerprints(texts).view(np.int64))
+
+    out = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(fp, F.arrow_udf(prints, "long")(F.col(text_col)))
+    gone = gone.select(F.col("doc_id").alias(gone_key), F.col("fp").alias(gone_fp)).distinct()
+    out = out.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.col(fp) == F.col(gone_fp)), "left_anti")
     if repeated.limit(1).count():
         out = out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
     return out.select([F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
+from samples import prose
 
 from scoreloom.llm import bytescan, simhash
 from scoreloom.llm.components import connected
@@ -83,6 +84,15 @@ def test_odd_rows(odd, odd_rows, none):
     assert simhash.simhash_components(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_rows_are_told_apart_by_fingerprint(spark, odd, odd_rows):
+    kept = simhash.drop_near_duplicates(odd).where("doc_id is null").collect()
+    assert [r.text for r in kept] == [odd_rows[6][1]], "its component has no id; the null text is a copy of document 3"
+    a, b, c = (prose(k, 60) for k in (50, 51, 52))
+    rows = [(1, a), (9, a), (9, b), (None, b), (None, c), (None, c)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(1, a), (9, b), (0, c), (0, c)])
+
+
 def test_xxh64_of_all_lengths():
     data = np.frombuffer(bytes(range(1, 200)) * 2, np.uint8)
     ends = np.arange(0, 150)
