@@ -13,22 +13,26 @@ from scoreloom.plans.fixtures import SCORE_ROWS, score_rows, table
 from scoreloom.registry import query
 
 
+#: Components of an embedding.
+WIDTH = 64
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", (F.col("label") >= 5).cast("int").alias("label"), (F.col("vec_id") % 40).alias("grp"), *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)))
+    return e.select("vec_id", (F.col("label") >= 5).cast("int").alias("label"), (F.col("vec_id") % 40).alias("grp"), *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(WIDTH)))
 
 
 @query()
 def balanced_logistic(spark: SparkSession, sf: str) -> DataFrame:
     rows = _vectors(spark, sf)
-    model = L.fit_logistic(rows, [f"x{i}" for i in range(8)])
+    model = L.fit_logistic(rows, [f"x{i}" for i in range(WIDTH)])
     return rows.select("vec_id", "label", model.probability().alias("probability"))
 
 
 @query()
 def grouped_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     rows = _vectors(spark, sf).withColumn("grp", F.concat_ws(":", "grp", "label"))
-    return L.leakage_verdict(L.out_of_fold(rows, [f"x{i}" for i in range(8)], "grp"))
+    return L.leakage_verdict(L.out_of_fold(rows, [f"x{i}" for i in range(WIDTH)], "grp"))
 
 
 @query()
@@ -36,7 +40,7 @@ def shuffled_label_control(spark: SparkSession, sf: str) -> DataFrame:
     """Labels dealt anew by cluster: the fair accuracy of a model on them shows what chance gives."""
     rows = _vectors(spark, sf).withColumn("grp", F.concat_ws(":", "grp", "label"))
     dealt = F.when(F.conv(F.substring(F.md5(F.concat(F.lit("shuffle|"), "grp")), 1, 4), 16, 10).cast("int") % 2 == 0, 1).otherwise(0)
-    return L.leakage_verdict(L.out_of_fold(rows.withColumn("label", dealt), [f"x{i}" for i in range(8)], "grp"))
+    return L.leakage_verdict(L.out_of_fold(rows.withColumn("label", dealt), [f"x{i}" for i in range(WIDTH)], "grp"))
 
 
 @query()
@@ -63,13 +67,13 @@ def median_imputation(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def manifest_leakage(spark: SparkSession, sf: str) -> DataFrame:
     """Can the degradation metadata alone tell the label? Line items stand for records, orders for sources."""
-    items = table(spark, sf, "lineitem").where("l_linenumber = 1")
+    items = table(spark, sf, "lineitem")
     step = F.struct(F.when(F.col("l_returnflag") == "R", "jpeg").otherwise("rescale").alias("op"), F.lit(None).cast("string").alias("codec"), F.col("l_quantity").cast("double").alias("quality"), F.lit(512.0).alias("target"), F.lit(None).cast("double").alias("factor"), F.lit(None).cast("double").alias("device_pixel_ratio"))
     rows = items.select(
         F.col("l_orderkey").alias("source"), (F.col("l_orderkey") % 2).cast("int").alias("label"), F.col("l_returnflag").alias("chain"), F.lit("png").alias("source_format"), F.col("l_linestatus").alias("output_format"), F.array(step).alias("steps"), F.lit(1).alias("lossy_encode_count"),
         *(F.lit(640).alias(c) for c in ("source_width", "source_height", "output_width", "output_height")), F.col("l_extendedprice").alias("source_bytes"), F.col("l_extendedprice").alias("output_bytes"),
     )
-    rows, columns = L.manifest_features(rows.dropDuplicates(["source"]))
+    rows, columns = L.manifest_features(rows)
     return L.leakage_verdict(L.out_of_fold(rows, columns, "source"))
 
 
