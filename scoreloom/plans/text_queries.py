@@ -38,7 +38,7 @@ def pages_by_host(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '^$', ''), ''), 'unknown') AS slug FROM documents")
 def slugify(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.slug(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^<>]*>', '', 'g'), '(?s)<.*$', ''), '>', '', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages")

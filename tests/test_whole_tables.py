@@ -22,3 +22,9 @@ def test_every_component_of_an_embedding_counts(spark, tmp_path):
     rows = registry.QUERIES["balanced_logistic"](spark, str(tmp_path)).collect()
     assert sum((r.probability > 0.5) == (r.label == 1) for r in rows) > 0.95 * len(rows)
     assert registry.QUERIES["grouped_out_of_fold"](spark, str(tmp_path)).first().auc > 0.9
+
+
+def test_slug_is_of_the_whole_text(spark, tmp_path):
+    texts = [(1, "-" * 90 + "Deep Word"), (2, "a" + "! " * 60 + "b")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.slug for r in registry.QUERIES["slugify"](spark, str(tmp_path)).collect()} == {1: "deep-word", 2: "a-b"}
