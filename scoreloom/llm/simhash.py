@@ -181,7 +181,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pa.array(fingerprints(texts).view(np.int64))
 
     out = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(fp, F.arrow_udf(prints, "long")(F.col(text_col)))
-    gone = gone.select(F.col("doc_id").alias(gone_key), F.col("fp").alias(gone_fp)).distinct()
+    gone = gone.select(F.col("doc_id").alias(gone_key), F.col("fp").alias(gone_fp))  # not made distinct: an aggregation would bind the join on fp, so that it cannot split a hot one
     out = out.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.col(fp) == F.col(gone_fp)), "left_anti")
     if repeated.limit(1).count():
         out = out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
