@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -50,10 +53,95 @@ def test_odd_rows(spark, odd, odd_rows, none):
 
 def test_table_keeps_every_ratio(spark):
     n = 1_200_000
-    ratios = spark.range(n).select(F.col("id").alias("g"), (F.col("id") % 7).cast("float").alias("ratio"), F.lit(1.0).alias("weight"))
+    ratios = spark.range(n).select(F.col("id").alias("g"), (F.col("id") % 7 + 1).cast("int").alias("ratio"))
     table = T.scoring_table(ratios)
-    known, ratio = table.of(np.arange(2 * n, dtype=np.uint64))
-    assert known[:n].all() and not known[n:].any()
-    assert (ratio[:n] == np.arange(n) % 7).all()
-    known, _ = T.scoring_table(ratios.where("g < 0")).of(np.arange(5, dtype=np.uint64))
-    assert not known.any()
+    ratio = table.of(np.arange(2 * n, dtype=np.uint64))
+    assert (ratio[:n] == np.arange(n) % 7 + 1).all() and not ratio[n:].any()
+    assert not T.scoring_table(ratios.where("g < 0")).of(np.arange(5, dtype=np.uint64)).any()
+
+
+class Brute:
+    """The two models from their definition, over tuples of symbols."""
+
+    def __init__(self, rows):
+        self.top = defaultdict(lambda: [0, 0])
+        for text, toxic in rows:
+            for w in set(re.findall("[a-z]+", text.lower())):
+                for g in self.grams(w):
+                    self.top[g][toxic] += 1
+        every = {g[k:] for g in self.top for k in range(len(g))}
+        self.next, self.left = defaultdict(list), defaultdict(Counter)
+        for g in self.top:
+            self.next[g[:-1]].append(g)
+        for g in every:
+            if len(g) > 1:
+                self.left[g[1:-1]][g[1:]] += 1
+
+    @staticmethod
+    def grams(word):
+        s = [T.FIRST, *word.encode(), T.LAST]
+        return [tuple(s[max(0, i - T.ORDER + 1) : i + 1]) for i in range(1, len(s))]
+
+    def shared(self, g):
+        if not g:
+            return 1 / T.SYMBOLS
+        own = self.left[g[:-1]]
+        total = sum(own.values())
+        return max(own[g] - T.DISCOUNT, 0) / total + T.DISCOUNT * len(own) / total * self.shared(g[1:])
+
+    def ratio(self, g):
+        if g not in self.top:
+            return 0.0
+        own = {x: self.top[x] for x in self.next[g[:-1]]}
+        total = sum(map(sum, own.values()))
+        mass = T.DISCOUNT * len(own) / total
+        held = {x: [n * (sum(c) - T.DISCOUNT) / sum(c) for n in c] for x, c in own.items()}
+        p = []
+        for k in (1, 0):
+            everyone = sum(map(sum, held.values()))
+            p.append((1 - mass) * (held[g][k] + T.SHARED * sum(held[g]) / everyone) / (sum(c[k] for c in held.values()) + T.SHARED) + mass * self.shared(g[1:]))
+        return math.log(p[0] / p[1])
+
+    def features(self, text):
+        words = set(re.findall("[a-z]+", text.lower()))
+        each = sorted((sum(round(self.ratio(g) * T.UNIT) / T.UNIT for g in self.grams(w)) for w in words), reverse=True)
+        return [sum(each) / max(sum(len(w) + 1 for w in words), 1), *(sum(each[:k]) / k for k in T.MOST)]
+
+
+def key(g):
+    return sum(b << (8 * i) for i, b in enumerate(g)) | len(g) << 56
+
+
+def test_probabilities_equal_brute_force(spark):
+    docs, labels = planted(60)
+    truth = dict(labels)
+    rows = [(t, truth[i], 0) for i, t in docs]
+    model = T.log_ratios(T.count_grams(spark.createDataFrame(rows, "text string, toxic int, fold int")))
+    found = {r.g: r.ratio for r in model.collect()}
+    brute = Brute([(t, y) for t, y, _ in rows])
+    assert found.keys() == {key(g) for g in brute.top}
+    assert all(abs(found[key(g)] - brute.ratio(g) * T.UNIT) <= 0.51 for g in brute.top)
+    assert max(found.values()) > T.UNIT and min(found.values()) < 0
+
+
+def test_models_are_probabilities():
+    docs, labels = planted(30)
+    brute = Brute([(t, y) for (_, t), (_, y) in zip(docs, labels, strict=True)])
+    context = tuple([T.FIRST, *b"al"])
+    assert abs(sum(brute.shared((*context[1:], b)) for b in range(1, 257)) - 1) < 1e-9
+
+
+def test_scores_follow_the_features_for_any_slices(spark, monkeypatch):
+    docs, labels = planted(200)
+    texts = [*docs, (900, ""), (901, None), (902, "new words only"), (903, docs[0][1] + " " + docs[0][1].upper())]
+    frame, truth = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.train(frame, truth)
+    one = {r.doc_id: r.s for r in T.with_scores(frame, model, "s").collect()}
+    rest = {i: zlib.crc32(str(i).encode()) % 3 for i, _ in docs}
+    brute = Brute([(t, dict(labels)[i]) for i, t in docs if rest[i] != 1])
+    for i, t in texts:
+        x = (np.array(brute.features(t or "")) - model.mean) / model.scale
+        assert abs(one[i] - 1 / (1 + math.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -40, 40)))) < 1e-6
+    assert one[903] == one[0] and one[900] == one[901]
+    monkeypatch.setattr(T, "SLICE", 700)
+    assert {r.doc_id: r.s for r in T.with_scores(frame, model, "s").collect()} == one
