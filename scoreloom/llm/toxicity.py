@@ -25,7 +25,7 @@ UNIT = 1 << 12
 #: Rows of the model that are sent to workers at once (16 to 20 bytes each); a larger model is sent in slices, one after the other.
 SLICE = 4_000_000
 #: Labelled documents used at most to calibrate the score, and label rows up to which labels are broadcast.
-CALIBRATE, BROADCAST_LABELS = 20_000, 2_000_000
+CALIBRATE, BROADCAST_LABELS = 20_000, 500_000
 THRESHOLD = 0.7
 
 _LETTER = np.zeros(256, bool)
