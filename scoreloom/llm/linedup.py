@@ -15,54 +15,77 @@ from pyspark.sql import functions as F
 from scoreloom.llm import bytescan as B
 from scoreloom.llm.common import SPACES, fresh, stage
 
-#: Least number of words of an aligned block that is deleted.
+#: Least number of words of an aligned block that is deleted, unless told otherwise.
 BLOCK_WORDS = 20
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _windows(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """By line, a hash of the shortest run from it with ``BLOCK_WORDS`` words; 0 where that is the line alone or the document ends before."""
-    total = np.cumsum(size)
-    last = np.searchsorted(total, total - size + BLOCK_WORDS)
-    inside = last < len(doc)
-    inside[inside] = doc[last[inside]] == doc[inside]
-    out, at, step = h.copy(), np.flatnonzero(inside & (last > np.arange(len(doc)))), 1
-    many = np.zeros(len(doc), bool)
-    many[at] = True
-    while len(at):  # each line has a word, so there are less than BLOCK_WORDS steps
-        out[at] = B.mix(out[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + step])
-        step += 1
-        at = at[last[at] - at >= step]
-    return np.where(many, out, np.uint64(0))
-
-
-def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct line with a word of each document: its two hashes, positions among such lines, windows from these, words."""
-    for batch in batches:
-        ids, version = batch.column(0), batch.column(1)
-        for lo, data, offsets in B.chunks(batch.column(2)):
-            found = B.lines(data, offsets)
-            word = B.words(data, offsets)
-            bounds = np.searchsorted(word.starts, found.starts), np.searchsorted(word.starts, found.ends)
-            size = bounds[1] - bounds[0]
-            full = size > 0
-            starts, ends, doc, size = found.starts[full], found.ends[full], found.doc[full], size[full]
-            if not len(starts):
-                continue
-            h1, h2 = (B.hashes(data, starts, ends, salt) for salt in (1, 2))
-            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            order = np.lexsort((rank, h2, h1, doc))
-            new = np.ones(len(order), bool)
-            new[1:] = (doc[order][1:] != doc[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-            head = np.flatnonzero(new)
-            first = order[head]
-            cuts = pa.array(np.append(head, len(order)).astype(np.int32))
-            at = pa.ListArray.from_arrays(cuts, pa.array(rank[order].astype(np.int32)))
-            runs = pa.ListArray.from_arrays(cuts, pa.array(_windows(h1, doc, size)[order].view(np.int64)))
-            row = pa.array(lo + doc[first])
-            yield pa.record_batch(
-                [ids.take(row), version.take(row), pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), at, runs, pa.array(size[first].astype(np.int32))],
-                ["id", "v", "h1", "h2", "at", "runs", "words"],
-            )
+def runs(size: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the shortest runs with ``least`` words that begin at a line, and of those that end at one, within a document.
+
+    Each line of any block of ``least`` words or more is in one of the block's
+    runs: those that begin at its lines and end inside, or the other way round.
+    """
+    total, at = np.cumsum(size), np.arange(len(size))
+    end = np.searchsorted(total, total - size + least)
+    whole = end < len(size)
+    whole[whole] = doc[end[whole]] == doc[whole]
+    begin = np.searchsorted(total - size, total - least, "right") - 1
+    back = total >= least
+    back[back] = doc[begin[back]] == doc[back]
+    both = np.unique(np.concatenate([at[whole] * len(at) + end[whole], begin[back] * len(at) + at[back]]))
+    return both // max(len(at), 1), both % max(len(at), 1)
+
+
+def _run_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the line hashes of each run, in order."""
+    up, down = (np.full(len(h), x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    up[:1] = down[:1] = 1
+    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
+    return B.mix((total[last + 1] - total[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for ``size`` values, of each pair in turn."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _run_batches(least: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each distinct run of each document: its two hashes, positions of its first line among those with a word, hashes and words of its lines."""
+        for batch in batches:
+            ids, version = batch.column(0), batch.column(1)
+            for lo, data, offsets in B.chunks(batch.column(2)):
+                lines, word = B.lines(data, offsets), B.words(data, offsets)
+                size = np.searchsorted(word.starts, lines.ends) - np.searchsorted(word.starts, lines.starts)
+                full = size > 0
+                starts, ends, doc, size = lines.starts[full], lines.ends[full], lines.doc[full], size[full]
+                first, last = runs(size, doc, least)
+                if not len(first):
+                    continue
+                h1, h2 = (B.hashes(data, starts, ends, salt) for salt in (1, 2))
+                w1, w2 = _run_hashes(h1, first, last, _BASES[0]), _run_hashes(h2, first, last, _BASES[1])
+                rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                order = np.lexsort((first, w2, w1, doc[first]))
+                new = np.ones(len(order), bool)
+                new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (doc[first], w1, w2)], axis=0)
+                head = np.flatnonzero(new)
+                one = order[head]
+                at = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(rank[first][order].astype(np.int32)))
+                n = last[one] - first[one] + 1
+                inside = _ragged(first[one], n)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                row = pa.array(lo + doc[first[one]])
+                yield pa.record_batch(
+                    [
+                        ids.take(row), version.take(row), pa.array(w1[one].view(np.int64)), pa.array(w2[one].view(np.int64)), at,
+                        pa.ListArray.from_arrays(cuts, pa.array(h1[inside].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(size[inside].astype(np.int32))),
+                    ],
+                    ["id", "v", "w1", "w2", "at", "lines", "words"],
+                )
+
+    return found
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -133,56 +156,53 @@ def blocks(aligned: list[tuple[int, int]], words: dict[int, int], least: int = B
     return out + run if sum(words[p] for p in run) >= least else out
 
 
-def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hit, removed = [], []
-        for row, shared in enumerate(batch.column(2).to_pylist()):
-            left = {p: code for code, s in enumerate(shared) for p in s["here"]}
-            right = {p: code for code, s in enumerate(shared) for p in s["there"]}
-            words = {p: s["words"] for s in shared for p in s["here"]}
-            if sum(words.values()) >= BLOCK_WORDS and (gone := blocks(align(left, right), words)):
-                hit.append(row)
-                removed.append(gone)
-        at = pa.array(hit, pa.int64())
-        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(removed, pa.list_(pa.int32()))], ["id", "v", "removed"])
+def _align_batches(least: int):
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit, removed = [], []
+            for at in range(0, batch.num_rows, 256):
+                for row, shared in enumerate(batch.column(2).slice(at, 256).to_pylist(), at):
+                    left = {p + i: code for s in shared for p in s["here"] for i, code in enumerate(s["lines"])}
+                    right = {q + i: code for s in shared for q in s["there"] for i, code in enumerate(s["lines"])}
+                    words = {p + i: n for s in shared for p in s["here"] for i, n in enumerate(s["words"])}
+                    if gone := blocks(align(left, right), words, least):
+                        hit.append(row)
+                        removed.append(gone)
+            rows = pa.array(hit, pa.int64())
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(removed, pa.list_(pa.int32()))], ["id", "v", "removed"])
+
+    return aligned
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
     """``(id, v, removed)``: positions, among the lines with a word, to delete from a document with version hash ``v``.
 
-    Lines are the parts between newlines; 128 bits of hash stand for a line.
-    For every line that several documents hold, the documents after the first
-    one are paired with that first one, so a line held by very many documents
-    gives as many pairs as documents, never their square. Rarity decides by
-    itself: a line held by few documents points at the few that overlap, a
-    frequent one costs its one pair a document, and nothing is capped. Windows,
-    the shortest runs of several lines with ``BLOCK_WORDS`` words, are paired in
-    the same way, so a block has a partner also if each of its lines has an
-    earlier holder of its own. A pair's shared lines are then joined and aligned
-    by patience diff. Documents are
-    ordered by id and, for one id with several texts, by the text's hash.
+    Lines are the parts between newlines. Documents overlap if they share a
+    block of ``least`` words, and any such block consists of the shortest runs of
+    lines with so many words. A run is as rare as the rarest of its lines, or
+    rarer, so its hash is what documents are paired by: every document with the
+    first one that holds the run. A run that very many documents hold gives as
+    many pairs as documents, never their square, nothing is capped, and a
+    frequent short line pairs nobody. Each block that two documents share is
+    found, run by run, in the runs' first holders, whichever these are.
+
+    A pair's shared runs give the candidate lines, by their hashes; patience diff
+    aligns them, and aligned blocks of ``least`` words go from the later document.
+    A document's candidate lines number no more than the lines of its runs, over
+    all its pairs. Documents are ordered by id and, for one id with several
+    texts, by the text's hash.
     """
     key = F.xxhash64(F.col(text_col))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key.alias("v"), F.col(text_col).alias("text"))
-    found = stage(rows.mapInArrow(_line_batches, "id long, v long, h1 long, h2 long, at array<int>, runs array<long>, words int"), "lines")
-    first_lines = found.where(F.get("at", F.lit(0)) == 0)
-    if first_lines.groupBy("id", "v").count().where("count > 1").limit(1).count():  # repeated rows are one document
-        found = stage(found.dropDuplicates(["id", "v", "h1", "h2"]), "lines-once")
+    found = stage(rows.mapInArrow(_run_batches(least), "id long, v long, w1 long, w2 long, at array<int>, lines array<long>, words array<int>"), "runs")
     who = F.struct("id", "v")
-    shared = found.groupBy("h1", "h2").agg(F.min(who).alias("head"), F.max(who).alias("tail")).where("head <> tail").select("h1", "h2", "head")
-    shared = stage(shared, "heads")  # with an exchange of its own the join below can split a hot line
-    live = stage(found.join(shared, ["h1", "h2"]), "shared")
-    pairs = live.where(who != F.col("head")).select("id", "v", F.col("head.id").alias("p"), F.col("head.v").alias("pv"))
-    windows = live.select("id", "v", F.explode("runs").alias("w")).where("w <> 0")
-    firsts = windows.groupBy("w").agg(F.min(who).alias("head"), F.max(who).alias("tail")).where("head <> tail").select("w", "head")
-    windows = windows.join(stage(firsts, "window-heads"), "w").where(who != F.col("head"))
-    pairs = pairs.union(windows.select("id", "v", F.col("head.id"), F.col("head.v"))).distinct()
-    here = pairs.join(live.select("id", "v", "h1", "h2", F.col("at").alias("here"), "words"), ["id", "v"])
-    there = live.select(F.col("id").alias("p"), F.col("v").alias("pv"), "h1", "h2", F.col("at").alias("there"))
-    both = here.join(there, ["p", "pv", "h1", "h2"])
-    each = both.groupBy("id", "v", "p", "pv").agg(F.sum("words").alias("most"), F.collect_list(F.struct("here", "there", "words")).alias("shared"))
-    gone = each.select("id", "v", "shared").mapInArrow(_align_batches, "id long, v long, removed array<int>")
-    return gone.groupBy("id", "v").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+    heads = found.groupBy("w1", "w2").agg(F.min(F.struct("id", "v", "at")).alias("head"), F.max(who).alias("tail"))
+    heads = heads.where("struct(head.id, head.v) <> tail").select("w1", "w2", F.col("head.id").alias("p"), F.col("head.v").alias("pv"), F.col("head.at").alias("there"))
+    heads = stage(heads, "heads")  # with an exchange of its own the join below can split a hot run
+    pairs = found.join(heads, ["w1", "w2"]).where((F.col("id") != F.col("p")) | (F.col("v") != F.col("pv")))
+    each = pairs.groupBy("id", "v", "p", "pv").agg(F.collect_set(F.struct(F.col("at").alias("here"), "there", "lines", "words")).alias("shared"))  # repeated rows give one set
+    gone = each.select("id", "v", "shared").mapInArrow(_align_batches(least), "id long, v long, removed array<int>")
+    return gone.groupBy("id", "v").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("removed")))).alias("removed"))
 
 
 def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -204,11 +224,11 @@ def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
     return pc.replace_with_mask(texts, changed, pa.array(new, texts.type))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, least: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with aligned common blocks deleted from the later of two documents.
 
     A block is a run of lines that patience diff aligns one by one, of
-    ``BLOCK_WORDS`` words or more; lines without a word are looked through, and
+    ``least`` words or more; lines without a word are looked through, and
     go with the deleted line before them. Only ``text_col`` changes;
     ``count_col`` adds the number of deleted lines.
 
@@ -217,7 +237,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same text are one document and change alike; with different texts they are
     told apart by the text. Empty tables give empty tables.
     """
-    gone = repeated_lines(docs, id_col, text_col)
+    gone = repeated_lines(docs, id_col, text_col, least)
     k, v, r = fresh(docs, "join_id", "join_version", "removed")
     marked = docs.withColumn(k, F.col(id_col).cast("long")).withColumn(v, F.xxhash64(F.col(text_col)))
     marked = marked.join(gone.select(F.col("id").alias(k), F.col("v").alias(v), F.col("removed").alias(r)), [k, v], "left")
