@@ -15,8 +15,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     node moves to the least neighbour (large star), then every node's smaller
     neighbours move to the least of them (small star). Both are a grouped
     minimum and a join, so a node with very many edges costs partial
-    aggregation and a join that adaptive execution can split. Each round is
-    written to the shared folder. No edges give no rows; loops and repeated
+    aggregation and a join. The minima are written first: a join with an
+    exchange of its own on either side is one that adaptive execution can split.
+    Each round is written to the shared folder. No edges give no rows; loops and repeated
     edges have no effect; rows with a null are ignored.
     """
     now = stage(
@@ -25,9 +26,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = now.select(F.col("v").alias("n"), F.col("u").alias("w")).union(now.select("u", "v"))
-        least = both.groupBy("n").agg(F.min("w").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.join(least, "n").where("w > n").select(F.col("w").alias("v"), F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        least = stage(both.groupBy("n").agg(F.min("w").alias("m")).select("n", F.least("n", "m").alias("m")), "least")
+        large = stage(both.where("w > n").join(least, "n").select(F.col("w").alias("v"), F.col("m").alias("u")).distinct(), "large")
+        least = stage(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         joined = large.join(least, "v")
         small = joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u"))).distinct()
         now = stage(small, "star")

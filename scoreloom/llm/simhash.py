@@ -123,13 +123,13 @@ def links(distinct: DataFrame) -> DataFrame:
     number of rows in proportion to the members.
     """
     keys = distinct.select("fp").mapInArrow(_key_batches, "k long, fp long")
-    sizes = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = stage(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # with exchanges of their own, this join and the last one can split a hot key
     live = stage(keys.join(sizes, "k"), "buckets")
     few = live.where(F.col("n") <= PAIRWISE)
     pairs = few.select("k", F.col("fp").alias("a")).join(few.select("k", F.col("fp").alias("b")), "k")
     pairs = pairs.where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
     variants = live.where(F.col("n") > PAIRWISE).select("fp").distinct().mapInArrow(_variant_batches, "x long, fp long")
-    heads = variants.groupBy("x").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("x", "a")
+    heads = stage(variants.groupBy("x").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("x", "a"), "heads")
     stars = variants.join(heads, "x").where("a <> fp").select("a", F.col("fp").alias("b"))
     return pairs.union(stars)
 
@@ -158,7 +158,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     distinct = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected(links(distinct))
     inside = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = inside.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stage(inside.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # else the join below could not split a hot root
     by_print = stage(inside.select("fp", "root").join(least, "root"), "components")
     return printed.join(by_print.drop("root"), "fp").select("doc_id", "fp", "component_id"), by_print
 
@@ -168,13 +168,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows are told apart by id and fingerprint, so a row without an id goes only
     if its own component has an id, and a row whose id repeats with another
-    text only by the component of that text. Rows that repeat the kept id count
-    as the same document, and one of them stays. A component without any id
-    keeps all its rows: there is nothing to tell them apart by.
+    text only by the component of that text: of an id with texts in several
+    components, one row of each stays. Rows that repeat the kept id in its
+    component count as the same document, and one of them stays. A component
+    without any id keeps all its rows: there is nothing to tell them apart by.
     """
     labels = simhash_components(docs, id_col, text_col)
     gone = labels.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
-    repeated = labels.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    repeated = labels.where("doc_id = component_id").groupBy("doc_id", "fp").count().where("count > 1")
     key, fp, gone_key, gone_fp = fresh(docs, "key", "fp", "gone_key", "gone_fp")
 
     def prints(texts: pa.Array) -> pa.Array:
@@ -184,5 +185,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = gone.select(F.col("doc_id").alias(gone_key), F.col("fp").alias(gone_fp))  # not made distinct: an aggregation would bind the join on fp, so that it cannot split a hot one
     out = out.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.col(fp) == F.col(gone_fp)), "left_anti")
     if repeated.limit(1).count():
-        out = out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
+        out = out.where(F.col(key).isNotNull()).dropDuplicates([key, fp]).unionByName(out.where(F.col(key).isNull()))
     return out.select([F.col(f"`{c}`") for c in docs.columns])
