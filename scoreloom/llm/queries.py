@@ -126,11 +126,11 @@ def _secret_spans_sql() -> str:
 OP6_SQL = f"""
 WITH a AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
      s AS (SELECT r, nr, kind, value, start::BIGINT AS b, (start + size)::BIGINT AS e FROM ({_secret_spans_sql()}) WHERE length(value) >= least),
-     o AS (SELECT value, count(DISTINCT owner) AS n FROM s JOIN a USING (r) GROUP BY value),
+     o AS (SELECT value, n >= {secrets.WIDE_OWNERS} OR n > 1 AND m >= {secrets.WIDE_REPOSITORIES} AS wide FROM (SELECT value, count(DISTINCT owner) AS n, count(DISTINCT (owner, repo)) AS m FROM s JOIN a USING (r) GROUP BY value)),
      g AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
                   coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, nr) FILTER (WHERE nr < {len(secrets.KINDS)}), '') AS base,
                   string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, nr) AS spans,
-                  count(*) FILTER (WHERE n < {secrets.WIDE_OWNERS}) AS n_live, count(*) FILTER (WHERE n >= {secrets.WIDE_OWNERS}) AS n_example
+                  count(*) FILTER (WHERE NOT wide) AS n_live, count(*) FILTER (WHERE wide) AS n_example
            FROM s JOIN o USING (value) GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
        coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example

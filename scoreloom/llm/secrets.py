@@ -19,19 +19,28 @@ MORE_KINDS = (
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
-#: Distinct owners from which on a value counts as a copied example.
-WIDE_OWNERS = 3
+#: Distinct owners from which on a value counts as a copied example, and repositories of two owners or more from which on it does as well.
+WIDE_OWNERS, WIDE_REPOSITORIES = 3, 5
+#: Matches whose positions are added up in one fold.
+_FOLD = 64
+
+
+def is_wide(n_owners: Column, n_repositories: Column) -> Column:
+    """Whether a value is a copied example: one owner's value is not, in however many of its repositories it is."""
+    return (n_owners >= WIDE_OWNERS) | ((n_owners > 1) & (n_repositories >= WIDE_REPOSITORIES))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches, left to right, as structs of start, end (code points, end exclusive) and value.
 
     Splitting at a pattern gives the parts between its matches, so the lengths
-    of parts and matches add up to the positions.
+    of parts and matches add up to the positions. They are added in blocks, so
+    that a text with very many matches does not copy a growing list at each.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    size = lambda x: F.coalesce(x["gap"], F.lit(0)) + F.length(x["hit"])
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.coalesce(pair["gap"], F.lit(0))
@@ -40,8 +49,13 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     pairs = F.arrays_zip(F.slice(parts, 1, F.greatest(F.size(found), F.lit(1))).alias("gap"), found.alias("hit"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+    n_blocks = F.ceil(F.size(found) / _FOLD).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.slice(pairs, k * _FOLD + 1, _FOLD))
+    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + size(x)))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(sizes, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+    spans = F.flatten(F.zip_with(blocks, starts, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("out")), step)["out"]))
+    return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
 def _spans(text: Column, nr: int, kind: str, pattern: str, key: str | None, least: int) -> Column:
@@ -68,8 +82,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``spans`` has all candidates (see ``KINDS``; a failing match still uses up
     its text). Each value's hash is counted over the corpus by distinct
-    repositories and owners: one that ``WIDE_OWNERS`` owners or more hold is a
-    copied example, any other looks like a live credential of its owners, and
+    repositories and owners: a widely copied one (see :func:`is_wide`) is an
+    example, any other looks like a live credential of its owners, and
     ``live_spans`` lists its spans. ``owner`` and ``repository`` are by default
     the source and the source with the language.
 
@@ -90,7 +104,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bundles = rows.where("bundle is not null").select("bundle").distinct().select("bundle", F.posexplode(F.split("bundle", ",")).alias("at", "value"))
     known = bundles.join(counts, "value").groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("at", "n_owners", "n_repositories"))).alias("known"))
     known = stage(known, "ownership")
-    wide = lambda k: k["n_owners"] >= WIDE_OWNERS
+    wide = lambda k: is_wide(k["n_owners"], k["n_repositories"])
     out = rows.join(known, "bundle", "left")
     live = F.filter(F.coalesce("spans", F.array().cast(rows.schema["spans"].dataType)), lambda x, i: ~F.coalesce(wide(F.get("known", i)), F.lit(False)))
     n_known = lambda test: F.coalesce(F.size(F.filter("known", test)), F.lit(0)).cast("long")

@@ -34,6 +34,21 @@ def test_ownership(spark):
     assert (out[0].n_live, out[0].n_example) == (0, 1) and out[10].n_live == 1
 
 
+def test_repositories_count(spark):
+    spread, reused = "token=spreadspread00001", "token=reusedreused00001"
+    rows = [(i, spread, f"src{i % 2}", f"l{i}") for i in range(5)] + [(10 + i, reused, "src0", f"l{i}") for i in range(6)] + [(20 + i, "token=pairpairpair00001", f"src{i}", "en") for i in range(2)]
+    out = {r.doc_id: (r.n_live, r.n_example) for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert out[0] == (0, 1), "five repositories of two owners"
+    assert out[10] == (1, 0), "six repositories of one owner"
+    assert out[20] == (1, 0)
+
+
+def test_a_text_with_very_many_matches(spark):
+    text = " ".join(f"é token=abcdefghijkl{i:05d}" for i in range(3000))
+    (r,) = S.find_secrets(spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")).collect()
+    assert [tuple(s) for s in r.spans if s.nr < 3] == spans(text) and len(r.spans) == 3000
+
+
 def test_odd_rows(odd, odd_rows, none):
     out = S.find_secrets(odd)
     assert out.count() == len(odd_rows) and S.find_secrets(none).count() == 0
