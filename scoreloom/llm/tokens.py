@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm import bytescan as B
+
 #: Vocabulary whose pieces the unigram model has.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Counts kept by a worker before it starts anew.
-KEPT = 400_000
+#: Characters of the pre-tokens whose counts a worker keeps before it starts anew.
+KEPT = 4_000_000
+#: Bytes of texts whose pre-tokens are counted together.
+CHUNK = 1 << 19
 _SPACE = "▁"
 
 
@@ -99,24 +103,25 @@ def pre_tokens(text: str) -> list[str]:
 def token_counts(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, n_pre_tokens)`` for each row of ``docs``.
 
-    Each batch's new distinct pre-tokens go through one trie and their counts
-    are kept for later batches of the task, in bounded number; nothing is
-    shuffled or broadcast but the vocabulary. Nulls and empty texts have 0
+    The new distinct pre-tokens of texts of ``CHUNK`` bytes, or of one longer
+    text, go through one trie and their counts are kept for later texts of the
+    task, up to ``KEPT`` characters; nothing is shuffled or broadcast but the vocabulary. Nulls and empty texts have 0
     tokens; ids may be null and repeat; an empty table gives no rows; other
     columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Unigram(pieces), {}
+        model, known, kept = Unigram(pieces), {}, 0
         for batch in batches:
             tokens, parts = [], []
             column = batch.column(1)
-            for lo in range(0, len(column), 256):
-                texts = [pre_tokens(t or "") for t in column.slice(lo, 256).to_pylist()]
-                new = set().union(*texts)
-                if len(known) > KEPT:
-                    known = {}
-                known.update(model.counts(new.difference(known)))
+            for lo, _, offsets in B.chunks(column, CHUNK):
+                texts = [pre_tokens(t or "") for t in column.slice(lo, len(offsets) - 1).to_pylist()]
+                if kept > KEPT:
+                    known, kept = {}, 0
+                new = set().union(*texts).difference(known)
+                kept += sum(map(len, new))
+                known.update(model.counts(new))
                 tokens += [sum(map(known.__getitem__, t)) for t in texts]
                 parts += map(len, texts)
             yield pa.record_batch([batch.column(0), pa.array(tokens, pa.int64()), pa.array(parts, pa.int64())], ["doc_id", "n_tokens", "n_pre_tokens"])
