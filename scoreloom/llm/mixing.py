@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from scoreloom.llm.common import fresh, stage
 #: Labelled rows that the domain classifier is fitted on at most, and buckets its words are hashed to.
 SAMPLE, BUCKETS = 2_000, 1 << 10
 MOST_STEPS, CLOSE = 60, 1e-6
+#: Distance from the targets, as a share of all tokens, from which on there is a warning.
+FAR = 0.01
 #: Share of all tokens that each domain (language, then + for good and - for poor quality) is to have.
 TARGETS = {"en+": 0.50, "de+": 0.15, "fr+": 0.15, "es+": 0.12, "en-": 0.04, "de-": 0.015, "fr-": 0.015, "es-": 0.01}
 
@@ -107,7 +110,8 @@ def train_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col
             x = _features(batch.column(0))
             yield pa.record_batch([batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["domain", "x"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(some), "id").dropDuplicates(["id"])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(some), "id")
+    rows = rows.groupBy("id").agg(F.min("domain").alias("domain"), F.min_by("text", F.xxhash64("text")).alias("text"))  # of an id with several texts, always the same one
     rows = rows.select("text", "domain").mapInArrow(run, "domain string, x array<float>").orderBy("domain", F.xxhash64("x")).toPandas()
     x = np.stack(rows["x"].to_list()).astype(np.float64) if len(rows) else np.zeros((0, BUCKETS + SHAPE))
     return fit_domains(x, rows["domain"].to_list(), names)
@@ -121,7 +125,21 @@ def _rate(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
+@dataclass
+class Rates:
+    """Steps to the documents' rates, and how far the totals stay from the goal, as a share of all tokens."""
+
+    steps: list[np.ndarray]
+    residual: float
+
+    def checked(self) -> list[np.ndarray]:
+        """The steps; a warning where the targets are out of reach, as when no document belongs to a domain."""
+        if self.residual > FAR:
+            warnings.warn(f"the mixture is {self.residual:.1%} of all tokens away from its targets", stacklevel=3)
+        return self.steps
+
+
+def fit_rates(table: DataFrame, targets: np.ndarray) -> Rates:
     """Steps of projected-gradient least squares on nonnegative rates, over all of ``table(n_tokens, posterior)``.
 
     The unknowns are one rate a document. The residual is the expected token
@@ -130,8 +148,10 @@ def fit_rates(table: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
     alone, and the residual is measured in the metric of the domain covariance
     of the documents that still have a positive rate, in which a step of length
     1 solves the problem unless more rates reach 0. A step that does not bring
-    the totals nearer is halved. A step is thus a vector over domains: the
-    driver keeps these, and each pass sums ``k + k * k`` numbers over the table.
+    the totals nearer is halved. Targets that no rates
+    reach end where steps bring the totals no nearer; the residual says how far.
+    A step is thus a vector over domains: the driver keeps these, and each pass
+    sums ``k + k * k`` numbers over the table.
     """
     k = len(targets)
 
@@ -150,12 +170,13 @@ def fit_rates(table: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
         return out[:k], out[k:].reshape(k, k)
 
     now, gram = sums([])
+    inverse = lambda g: np.linalg.pinv(g + 1e-9 * np.trace(g) * np.eye(k), hermitian=True)
     goal, steps, length = targets * now.sum(), [], 1.0
     far = lambda totals: float(np.abs(totals - goal).sum())
     for _ in range(MOST_STEPS):
         if far(now) <= CLOSE * goal.sum() or length < 1e-3:
             break
-        step = length * np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k), hermitian=True) @ (now - goal)
+        step = length * inverse(gram) @ (now - goal)
         then, then_gram = sums([*steps, step])
         if far(then) < far(now):
             gain = far(now) - far(then)
@@ -164,7 +185,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
                 break
         else:
             length /= 2
-    return steps
+    return Rates(steps, far(now) / max(float(goal.sum()), 1e-300))
 
 
 def _posterior_table(docs: DataFrame, domains: Domains, id_col: str, text_col: str) -> DataFrame:
@@ -191,7 +212,7 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     """
     domains = train_domains(docs, labelled, list(targets), id_col, text_col)
     rows = _posterior_table(docs, domains, id_col, text_col)
-    steps = fit_rates(rows, np.array(list(targets.values())) / sum(targets.values()))
+    steps = fit_rates(rows, np.array(list(targets.values())) / sum(targets.values())).checked()
 
     def rate(posterior: pa.Array) -> pa.Array:
         return pa.array(_rate(posterior.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(domains.names)), steps))
@@ -206,7 +227,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rate_
     the rates, which moves no text between executors.
     """
     domains = train_domains(docs, labelled, list(targets), id_col, text_col)
-    steps = fit_rates(_posterior_table(docs, domains, id_col, text_col), np.array(list(targets.values())) / sum(targets.values()))
+    steps = fit_rates(_posterior_table(docs, domains, id_col, text_col), np.array(list(targets.values())) / sum(targets.values())).checked()
 
     def rate(texts: pa.Array) -> pa.Array:
         return pa.array(_rate(domains.posteriors(texts)[1], steps))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from scoreloom.llm import mixing as M
 
@@ -19,10 +20,37 @@ def test_projection_keeps_rates_nonnegative(spark):
     n = rng.integers(1, 500, 400).astype(float)
     targets = np.array([0.9, 0.08, 0.02])
     steps = M.fit_rates(spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens double, posterior array<double>"), targets)
-    r = M._rate(p, steps)
+    r = M._rate(p, steps.steps)
     assert (r >= 0).all() and (r == 0).any()
     totals = (n * r) @ p
     assert np.abs(totals - targets * n.sum()).max() < 0.01 * n.sum()
+    assert steps.residual == pytest.approx(np.abs(totals - targets * n.sum()).sum() / n.sum(), abs=1e-9)
+
+
+def nonnegative_least_squares(a, goal):
+    """min |a r - goal| over r >= 0 by plain projected gradient, run until it stands still."""
+    r, step = np.ones(a.shape[1]), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(200_000):
+        new = np.maximum(0, r - step * a.T @ (a @ r - goal))
+        if np.abs(new - r).max() < 1e-9:
+            break
+        r = new
+    return np.linalg.norm(a @ r - goal)
+
+
+def test_no_nonnegative_rates_come_nearer(spark):
+    """Targets in the middle and at the edge of what is reachable against an independent least squares solution; others are reported."""
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.dirichlet([4, 4, 4], 150), [[0.6, 0.3, 0.1]] * 20])
+    n = rng.integers(1, 40, len(p)).astype(float)
+    table = spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens double, posterior array<double>")
+    for targets in ([0.4, 0.35, 0.25], [0.6, 0.3, 0.1]):
+        fit = M.fit_rates(table, np.array(targets))
+        goal, r = np.array(targets) * n.sum(), M._rate(p, fit.steps)
+        assert (r >= 0).all() and fit.residual == pytest.approx(np.abs((n * r) @ p - goal).sum() / n.sum(), abs=1e-9)
+        assert np.linalg.norm((n * r) @ p - goal) <= nonnegative_least_squares((p * n[:, None]).T, goal) + 0.002 * n.sum()
+    with pytest.warns(UserWarning, match="away from its targets"):
+        M.fit_rates(table, np.array([0.97, 0.02, 0.01])).checked()
 
 
 def test_odd_rows(spark, odd, odd_rows, none):
