@@ -39,9 +39,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scoreloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that this driver has written, in order.
+written: list[str] = []
+
+
+def forget(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the tables written after the first ``since`` ones, but for the ``keep`` last: nothing may read them any more."""
+    end = len(written) - keep
+    for path in written[since:end]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del written[since:end]
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """The names ``wanted``, each with underscores put in front until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

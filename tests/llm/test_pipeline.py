@@ -34,5 +34,25 @@ def test_every_stage_equals_brute_force(spark, sf_dir, docs, labels):
     assert out.columns == [*docs.columns, "rate"] and out.where("rate > 0").count() == out.count() > 0
 
 
+def test_odd_rows_go_through_every_stage(spark, sf_dir, odd, odd_rows, none):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs, most in ((odd.select(columns), len(odd_rows)), (none.select(columns), 0)):
+        for name, step in corpus_pipeline.STAGES:
+            out = step(spark, docs, sf_dir)
+            assert out.columns == columns + ["rate"] * (name == "mixing") and out.count() <= most
+    kept = corpus_pipeline.drop_near_duplicates(spark, odd.select(columns), sf_dir)
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 3, 6, 8, 9, 9]
+
+
+def test_run_deletes_what_stages_leave_behind(spark, sf_dir):
+    from pathlib import Path
+
+    home = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(home.iterdir())
+    rows = corpus_pipeline.run(spark, sf_dir).count()
+    left = {p.name.rsplit("-", 1)[0] for p in set(home.iterdir()) - before}
+    assert rows and left == {"scoreloom-mixing"}
+
+
 def test_run_returns_the_last_stage(spark, sf_dir):
     assert "rate" in corpus_pipeline.run(spark, sf_dir).columns
