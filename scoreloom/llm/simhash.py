@@ -149,18 +149,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids are null. Repeated rows each give a row. An empty table gives no rows;
     other columns are not read.
     """
-    return _labelled(docs, id_col, text_col)[0]
+    printed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _labelled(stage(printed.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints"))
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    printed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    printed = stage(printed.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")
+def _labelled(printed: DataFrame) -> DataFrame:
+    """``printed(doc_id, fp)`` with ``component_id``."""
     distinct = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected(links(distinct))
     inside = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = stage(inside.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # else the join below could not split a hot root
     by_print = stage(inside.select("fp", "root").join(least, "root"), "components")
-    return printed.join(by_print.drop("root"), "fp").select("doc_id", "fp", "component_id"), by_print
+    return printed.join(by_print.drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,15 +173,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     component count as the same document, and one of them stays. A component
     without any id keeps all its rows: there is nothing to tell them apart by.
     """
-    labels = simhash_components(docs, id_col, text_col)
-    gone = labels.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
-    repeated = labels.where("doc_id = component_id").groupBy("doc_id", "fp").count().where("count > 1")
     key, fp, gone_key, gone_fp = fresh(docs, "key", "fp", "gone_key", "gone_fp")
 
     def prints(texts: pa.Array) -> pa.Array:
         return pa.array(fingerprints(texts).view(np.int64))
 
-    out = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(fp, F.arrow_udf(prints, "long")(F.col(text_col)))
+    out = stage(docs.withColumn(key, F.col(id_col).cast("long")).withColumn(fp, F.arrow_udf(prints, "long")(F.col(text_col))), "printed")  # once for all that follows
+    labels = _labelled(out.select(F.col(key).alias("doc_id"), F.col(fp).alias("fp")))
+    gone = labels.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
+    repeated = labels.where("doc_id = component_id").groupBy("doc_id", "fp").count().where("count > 1")
     gone = gone.select(F.col("doc_id").alias(gone_key), F.col("fp").alias(gone_fp))  # not made distinct: an aggregation would bind the join on fp, so that it cannot split a hot one
     out = out.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.col(fp) == F.col(gone_fp)), "left_anti")
     if repeated.limit(1).count():
