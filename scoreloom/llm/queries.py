@@ -47,13 +47,15 @@ WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coales
      l AS (SELECT conv_id, max(k) AS k FROM n WHERE role = 'assistant' GROUP BY conv_id),
      r AS (SELECT n.conv_id, n.k, n.text FROM n JOIN l USING (conv_id, k)),
      p AS (SELECT a.conv_id, a.k, a.text AS reply, b.text AS other FROM r a JOIN r b ON b.conv_id = xor(a.conv_id, 1) WHERE a.text <> b.text),
-     q AS (SELECT p.conv_id, string_agg('<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10), '' ORDER BY n.k) AS prompt
-           FROM p JOIN n ON n.conv_id = p.conv_id AND n.k < p.k GROUP BY p.conv_id)
-SELECT p.conv_id AS pair_id, p.k - 1 AS n_prompt_turns, md5(coalesce(q.prompt, '')) AS prompt_md5,
-       md5('<|assistant|>' || chr(10) || reply || '<|end|>' || chr(10)) AS chosen_md5,
-       md5('<|assistant|>' || chr(10) || other || '<|end|>' || chr(10)) AS rejected_md5,
-       '14:' || (22 + length(reply)) AS chosen_spans, '14:' || (22 + length(other)) AS rejected_spans
-FROM p LEFT JOIN q USING (conv_id)
+     side AS (SELECT conv_id, 'chosen' AS side, n.k, role, n.text FROM p JOIN n USING (conv_id) WHERE n.k <= p.k
+              UNION ALL SELECT conv_id, 'rejected', n.k, role, n.text FROM p JOIN n USING (conv_id) WHERE n.k < p.k UNION ALL SELECT conv_id, 'rejected', k, 'assistant', other FROM p),
+     prefix AS (SELECT conv_id, min(a.k) - 1 AS n FROM side a JOIN side b USING (conv_id, k) WHERE a.side = 'chosen' AND b.side = 'rejected' AND (a.role <> b.role OR a.text <> b.text) GROUP BY conv_id),
+     t2 AS (SELECT conv_id, side, k, role, n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS t FROM side JOIN prefix USING (conv_id)),
+     rest AS (SELECT *, sum(length(t)) OVER (PARTITION BY conv_id, side ORDER BY k) AS upto FROM t2 WHERE k > n),
+     made AS (SELECT conv_id, side, md5(string_agg(t, '' ORDER BY k)) AS h, coalesce(string_agg((upto - length(t) + length(role) + 5)::BIGINT || ':' || upto::BIGINT, ',' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS spans FROM rest GROUP BY ALL)
+SELECT c.conv_id AS pair_id, (SELECT n FROM prefix x WHERE x.conv_id = c.conv_id) AS n_prompt_turns, md5(coalesce((SELECT string_agg(t, '' ORDER BY k) FROM t2 WHERE t2.conv_id = c.conv_id AND side = 'chosen' AND k <= n), '')) AS prompt_md5,
+       c.h AS chosen_md5, r.h AS rejected_md5, c.spans AS chosen_spans, r.spans AS rejected_spans
+FROM made c JOIN made r USING (conv_id) WHERE c.side = 'chosen' AND r.side = 'rejected'
 """
 
 
