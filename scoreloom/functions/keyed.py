@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def uniform(key: Column) -> Column:
-    """The first 32 bits of the key's MD5 as a number in [0, 1)."""
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """The first 52 bits of the key's SHA-256 as a number in [0, 1): every one has a double of its own."""
+    return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
 def draw(key: Column, n: Column) -> Column:
@@ -17,4 +17,4 @@ def draw(key: Column, n: Column) -> Column:
 
 
 def uniform_sql(key: str) -> str:
-    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT::DOUBLE / 4294967296.0)"
+    return f"(('0x' || substr(sha256({key}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"

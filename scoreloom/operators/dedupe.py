@@ -17,11 +17,27 @@ def hash_bits(hexadecimal: Column) -> Column:
     return F.conv(hexadecimal, 16, -10).cast("long")
 
 
+def _cuts(width: int, distance: int) -> list[tuple[int, int]]:
+    """``distance + 1`` bands of ``width`` bits."""
+    cuts = [round(i * width / (distance + 1)) for i in range(distance + 2)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _part(bits: Column, lo: int, hi: int) -> Column:
+    return F.shiftrightunsigned(bits, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
+
+
+def _finer(lo: int, hi: int, distance: int) -> list[Column]:
+    """Bands of the bits outside ``lo`` to ``hi``, moved together."""
+    rest = _part(F.col("bits"), 0, lo) if lo else F.lit(0).cast("long")
+    if hi < 64:
+        rest = rest.bitwiseOR(F.shiftleft(_part(F.col("bits"), hi, 64), lo))
+    return [F.struct(F.lit(i).alias("band2"), _part(rest, a, b).alias("value2")) for i, (a, b) in enumerate(_cuts(64 - hi + lo, distance))]
+
+
 def _bands(rows: DataFrame, distance: int) -> DataFrame:
     """Each row under the value of each of distance + 1 bands: pairs within the distance share one."""
-    n = distance + 1
-    cuts = [round(i * 64 / n) for i in range(n + 1)]
-    band = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("bits", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("value")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    band = [F.struct(F.lit(i).alias("band"), _part(F.col("bits"), lo, hi).alias("value")) for i, (lo, hi) in enumerate(_cuts(64, distance))]
     return rows.select("id", "bits", F.inline(F.array(*band)))
 
 
@@ -30,33 +46,33 @@ def hamming_pairs(rows: DataFrame, distance: int) -> DataFrame:
 
     Rows of equal bits are one node, named by their least id; expand them by
     joining ``bits`` back. Bands make the join lossless, the exact predicate
-    follows; buckets stay selective as the bands of few bits only generate
-    candidates between different values.
+    follows. The members of a bucket of more than ``PAIRWISE`` nodes are not
+    paired: what is left of their bits is cut into as many bands again, one of
+    which two members within the distance also share.
     """
     nodes = rows.groupBy("bits").agg(F.min("id").alias("id"))
-    left = _bands(nodes, distance)
-    right = left.select(F.col("id").alias("b"), F.col("bits").alias("b_bits"), "band", "value")
+    banded = _bands(nodes, distance)
+    sizes = stage(banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "bands")  # so that the joins can split a hot bucket
+    live = stage(banded.join(sizes, ["band", "value"]), "buckets")
+    few = live.where(F.col("n") <= PAIRWISE).select("id", "bits", "band", "value", F.lit(0).alias("band2"), F.lit(0).cast("long").alias("value2"))
+    many = live.where(F.col("n") > PAIRWISE)
+    finer = F.when(F.lit(False), F.array(*_finer(0, 64, distance)))
+    for i, (lo, hi) in enumerate(_cuts(64, distance)):
+        finer = finer.when(F.col("band") == i, F.array(*_finer(lo, hi, distance)))
+    keys = ["band", "value", "band2", "value2"]
+    left = few.union(many.select("id", "bits", "band", "value", F.inline(finer)))
+    right = left.select(F.col("id").alias("b"), F.col("bits").alias("b_bits"), *keys)
     d = F.bit_count(F.col("bits").bitwiseXOR(F.col("b_bits")))
-    same = lambda x: F.shiftrightunsigned("bits", x[0]).bitwiseAND(F.lit((1 << (x[1] - x[0])) - 1)) == F.shiftrightunsigned("b_bits", x[0]).bitwiseAND(F.lit((1 << (x[1] - x[0])) - 1))
-    cuts = [round(i * 64 / (distance + 1)) for i in range(distance + 2)]
-    first = F.lit(distance)
-    for i in range(distance - 1, -1, -1):
-        first = F.when(same((cuts[i], cuts[i + 1])), F.lit(i)).otherwise(first)
-    joined = left.join(right, ["band", "value"]).where("id < b").where(d <= distance)
-    return joined.where(F.col("band") == first).select(F.col("id").alias("a"), "b", d.alias("distance"))
+    found = left.join(right, keys).where("id < b").where(d <= distance)
+    return found.select(F.col("id").alias("a"), "b", d.alias("distance")).distinct()
 
 
-def greedy_dedupe(rows: DataFrame, distance: int) -> DataFrame:
-    """``rows(id, bits)`` that a scan in id order would keep: those without a kept earlier row within ``distance``.
+def keep_earliest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ``nodes(id)`` that a scan in order keeps: those without a kept earlier neighbour; ``edges(a, b)`` go from earlier to later.
 
-    Not components: a row near only to a dropped row stays. Rounds keep rows
-    whose earlier neighbours are all dropped and drop the neighbours of kept
-    rows, until none is undecided. Rows without bits are excluded. Equal bits
-    are decided without pairs: only the least id can stay.
+    Rounds keep nodes whose earlier neighbours are all dropped and drop the
+    later neighbours of kept ones, until none is undecided.
     """
-    rows = rows.where(F.col("bits").isNotNull())
-    nodes = stage(rows.groupBy("bits").agg(F.min("id").alias("id")), "nodes")
-    edges = stage(hamming_pairs(nodes, distance).select("a", "b"), "edges")
     kept = nodes.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id")
     dropped = edges.join(kept.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct()
     state = stage(kept.select("id", F.lit(True).alias("keep")).union(dropped.select("id", F.lit(False))), "state")
@@ -64,12 +80,24 @@ def greedy_dedupe(rows: DataFrame, distance: int) -> DataFrame:
         left = stage(edges.join(state.select(F.col("id").alias("b")), "b", "left_anti").join(state.where("not keep").select(F.col("id").alias("a")), "a", "left_anti"), "open")
         todo = nodes.join(state, "id", "left_anti").select("id")
         if not todo.limit(1).count():
-            break
+            return state.where("keep").select("id")
         kept = todo.join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
         state = state.union(kept.select("id", F.lit(True)))
         dropped = edges.join(kept.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct().join(state, "id", "left_anti")
         state = stage(state.union(dropped.select("id", F.lit(False))), "state")
-    return rows.join(state.where("keep").select("id"), "id", "left_semi")
+
+
+def greedy_dedupe(rows: DataFrame, distance: int) -> DataFrame:
+    """``rows(id, bits)`` that a scan in id order would keep: those without a kept earlier row within ``distance``.
+
+    Not components: a row near only to a dropped row stays (see
+    :func:`keep_earliest`). Rows without bits are excluded. Equal bits are
+    decided without pairs: only the least id can stay.
+    """
+    rows = rows.where(F.col("bits").isNotNull())
+    nodes = stage(rows.groupBy("bits").agg(F.min("id").alias("id")), "nodes")
+    edges = stage(hamming_pairs(nodes, distance).select("a", "b"), "edges")
+    return rows.join(keep_earliest(nodes, edges), "id", "left_semi")
 
 
 def greedy_assignment(counts: DataFrame, ratios: tuple[float, float, float], group: str = "grp") -> DataFrame:
@@ -134,6 +162,13 @@ def keep_first_boxes(boxes: DataFrame, least_overlap: float = 0.8, cell: float =
     return pairs.select(F.col("id").alias("keeper"), F.col("o_id").alias("suppressed"), overlap.alias("overlap"))
 
 
+def suppressed_boxes(boxes: DataFrame, least_overlap: float = 0.8, page: str = "page") -> DataFrame:
+    """``boxes`` that stay when they are taken by rank and one that a kept box covers goes: a box covered only by one that went stays."""
+    pairs = keep_first_boxes(boxes, least_overlap, page=page)
+    edges = stage(pairs.select(F.col("keeper").alias("a"), F.col("suppressed").alias("b")), "edges")
+    return boxes.join(keep_earliest(stage(boxes.select("id"), "boxes"), edges), "id", "left_semi")
+
+
 def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of greatest ``order`` for each key."""
     rest = [c for c in rows.columns if c not in keys]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.operators.dedupe import hamming_pairs, hash_bits
 from scoreloom.operators.ordering import finite
+from scoreloom.operators.staging import stage
 
 
 def row_rules(score: str = "score") -> dict[str, Column]:
@@ -37,17 +38,27 @@ def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def split_violations(rows: DataFrame, distance: int | None = 4, seen_generators: bool = False) -> DataFrame:
-    """``(rule, key)`` for repeated ids, generators or clusters in several splits, clusters of both labels, and near duplicates across clusters."""
+    """``(rule, key)`` for repeated ids, generators or clusters in several splits, clusters of both labels, and near duplicates across clusters.
+
+    Two hashes within the distance give one pair of rows in different clusters,
+    if there is one among all rows that have them: the first rows of two
+    clusters stand for each hash.
+    """
     many = lambda key, value, rule: rows.groupBy(F.col(key).alias("key")).agg(F.countDistinct(value).alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), "key")
     parts = [duplicate_keys(rows, "image_id").select(F.lit("duplicate_id").alias("rule"), F.col("image_id").alias("key")), many("cluster_id", "split", "cluster_crosses"), many("cluster_id", "label", "cluster_conflict")]
     if not seen_generators:
         parts.append(many("generator", "split", "generator_crosses"))
     if distance is not None:
-        bits = rows.select(F.col("image_id").alias("id"), hash_bits(F.col("phash")).alias("bits"), "cluster_id")
-        pairs = hamming_pairs(bits.select("id", "bits"), distance)
-        own = bits.select("id", F.col("cluster_id").alias("c"))
-        near = pairs.join(own.withColumnsRenamed({"id": "a", "c": "ca"}), "a").join(own.withColumnsRenamed({"id": "b", "c": "cb"}), "b").where("ca <> cb")
-        same = bits.groupBy("bits").agg(F.min("id").alias("key"), F.countDistinct("cluster_id").alias("n")).where("n > 1")
+        bits = rows.select(F.col("image_id").alias("id"), hash_bits(F.col("phash")).alias("bits"), "cluster_id").where("bits is not null")
+        held = bits.groupBy("bits", "cluster_id").agg(F.min("id").alias("id"))
+        two = held.withColumn("r", F.row_number().over(Window.partitionBy("bits").orderBy("id"))).where("r <= 2")
+        two = stage(two.groupBy("bits").agg(F.array_sort(F.collect_list(F.struct("id", "cluster_id"))).alias("held")), "hashes")
+        pairs = hamming_pairs(two.select(F.get("held", 0)["id"].alias("id"), "bits"), distance)
+        own = two.select(F.get("held", 0)["id"].alias("id"), "held")
+        both = pairs.join(own.withColumnsRenamed({"id": "a", "held": "ha"}), "a").join(own.withColumnsRenamed({"id": "b", "held": "hb"}), "b")
+        crossing = F.get(F.filter(F.flatten(F.transform("ha", lambda x: F.transform("hb", lambda y: F.struct(x.alias("x"), y.alias("y"))))), lambda p: p["x"]["cluster_id"] != p["y"]["cluster_id"]), 0)
+        near = both.withColumn("p", crossing).where("p is not null").select(F.least("p.x.id", "p.y.id").alias("a"), F.greatest("p.x.id", "p.y.id").alias("b"))
+        same = two.where(F.size("held") > 1).select(F.get("held", 0)["id"].alias("key"))
         parts += [near.select(F.lit("near_duplicate").alias("rule"), F.concat_ws("/", "a", "b").alias("key")), same.select(F.lit("same_hash").alias("rule"), "key")]
     return reduce(DataFrame.unionByName, parts)
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.keyed import draw, uniform
 from scoreloom.operators.ordering import dense_index, finite, running_totals
+from scoreloom.operators.staging import stage
 
 
 def cluster_id(df: DataFrame) -> Column:
@@ -86,8 +89,8 @@ def clustered_interval(rows: DataFrame, threshold: float, samples: int = 200, co
     ``unit_of_positives`` names a column that is resampled instead of the
     cluster on the positive side.
     """
-    if samples < 40 or not 0.5 < confidence < 1:
-        raise ValueError("at least 40 samples and a confidence in (0.5, 1)")
+    if samples < 200 or not 0.5 < confidence < 1:
+        raise ValueError("at least 200 samples and a confidence in (0.5, 1)")
     unit = F.col("cluster_id") if unit_of_positives is None else F.when(F.col("label") == 1, F.col(unit_of_positives)).otherwise(F.col("cluster_id"))
     rows = rows.withColumn("hit", hit(F.col(score), F.col("label"), threshold)).withColumn("cluster_id", unit)
     clusters = per_cluster(rows, ["hit"])
@@ -153,7 +156,76 @@ def oracle_balanced_accuracy(rows: DataFrame, score: str = "score", keys: Sequen
     return total.groupBy(*keys).agg(((1 + F.max(gap)) / 2).alias("oracle_ba")).where("oracle_ba is not null")
 
 
-def permutation_gate(rows: DataFrame, score: str = "score", samples: int = 20, seed: str = "20260813", tests: int = 1) -> DataFrame:
+#: Rows of a score range that one task sees with their labels in all replicates.
+RANGE_ROWS = 20_000
+
+
+def dividing_numbers(clusters: DataFrame, samples: int, seed: str) -> DataFrame:
+    """One row ``cuts``: by replicate, the number up to which clusters are positive, so that as many are as of ``clusters(cluster_id, label)``.
+
+    The keyed numbers of clusters are uniform, so the one that divides them
+    lies within eight deviations of its expectation but for a chance below 1e-14
+    (then the query fails). Numbers below that window are only counted, and
+    those inside, some square root of all, are sorted: replicates of all
+    clusters are never ranked or shuffled.
+    """
+    total = clusters.agg(F.count("*").alias("_n"), F.sum("label").alias("_k"))
+    share, n = F.col("_k") / F.col("_n"), F.col("_n")
+    width = 8 * F.sqrt(share * (1 - share) / n) + 8 / n
+    bounds = F.broadcast(total.select("_k", (share - width).alias("_low"), (share + width).alias("_high")))
+    reps = clusters.select("cluster_id").crossJoin(bounds).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    reps = reps.withColumn("_u", uniform(F.concat_ws("|", F.lit(seed), F.col("b"), F.col("cluster_id"))))
+    inside = F.collect_list(F.when((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")), F.col("_u")))
+    by = reps.groupBy("b", "_k").agg(F.count_if(F.col("_u") < F.col("_low")).alias("_below"), F.array_sort(inside).alias("_inside"))
+    at = F.get("_inside", (F.col("_k") - F.col("_below") - 1).cast("int"))
+    cut = F.when(F.col("_k") == 0, F.lit(-1.0)).otherwise(F.coalesce(at, F.raise_error(F.lit("no dividing number in the window")).cast("double")))
+    return by.select("b", cut.alias("cut")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "cut"))), lambda x: x["cut"]).alias("cuts"))
+
+
+def null_accuracies(rows: DataFrame, cuts: DataFrame, seed: str) -> DataFrame:
+    """``(b, oracle_ba)`` of ``rows(cluster_id, score)``, of which in each replicate the clusters with numbers up to the cut are positive.
+
+    A row carries its labels in all replicates as an array. Rows are dealt by
+    ranges of the score once for all replicates; each range gives its sums, and
+    then, after the sums of the ranges before it, its largest gap of the class
+    distributions. The driver holds sums by range and replicate.
+    """
+    rows = rows.where(finite(F.col("score")))
+    n = -(-rows.count() // RANGE_ROWS) or 1
+    placed = stage(rows.repartitionByRange(n, "score").withColumn("part", F.spark_partition_id()), "ranges")
+    number = lambda b: uniform(F.concat_ws("|", F.lit(seed), b, F.col("cluster_id")))
+    labelled = placed.crossJoin(F.broadcast(cuts)).select("part", "score", F.transform("cuts", lambda cut, b: (number(b) <= cut).cast("byte")).alias("labels"))
+    labelled = stage(labelled, "replicates")
+
+    def matrix(part: pa.Table) -> np.ndarray:
+        labels = part["labels"].combine_chunks()
+        return labels.flatten().to_numpy(zero_copy_only=False).reshape(len(labels), -1)
+
+    def sums(part: pa.Table) -> pa.Table:
+        x = matrix(part).sum(0, dtype=np.int64)
+        return pa.table({"part": part["part"].slice(0, 1), "n": [part.num_rows], "p": pa.array([x.tolist()], pa.list_(pa.int64()))})
+
+    parts = sorted(labelled.groupBy("part").applyInArrow(sums, "part int, n long, p array<long>").collect())
+    p, size = np.array([r.p for r in parts], np.int64).reshape(len(parts), -1), np.array([r.n for r in parts], np.int64)
+    p_all, q_all = p.sum(0), size.sum() - p.sum(0)
+    before = {r.part: (p[:k].sum(0), size[:k].sum()) for k, r in enumerate(parts)}
+
+    def gaps(part: pa.Table) -> pa.Table:
+        order = np.argsort(part["score"].to_numpy(), kind="stable")
+        score = part["score"].to_numpy()[order]
+        last = np.append(score[1:] != score[:-1], True)  # equal scores count together
+        p_before, n_before = before[part["part"][0].as_py()]
+        p_to = np.cumsum(matrix(part)[order], axis=0, dtype=np.int64)[last] + p_before
+        q_to = (np.flatnonzero(last) + 1 + n_before)[:, None] - p_to
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gap = np.abs(p_to / p_all - q_to / q_all).max(0)
+        return pa.table({"gaps": pa.array([gap.tolist()], pa.list_(pa.float64()))})
+
+    found = labelled.groupBy("part").applyInArrow(gaps, "gaps array<double>").select(F.posexplode("gaps").alias("b", "gap"))
+    return found.where(~F.isnan("gap")).groupBy("b").agg(((1 + F.max("gap")) / 2).alias("oracle_ba"))
+
+
+def permutation_gate(rows: DataFrame, score: str = "score", samples: int = 999, seed: str = "20260813", tests: int = 1) -> DataFrame:
     """Is the oracle accuracy of a feature more than shuffled cluster labels give?
 
     In each replicate the clusters of least keyed number become positive, as
@@ -162,11 +234,7 @@ def permutation_gate(rows: DataFrame, score: str = "score", samples: int = 20, s
     null's median of 0.1 or more, and warns below 0.05.
     """
     clusters = rows.select("cluster_id", "label").distinct()
-    reps = clusters.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    reps = reps.withColumn("u", uniform(F.concat_ws("|", F.lit(seed), F.col("b"), F.col("cluster_id"))))
-    cut = running_totals(reps.withColumn("one", F.lit(1)).withColumn("real", F.col("label")), "u", ["one", "real"], ["b"])
-    shuffled = cut.select("b", "cluster_id", (F.col("one_to") <= F.col("real_all")).cast("int").alias("label"))
-    null = oracle_balanced_accuracy(rows.select("cluster_id", score).join(shuffled, "cluster_id"), score, ["b"])
+    null = null_accuracies(rows.select("cluster_id", F.col(score).alias("score")), dividing_numbers(clusters, samples, seed), seed)
     seen = oracle_balanced_accuracy(rows, score)
     both = null.crossJoin(F.broadcast(seen.withColumnRenamed("oracle_ba", "observed")))
     out = both.groupBy("observed").agg(F.count_if(F.col("oracle_ba") >= F.col("observed") - 1e-12).alias("n_ge"), F.percentile("oracle_ba", F.lit(0.5)).alias("null_median"), F.count("*").alias("samples"))

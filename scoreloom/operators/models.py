@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.scalars import EPSILON, THRESHOLD
-from scoreloom.operators.metrics import best_threshold, roc_auc
+from scoreloom.operators.metrics import best_threshold, oracle_balanced_accuracy, point_metrics, roc_auc
 from scoreloom.operators.ordering import dense_index, finite
 from scoreloom.operators.staging import stage
 
@@ -41,8 +42,8 @@ class Logistic:
         return 1 / (1 + F.exp(-self.margin()))
 
 
-def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "label", c: float = 1.0, standardise: bool = True) -> Logistic | None:
-    """None for fewer than 8 rows, one class, or columns that do not vary.
+def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "label", c: float = 1.0, standardise: bool = True, balanced: bool = True) -> Logistic | None:
+    """None for fewer than 8 rows, one class, or columns that do not vary. Classes weigh alike if ``balanced``, and else each row.
 
     Population deviations; the penalty is that of a regularised sum over rows
     with weight ``c`` on the loss.
@@ -56,7 +57,7 @@ def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "label",
         return None
     mean, scale = (mean, np.where(scale > 0, scale, 1.0)) if standardise else (np.zeros(len(columns)), np.ones(len(columns)))
     z = {f"_z{i}": (F.col(x) - float(mean[i])) / float(scale[i]) for i, x in enumerate(columns)}
-    weight = F.when(F.col(label) == 1, F.lit(n / (2 * p))).otherwise(F.lit(n / (2 * (n - p))))
+    weight = F.when(F.col(label) == 1, F.lit(n / (2 * p))).otherwise(F.lit(n / (2 * (n - p)))) if balanced else F.lit(1.0)
     data = rows.select(F.col(label).cast("double").alias("label"), weight.alias("w"), *(v.alias(k) for k, v in z.items()))
     data = VectorAssembler(inputCols=list(z), outputCol="features").transform(data).select("label", "w", "features")
     fit = LogisticRegression(weightCol="w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(data)
@@ -69,7 +70,7 @@ def group_folds(rows: DataFrame, group: str, k: int, label: str = "label", name:
     return rows.join(dense_index(groups, group, [label]).select(group, label, F.pmod("idx", F.lit(k)).alias(name)), [group, label])
 
 
-def out_of_fold(rows: DataFrame, columns: Sequence[str], group: str, label: str = "label", most_folds: int = 5) -> DataFrame:
+def out_of_fold(rows: DataFrame, columns: Sequence[str], group: str, label: str = "label", most_folds: int = 5, balanced: bool = True) -> DataFrame:
     """``rows`` with ``fold`` and the ``probability`` by a model that saw no row of the group's fold.
 
     As many folds as the smaller class has groups, 2 to ``most_folds``.
@@ -81,11 +82,30 @@ def out_of_fold(rows: DataFrame, columns: Sequence[str], group: str, label: str
     rows = stage(group_folds(rows, group, k, label), "folds")
     p = F.lit(None).cast("double")
     for f in range(k):
-        model = fit_logistic(rows.where(F.col("fold") != f), columns, label)
+        model = fit_logistic(rows.where(F.col("fold") != f), columns, label, balanced=balanced)
         p = F.when(F.col("fold") == f, model.probability() if model else F.lit(0.5)).otherwise(p)
     return rows.withColumn("probability", p)
 
 
+def pack_nulls(rows: DataFrame, packs: dict[str, Sequence[str]], label: str = "label") -> DataFrame:
+    """``(pack, threshold, fit_ba, fair_ba, oracle_ba)``: how well a balanced logistic model of each set of columns tells the label.
+
+    Models, medians of missing values and thresholds are of the split ``fit``
+    and judged on ``eval``; packs that cannot be fitted have no row.
+    """
+    out, rows = [], stage(rows, "packs")
+    for pack, columns in packs.items():
+        filled = stage(impute_medians(rows, columns, F.col("split") == "fit").select("split", label, *columns), "pack")
+        model = fit_logistic(filled.where("split = 'fit'"), columns, label)
+        if model is None:
+            continue
+        scored = filled.select("split", label, model.probability().alias("score"))
+        best = best_threshold(scored.where("split = 'fit'")).first()
+        judged = point_metrics(scored.where("split = 'eval'"), best.threshold).select("balanced_accuracy").crossJoin(F.broadcast(oracle_balanced_accuracy(scored.where("split = 'eval'"))))
+        out.append(judged.select(F.lit(pack).alias("pack"), F.lit(best.threshold).alias("threshold"), F.lit(best.balanced_accuracy).alias("fit_ba"), F.col("balanced_accuracy").alias("fair_ba"), "oracle_ba"))
+    return reduce(DataFrame.union, out) if out else rows.sparkSession.createDataFrame([], "pack string, threshold double, fit_ba double, fair_ba double, oracle_ba double")
+
+
 def leakage_verdict(scored: DataFrame, warn: float = 0.6, fail: float = 0.7) -> DataFrame:
     """AUC of out-of-fold probabilities of the label from metadata alone, and what it means."""
     auc = F.col("auc")

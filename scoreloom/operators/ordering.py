@@ -7,22 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
-
+from scoreloom.operators.staging import stage
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """``df`` (one row for each key and ``order`` value) with ``<c>_to`` and ``<c>_all`` for each of ``sums``.
 
-    ``<c>_to`` is the total up to and with the row in ascending order. The
-    numbers are cut into equal buckets between least and greatest; a window
-    runs inside each bucket, and the totals of lower buckets, of which there
-    are at most ``BUCKETS`` a key, are added. No task sees all rows of a key.
+    ``<c>_to`` is the total up to and with the row in ascending order. Rows
+    are dealt by ranges that Spark samples, so partitions are alike in size
+    whatever the distribution; the partition is written with the rows. A window
+    runs inside each, and the totals of the partitions before it are added. No
+    task sees all rows of a key.
     """
     keys = list(keys)
-    span = df.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    df = (df.join(span, keys) if keys else df.crossJoin(F.broadcast(span))).withColumn(
-        "_bucket", F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col(order) - F.col("_low")) / (F.col("_high") - F.col("_low")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
-    )
+    df = stage(df.repartitionByRange(*keys, order).withColumn("_bucket", F.spark_partition_id()), "ranges")
     per = df.groupBy(*keys, "_bucket").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
     below = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
@@ -30,7 +27,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], keys: Sequenc
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.join(per, [*keys, "_bucket"])
     out = out.withColumns({f"{c}_to": F.sum(c).over(inside) + F.col(f"_{c}_below") for c in sums})
-    return out.drop("_bucket", "_low", "_high", *(f"_{c}_below" for c in sums))
+    return out.drop("_bucket", *(f"_{c}_below" for c in sums))
 
 
 def dense_index(df: DataFrame, key: str, groups: Sequence[str], name: str = "idx") -> DataFrame:

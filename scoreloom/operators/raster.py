@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: Luma weights, band edges and gradient bounds (fixed values).
 LUMA = np.array([0.299, 0.587, 0.114])
-FFT_EDGES = (0.0, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8, 1.5)
-DCT_EDGES = (0.0, 0.25, 0.5, 0.75, 1.5)
+LUMA_709 = np.array([0.2126, 0.7152, 0.0722])
+MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+FFT_EDGES = (0.0, 0.15, 0.30, 0.45, 0.60, 0.75, 1.00, 2**0.5)
+DCT_EDGES = (0.0, 0.25, 0.50, 0.75, 1.01)
 FLAT, HARD, PATCH, GRID, TOP, MOST_COLOURS = 2, 24, 96, 3, 8, 4096
 
 _COSINE = np.sqrt(2 / 8) * np.cos(np.pi * np.outer(np.arange(8), 2 * np.arange(8) + 1) / 16)
@@ -89,13 +93,41 @@ def appearance(rgb: np.ndarray, luma: np.ndarray) -> dict[str, float]:
 
 
 def box_resize(rgb: np.ndarray, n: int = 32) -> np.ndarray:
-    """Mean of equal areas (values differ from bilinear resizing)."""
-    ys, xs = (np.unique(np.linspace(0, s, n + 1).astype(int)[:-1].clip(max=s - 1)) for s in rgb.shape[:2])
+    return box_resize_to(rgb, n, n)
+
+
+def box_resize_to(rgb: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Mean of equal areas (values differ from bilinear resizing); a shorter side keeps its length."""
+    ys, xs = (np.unique(np.linspace(0, s, n + 1).astype(int)[:-1].clip(max=s - 1)) for s, n in zip(rgb.shape[:2], (rows, columns), strict=True))
     total = np.add.reduceat(np.add.reduceat(rgb.astype(float), ys, 0), xs, 1)
     area = np.diff([*ys, rgb.shape[0]])[:, None] * np.diff([*xs, rgb.shape[1]])[None, :]
     return total / area[..., None]
 
 
+def thumbnail(rgb: np.ndarray, n: int = 32) -> list[float]:
+    """Pixels of an ``n`` by ``n`` copy as fractions, row by row, three to a pixel; short sides repeat their last pixel."""
+    small = box_resize(rgb, n)
+    small = np.pad(small, [(0, n - small.shape[0]), (0, n - small.shape[1]), (0, 0)], mode="edge")
+    return (small / 255).ravel().tolist()
+
+
+def weak_statistics(rgb: np.ndarray, most: int = 64) -> dict[str, float]:
+    """Low-capacity pixel statistics of a copy of at most ``most`` pixels a side: what a shortcut could use."""
+    h, w = rgb.shape[:2]
+    shrink = max(h, w) / most
+    small = rgb.astype(float) if shrink <= 1 else box_resize_to(rgb, max(1, round(h / shrink)), max(1, round(w / shrink)))
+    part = small.reshape(-1, 3) / 255
+    luma = (small / 255) @ LUMA_709
+    range_ = np.ptp(part, axis=1)
+    share = np.histogram(luma, 32, (0.0, 1.0))[0] / luma.size
+    share = share[share > 0]
+    dx, dy = (np.abs(np.diff(luma, axis=a)).mean() if luma.shape[a] > 1 else 0.0 for a in (1, 0))
+    out = {f"pixel_{k}_{c}": v for k, each in (("mean", part.mean(0)), ("std", part.std(0))) for c, v in zip("rgb", each, strict=True)}
+    out |= {"pixel_luma_mean": luma.mean(), "pixel_luma_std": luma.std(), "pixel_luma_entropy": -(share * np.log2(share)).sum(), "pixel_edge_x": dx, "pixel_edge_y": dy}
+    out |= {"pixel_saturation_mean": range_.mean(), "pixel_near_gray_fraction": (range_ < 2 / 255).mean(), "pixel_clipped_fraction": ((part <= 1 / 255) | (part >= 254 / 255)).mean()}
+    return {k: float(v) for k, v in out.items()}
+
+
 def _origins(n: int) -> list[int]:
     if n <= PATCH:
         return [0]
@@ -139,27 +171,113 @@ def features(rgb: np.ndarray, stored_bytes: int | None) -> dict:
     ratio, bands = spectral(luma)
     size = None if stored_bytes is None else float(stored_bytes)
     known = {"log_pixels": log10_floor(area), "log_bytes": None if size is None else log10_floor(size), "log_density": None if size is None else log10_floor(size / max(area, 1)), "spectral_ratio": ratio, "blockiness": blockiness(luma), "fft_bands": bands, "dct_bands": dct_bands(luma), "phash": f"{dct_hash(luma):016x}"}
-    return known | appearance(rgb, luma) | {f"graphic_{k}": float(v) for k, v in graphic_statistics(rgb).items()}
+    return known | appearance(rgb, luma) | weak_statistics(rgb) | {f"graphic_{k}": float(v) for k, v in graphic_statistics(rgb).items()}
 
 
-_NAMES = [*(f"{k}_{c}" for k in ("mean", "std") for c in "rgb"), "luma_mean", "luma_std", "contrast_range", "noise_lapvar", "edge_x", "edge_y", "edge_energy", "saturation_mean", "clipped_fraction", "luma_entropy", *(f"graphic_{k}" for k in ("flat", "soft", "hard", "top8", "maxpatchsoft", "colors", "pixels"))]
+#: Names of the weak statistics (fixed values).
+WEAK = (
+    *("pixel_mean_r", "pixel_mean_g", "pixel_mean_b", "pixel_std_r", "pixel_std_g", "pixel_std_b", "pixel_luma_mean", "pixel_luma_std", "pixel_luma_entropy"),
+    *("pixel_edge_x", "pixel_edge_y", "pixel_saturation_mean", "pixel_near_gray_fraction", "pixel_clipped_fraction"),
+)
+_NAMES = [*(f"{k}_{c}" for k in ("mean", "std") for c in "rgb"), "luma_mean", "luma_std", "contrast_range", "noise_lapvar", "edge_x", "edge_y", "edge_energy", "saturation_mean", "clipped_fraction", "luma_entropy", *WEAK, *(f"graphic_{k}" for k in ("flat", "soft", "hard", "top8", "maxpatchsoft", "colors", "pixels"))]
 SCHEMA = "log_pixels double, log_bytes double, log_density double, spectral_ratio double, blockiness double, fft_bands array<double>, dct_bands array<double>, phash string, " + ", ".join(f"{n} double" for n in _NAMES)
 
 
 def _extract(image: pd.DataFrame, stored_bytes: pd.Series) -> pd.DataFrame:
-    rows = []
-    for h, w, c, data, size in zip(image["height"], image["width"], image["nChannels"], image["data"], stored_bytes, strict=True):
-        raw = np.frombuffer(data, np.uint8).reshape(h, w, c)
-        rgb = np.repeat(raw, 3, 2) if c == 1 else raw[..., 2::-1]
-        rows.append(features(rgb, None if pd.isna(size) else int(size)))
+    rows = [features(rgb, None if pd.isna(size) else int(size)) for rgb, size in zip(_pixels(image), stored_bytes, strict=True)]
     return pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def _pixels(image: pd.DataFrame) -> list[np.ndarray]:
+    out = []
+    for h, w, c, data in zip(image["height"], image["width"], image["nChannels"], image["data"], strict=True):
+        raw = np.frombuffer(data, np.uint8).reshape(h, w, c)
+        out.append(np.repeat(raw, 3, 2) if c == 1 else raw[..., 2::-1])
+    return out
+
+
+def thumbnails(image: Column) -> Column:
+    """The 32 by 32 copy of a Spark image struct as a vector of 3,072 fractions."""
+
+    def run(image: pd.DataFrame) -> pd.Series:
+        return pd.Series([thumbnail(rgb) for rgb in _pixels(image)], dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(image)
+
+
+def normalised_planes(image: Column, mean: tuple[float, ...] = MEAN, std: tuple[float, ...] = STD) -> Column:
+    """Pixels of a Spark image struct plane after plane, less ``mean`` and over ``std``: what a model is fed."""
+
+    def run(image: pd.DataFrame) -> pd.Series:
+        return pd.Series([((rgb / 255 - mean) / std).transpose(2, 0, 1).ravel().tolist() for rgb in _pixels(image)], dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(image)
+
+
 def extract(image: Column, stored_bytes: Column) -> Column:
     """All features of a Spark image struct; null where a probe is undefined for the size."""
     return F.pandas_udf(_extract, SCHEMA)(image, stored_bytes)
 
 
+CODEC_SCHEMA = "is_jpeg boolean, is_png boolean, is_webp boolean, jpeg_qmean double, jpeg_quality_proxy double, chroma_h int, chroma_v int, has_exif boolean, has_icc boolean, has_software boolean, has_comment boolean, has_xmp boolean"
+
+
+def _segments(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Marker and content of each JPEG segment before the image data."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        yield data[at + 1], data[at + 4 : at + 2 + size]
+        at += 2 + size
+
+
+def _chunks(data: bytes, at: int, order: str) -> Iterator[tuple[bytes, bytes]]:
+    """Kind and content of each chunk of a PNG (length first) or WebP file (kind first, even lengths)."""
+    while at + 8 <= len(data):
+        head, other = data[at : at + 4], data[at + 4 : at + 8]
+        size, kind = (int.from_bytes(head, "big"), other) if order == "big" else (int.from_bytes(other, "little"), head)
+        yield kind, data[at + 8 : at + 8 + size]
+        at += 8 + size + (4 if order == "big" else size % 2)
+
+
+def codec_flags(data: bytes | None) -> dict:
+    """What the stored bytes tell beside the pixels: codec, first quantisation table, chroma sampling, metadata."""
+    data, exif, icc, software, comment, xmp = data or b"", False, False, False, False, False
+    table, chroma = None, None
+    jpeg, png, webp = data[:3] == b"\xff\xd8\xff", data[:8] == b"\x89PNG\r\n\x1a\n", data[:4] == b"RIFF" and data[8:12] == b"WEBP"
+    for mark, part in _segments(data) if jpeg else ():
+        exif |= mark == 0xE1 and part.startswith(b"Exif\0")
+        xmp |= mark == 0xE1 and part.startswith(b"http://ns.adobe.com/xap/")
+        icc |= mark == 0xE2 and part.startswith(b"ICC_PROFILE\0")
+        comment |= mark == 0xFE and len(part) > 0
+        if mark == 0xDB and table is None:
+            wide = part[:1] >= b"\x10"
+            table = np.frombuffer(part[1 : 129 if wide else 65], ">u2" if wide else "u1")
+        if mark in (0xC0, 0xC1, 0xC2) and len(part) >= 12:
+            chroma = part[10] >> 4, part[10] & 15
+    for kind, part in _chunks(data, 8, "big") if png else _chunks(data, 12, "little") if webp else ():
+        exif |= kind in (b"eXIf", b"EXIF")
+        icc |= kind in (b"iCCP", b"ICCP")
+        software |= kind == b"tEXt" and part.startswith(b"Software\0") and len(part) > 9
+        comment |= kind == b"tEXt" and part.startswith(b"Comment\0") and len(part) > 8
+        xmp |= kind == b"XMP " or kind == b"iTXt" and part.startswith(b"XML:com.adobe.xmp\0")
+    mean = None if table is None or not len(table) else float(table.mean())
+    h, v = chroma or ((1, 1) if jpeg else (None, None))
+    proxy = None if mean is None else min(max(100 - mean * 100 / 255, 1.0), 100.0)
+    flags = {"has_exif": exif, "has_icc": icc, "has_software": software, "has_comment": comment, "has_xmp": xmp}
+    return {"is_jpeg": jpeg, "is_png": png, "is_webp": webp, "jpeg_qmean": mean, "jpeg_quality_proxy": proxy, "chroma_h": h, "chroma_v": v} | flags
+
+
+def codec(content: Column) -> Column:
+    """:func:`codec_flags` of a column of file contents; nulls count as no known codec."""
+
+    def run(content: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([codec_flags(x) for x in content], columns=[x.split()[0] for x in CODEC_SCHEMA.split(", ")])
+        return out.astype({"chroma_h": "Int32", "chroma_v": "Int32"})
+
+    return F.pandas_udf(run, CODEC_SCHEMA)(content)
+
+
 def read_images(spark, path: str) -> DataFrame:
     """Decoded images below a folder with path, byte count and file hash; corrupt files are left out, not fatal."""
     decoded = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,15 +79,21 @@ def gate_effect(rows: DataFrame, gated: Column, threshold: float, cap: float = 0
     return rows.agg(ba("before"), ba("after"), rescued.alias("rescued"), lost.alias("lost"), F.count_if(gated).alias("n_gated"))
 
 
-def grid_search(rows: DataFrame, grid: DataFrame, fires: Column, most_lost: float) -> DataFrame:
+def grid_search(rows: DataFrame, grid: DataFrame, limits: dict[str, tuple[str, str]], most_lost: float) -> DataFrame:
     """The grid row that fires on most negatives while firing on at most ``most_lost`` of the positives; ties go to the least id.
 
-    The grid is small by construction, so each row meets all of it map-side and
-    only counts are shuffled.
+    ``limits`` has a grid column's measure and side, ``<=`` or ``>=``; a grid row
+    fires where all of its limits hold. Rows are first counted by the steps of
+    each limit that they pass, so they meet as many counts as there are
+    combinations of steps, never the grid; unknown values pass none.
     """
-    hits = rows.crossJoin(F.broadcast(grid)).groupBy(*grid.columns).agg(
-        F.count_if(fires & (F.col("label") == 0)).alias("caught"), F.count_if(fires & (F.col("label") == 1)).alias("lost"), F.count_if(F.col("label") == 1).alias("n_ai")
-    )
+    steps = {c: sorted({r[0] for r in grid.select(c).distinct().collect()}, reverse=side == ">=") for c, (_, side) in limits.items()}
+    level = lambda c: sum(F.coalesce(F.col(limits[c][0]) <= v if limits[c][1] == "<=" else F.col(limits[c][0]) >= v, F.lit(False)).cast("int") for v in steps[c])
+    cells = rows.groupBy("label", *(level(c).alias(f"_{c}") for c in limits)).agg(F.count("*").alias("n"))
+    reach = lambda c: F.lit(len(steps[c])) - F.array_position(F.array(*map(F.lit, steps[c])), F.col(c)) + 1
+    fires = reduce(lambda a, b: a & b, (F.col(f"_{c}") >= reach(c) for c in limits))
+    part = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    hits = cells.crossJoin(F.broadcast(grid)).groupBy(*grid.columns).agg(part(fires & (F.col("label") == 0)).alias("caught"), part(fires & (F.col("label") == 1)).alias("lost"), part(F.col("label") == 1).alias("n_ai"))
     allowed = hits.where(F.col("lost") <= most_lost * F.col("n_ai"))
     return allowed.groupBy().agg(F.max(F.struct("caught", (-F.col("lost")).alias("neg_lost"), (-F.col("grid_id")).alias("neg_id"), F.struct(*grid.columns).alias("g"))).alias("m")).select("m.g.*", "m.caught", (-F.col("m.neg_lost")).alias("lost"))
 

@@ -23,7 +23,7 @@ def gated_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Validate, select, measure with intervals, and gate: one row for each gate."""
     rows = score_rows(spark, sf)
     chosen = rows.join(I.row_violations(rows).select(F.col("key").alias("image_id")).distinct(), "image_id", "left_anti").where("split = 'eval'")
-    measured = M.clustered_interval(chosen, THRESHOLD, 40).where("metric = 'balanced_accuracy'")
+    measured = M.clustered_interval(chosen, THRESHOLD, 200).where("metric = 'balanced_accuracy'")
     counts = M.point_metrics(chosen, THRESHOLD).select("n_ai", "n_real")
     seen = measured.select(F.col("value").alias("balanced_accuracy"), F.col("ci_lower").alias("ci_lower"), "n_ai_clusters", "n_real_clusters").crossJoin(F.broadcast(counts))
     return I.gate_table(seen, {"n_ai": 100, "n_real": 100, "n_ai_clusters": 100, "n_real_clusters": 100, "balanced_accuracy": 0.7, "ci_lower": 0.7})

@@ -112,7 +112,7 @@ def with_provider(rows: DataFrame, key: str, provider: Callable[[list[str]], lis
 def hashed_scores(keys: list[str]) -> list[dict[str, float]]:
     out = []
     for k in keys:
-        u = [int(hashlib.md5(f"{k}|{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(3)]
+        u = [int(hashlib.sha256(f"{k}|{i}".encode()).hexdigest()[:13], 16) / 2**52 for i in range(3)]
         out.append({"mean": sum(u) / 3, "max": max(u)})
     return out
 

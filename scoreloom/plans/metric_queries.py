@@ -11,7 +11,7 @@ from scoreloom.operators import reports as R
 from scoreloom.plans.fixtures import SCORE_ROWS, THRESHOLD, score_rows
 from scoreloom.registry import query
 
-S, T, B = SCORE_ROWS, THRESHOLD, 40
+S, T, B = SCORE_ROWS, THRESHOLD, 200
 _HIT = f"(CASE WHEN label = 1 THEN score >= {T} ELSE score < {T} END)::INT"
 _RATES = "avg(hit) FILTER (WHERE label = 1) AS tpr, avg(hit) FILTER (WHERE label = 0) AS tnr, (avg(hit) FILTER (WHERE label = 1) + avg(hit) FILTER (WHERE label = 0)) / 2 AS balanced_accuracy"
 _COUNTS = "count(*) AS n, count(*) FILTER (WHERE label = 1) AS n_ai, count(*) FILTER (WHERE label = 0) AS n_real"
@@ -58,7 +58,7 @@ def mixed_unit_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def poisson_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return M.clustered_interval(score_rows(spark, sf), T, 100, method="poisson")
+    return M.clustered_interval(score_rows(spark, sf), T, 200, method="poisson")
 
 
 @query(f"""WITH {S}, p AS (SELECT avg(label) AS p FROM score_rows)
@@ -121,14 +121,14 @@ _PERM_U = uniform_sql("'20260813|' || b || '|' || cluster_id")
 
 
 @query(f"""WITH {S}, e AS (SELECT * FROM score_rows WHERE split = 'eval'), c AS (SELECT DISTINCT cluster_id, label FROM e),
-u AS (SELECT b, cluster_id, label, {_PERM_U} AS u FROM c, (SELECT unnest(range(0, 10)) AS b)),
+u AS (SELECT b, cluster_id, label, {_PERM_U} AS u FROM c, (SELECT unnest(range(0, 999)) AS b)),
 g AS (SELECT b, cluster_id, (count(*) OVER (PARTITION BY b ORDER BY u) <= sum(label) OVER (PARTITION BY b))::INT AS label FROM u),
 x AS (SELECT b, score, g.label FROM e JOIN g USING (cluster_id)), y AS (SELECT 0 AS b, score, label FROM e),
 {_ORACLE.format(t="n", key="b", rows="x")}, {_ORACLE.format(t="o", key="b", rows="y")},
 r AS (SELECT any_value(o.oracle_ba) AS observed, median(n.oracle_ba) AS null_median, (1 + count(*) FILTER (WHERE n.oracle_ba >= o.oracle_ba - 1e-12)) / (1 + count(*)) AS p FROM n, o)
 SELECT observed, null_median, observed - null_median AS excess, p AS p_value, least(1.0, p * 5) AS corrected_p, CASE WHEN least(1.0, p * 5) < 0.01 AND observed - null_median >= 0.1 THEN 'fail' WHEN least(1.0, p * 5) < 0.05 THEN 'warn' ELSE 'pass' END AS verdict FROM r""")
 def permutation_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return M.permutation_gate(score_rows(spark, sf).where("split = 'eval'"), samples=10, tests=5)
+    return M.permutation_gate(score_rows(spark, sf).where("split = 'eval'"), samples=999, tests=5)
 
 
 @query(f"""WITH {_H}, p AS (SELECT label, generator, count(*) AS n, avg(hit) AS own_rate FROM h GROUP BY ALL), o AS (SELECT 1 - label AS label, avg(hit) AS other_rate FROM h GROUP BY label)
@@ -193,7 +193,7 @@ x AS (SELECT g.*, count(*) FILTER (WHERE noise <= most_noise AND score >= least_
 SELECT grid_id, most_noise, least_score, caught, lost FROM x WHERE lost <= 0.1 * n_ai ORDER BY caught DESC, lost, grid_id LIMIT 1""")
 def gate_grid_search(spark: SparkSession, sf: str) -> DataFrame:
     grid = spark.createDataFrame(_GRID, "grid_id int, most_noise double, least_score double")
-    return R.grid_search(score_rows(spark, sf), grid, (F.col("noise") <= F.col("most_noise")) & (F.col("score") >= F.col("least_score")), 0.1)
+    return R.grid_search(score_rows(spark, sf), grid, {"most_noise": ("noise", "<="), "least_score": ("score", ">=")}, 0.1)
 
 
 @query(f"""WITH {S}, t AS (SELECT image_id, [score, score_b, noise, abs(score - noise)] AS t FROM score_rows), u AS (SELECT image_id, t, list_sort(t) AS a, list_reverse_sort(t) AS d FROM t)

@@ -9,6 +9,7 @@ from scoreloom.functions.scalars import apply_curve
 from scoreloom.operators import models as L
 from scoreloom.operators import raster
 from scoreloom.operators.metrics import point_metrics as metrics
+from scoreloom.plans.contract_queries import images
 from scoreloom.plans.fixtures import SCORE_ROWS, score_rows, table
 from scoreloom.registry import query
 
@@ -74,13 +75,21 @@ def manifest_leakage(spark: SparkSession, sf: str) -> DataFrame:
         *(F.lit(640).alias(c) for c in ("source_width", "source_height", "output_width", "output_height")), F.col("l_extendedprice").alias("source_bytes"), F.col("l_extendedprice").alias("output_bytes"),
     )
     rows, columns = L.manifest_features(rows)
-    return L.leakage_verdict(L.out_of_fold(rows, columns, "source"))
+    return L.leakage_verdict(L.out_of_fold(rows, columns, "source", balanced=False))
 
 
 @query()
 def raster_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features of vectors read as 8 x 8 grey images."""
-    grey = F.transform("embedding", lambda v: F.least(F.greatest((v + 0.5) * 255, F.lit(0.0)), F.lit(255.0)).cast("int"))
-    data = F.unhex(F.array_join(F.transform(grey, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    image = F.struct(F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"))
-    return table(spark, sf, "embeddings").select("vec_id", raster.extract(image, F.lit(64).cast("long")).alias("f")).select("vec_id", "f.*")
+    """Features of vectors read as 64 x 64 grey images."""
+    return images(spark, sf).select("vec_id", raster.extract(F.col("image"), F.lit(4096).cast("long")).alias("f")).select("vec_id", "f.*")
+
+
+@query()
+def pack_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """What appearance, spectra, block energies and weak statistics of the images tell of their label, each and together."""
+    f = images(spark, sf).select("vec_id", raster.extract(F.col("image"), F.lit(4096).cast("long")).alias("f")).select("vec_id", "f.*")
+    rows = f.withColumns({f"fft_{i}": F.get("fft_bands", i) for i in range(7)} | {f"dct_{i}": F.get("dct_bands", i) for i in range(5)})
+    packs = {"geometry": ["log_pixels", "log_bytes", "log_density"], "appearance": ["luma_mean", "luma_std", "contrast_range", "noise_lapvar", "edge_x", "edge_y", "luma_entropy"], "fft_bands": [f"fft_{i}" for i in range(7)], "dct_bands": [f"dct_{i}" for i in range(5)], "weak": ["pixel_luma_mean", "pixel_luma_std", "pixel_edge_x", "pixel_clipped_fraction"]}
+    packs["all_nuisance"] = sorted({c for p in packs.values() for c in p})
+    labels = table(spark, sf, "embeddings").select("vec_id", (F.col("label") >= 5).cast("int").alias("label"), F.when(F.col("vec_id") % 2 == 0, "fit").otherwise("eval").alias("split"))
+    return L.pack_nulls(rows.join(labels, "vec_id"), packs)

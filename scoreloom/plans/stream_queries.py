@@ -54,3 +54,11 @@ def availability_latch(spark: SparkSession, sf: str) -> DataFrame:
 def admission_simulation(spark: SparkSession, sf: str) -> DataFrame:
     requests = scan_rows(spark, sf).select("page", "seq", "url", "priority", (F.unix_micros("ts") % 3_600_000_000 / 1e6).alias("at"))
     return W.simulate_admission(requests)
+
+
+@query()
+def parked_promotions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third message is a request; the others promote the same few ids."""
+    kind = F.when(F.col("seq") % 3 == 0, "request").otherwise("promote")
+    messages = _requests(spark, sf).select("page", "seq", kind.alias("kind"), (F.col("seq") % 7).cast("string").alias("id"), "priority")
+    return W.finish(W.parked_promotions(messages, 3), "parked", "append")

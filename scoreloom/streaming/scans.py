@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,6 +13,8 @@ from scoreloom.operators.staging import shared_dir
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 MEMO, KEPT, PARKED = 400, 500, 1000
+#: Seconds of a fetch, and of a job from the slot on (fixed values).
+FETCH_S, INFER_S = 10, 30
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
@@ -38,6 +40,65 @@ def fan_out(requests: DataFrame, results: DataFrame, horizon: str = "10 minutes"
     return left.join(right, near).select("q.seq", "q.page", "q.url", "r.probability", "r.done")
 
 
+def deadline_outcome(fetch: Column, infer: Column, fetch_limit: float = FETCH_S, infer_limit: float = INFER_S) -> Column:
+    """How a scan ends by the seconds of its fetch and, from the slot on, of its job; a job without an end has run out of time."""
+    late = lambda c, most: F.coalesce(c > most, F.lit(True))
+    return F.when(late(fetch, fetch_limit), "fetch_timeout").when(late(infer, infer_limit), "job_timeout").otherwise("done")
+
+
+def with_deadline(requests: DataFrame, results: DataFrame, seconds: int = INFER_S) -> DataFrame:
+    """Each request ``(seq, url, ts)`` of a stream with its result ``(seq, done)``, or with a null one as soon as the watermark says that the deadline is over."""
+    left = requests.withWatermark("ts", f"{seconds} seconds").alias("q")
+    right = results.withWatermark("done", f"{seconds} seconds").alias("r")
+    near = F.expr(f"q.seq = r.seq and r.done between q.ts and q.ts + interval {seconds} seconds")
+    return left.join(right, near, "left").select("q.seq", "q.url", "r.done", F.col("r.done").isNull().alias("timed_out"))
+
+
+def drained_backlog(requests: DataFrame) -> DataFrame:
+    """``(page, seq, drained, place)`` of ``requests(page, seq, priority, hidden, near)``: when each goes, and as which of those that go then.
+
+    A request of a hidden page waits for the page's next request that is not
+    hidden; at that point those in the viewport go first, by priority, then the
+    near ones. What waits on a page that does not show again has no row.
+    """
+    ahead = Window.partitionBy("page").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    shown = F.min(F.when(~F.col("hidden"), F.col("seq"))).over(ahead)
+    at = requests.withColumn("drained", F.when(F.col("hidden"), shown).otherwise(F.col("seq"))).where("drained is not null")
+    order = Window.partitionBy("page", "drained").orderBy(F.col("hidden"), "near", F.desc("priority"), "seq")
+    return at.select("page", "seq", "drained", F.row_number().over(order).cast("long").alias("place"))
+
+
+def _parked(capacity: int) -> Callable:
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        out = []
+        for frame in frames:
+            for r in frame.sort_values("seq").itertuples(index=False):
+                if r.kind == "promote":
+                    if r.id not in held or r.priority > held[r.id]:
+                        held[r.id] = float(r.priority)
+                    if len(held) > capacity:
+                        held.pop(next(iter(held)))  # the one parked first
+                else:
+                    out.append((key[0], int(r.seq), r.id, max(float(r.priority), held.pop(r.id, float("-inf")))))
+        state.update((list(held), list(held.values())))
+        if out:
+            yield pd.DataFrame(out, columns=["page", "seq", "id", "priority"])
+
+    return update
+
+
+def parked_promotions(messages: DataFrame, capacity: int = PARKED) -> DataFrame:
+    """Requests ``(page, seq, id, priority)`` with the priority that promotions before them have parked.
+
+    ``messages(page, seq, kind, id, priority)`` are promotions and requests. A
+    promotion waits for the request of its id, which uses it up; over
+    ``capacity`` of a page the one parked first is forgotten.
+    """
+    out, state = "page string, seq long, id string, priority double", "ids array<string>, priorities array<double>"
+    return messages.groupBy("page").applyInPandasWithState(_parked(capacity), out, state, "append", GroupStateTimeout.NoTimeout)
+
+
 def page_counts(requests: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Requests and mean priority by window and phase; rows later than ``late`` are dropped."""
     return requests.withWatermark("ts", late).groupBy(F.window("ts", window), "phase").agg(F.count("*").alias("n"), F.avg("priority").alias("priority"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -41,11 +42,11 @@ def test_not_finite_scores_never_agree(spark):
 
 def test_interval_holds_the_point_and_repeats(spark):
     r = rows(spark, lambda y, i: 0.4 + 0.3 * y + 0.3 * math.sin(i * 12.9898) / 2)
-    one, two = ({x.metric: tuple(x) for x in M.clustered_interval(r, 0.65, 60).collect()} for _ in range(2))
+    one, two = ({x.metric: tuple(x) for x in M.clustered_interval(r, 0.65, 200).collect()} for _ in range(2))
     assert one == two
     for m in one.values():
         assert m[2] <= m[1] <= m[3]
-    poisson = {x.metric: x for x in M.clustered_interval(r, 0.65, 100, method="poisson").collect()}
+    poisson = {x.metric: x for x in M.clustered_interval(r, 0.65, 200, method="poisson").collect()}
     assert all(abs(poisson[k].ci_lower - one[k][2]) < 0.1 for k in one)
     with pytest.raises(ValueError):
         M.clustered_interval(r, 0.65, 10)
@@ -213,6 +214,131 @@ def test_rasters(spark, tmp_path):
     assert out["flat.png"].phash != out["noise.png"].phash and len(out["flat.png"].phash) == 16
 
 
+def band_means(values, radius, edges):
+    """Log means of rings, by loops over the cells."""
+    out = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        cells = [v for v, r in zip(values.ravel(), radius.ravel(), strict=True) if low <= r < high]
+        out.append(float(np.log10(np.mean(cells) + 1e-12)) if cells else float("nan"))
+    return out
+
+
+def test_spectra_equal_their_definition(spark):
+    rng = np.random.default_rng(5)
+    luma = rng.integers(0, 256, (72, 96)).astype(float)
+    h, w = luma.shape
+    windowed = (luma - luma.mean()) * np.hanning(h)[:, None] * np.hanning(w)[None, :]
+    y, x = np.arange(h)[:, None], np.arange(w)[None, :]
+    rows = np.exp(-2j * np.pi * np.outer(np.arange(h) - h // 2, np.arange(h)) / h)
+    columns = np.exp(-2j * np.pi * np.outer(np.arange(w), np.arange(w) - w // 2) / w)
+    size = np.abs(rows @ windowed @ columns)
+    radius = np.sqrt(((y - h // 2) / (h / 2)) ** 2 + ((x - w // 2) / (w / 2)) ** 2)
+    radius[h // 2, w // 2] = -1
+    ratio, bands = raster.spectral(luma)
+    assert bands == pytest.approx(band_means(size, radius, (0, 0.15, 0.3, 0.45, 0.6, 0.75, 1.0, 2**0.5)))
+    assert ratio == pytest.approx(np.log10(size[radius >= 0.7].mean() / size[(radius >= 0) & (radius <= 0.2)].mean()))
+    basis = np.array([[np.sqrt((1 if k == 0 else 2) / 8) * np.cos(np.pi * (2 * n + 1) * k / 16) for n in range(8)] for k in range(8)])
+    energy = np.mean([np.abs(basis @ luma[i : i + 8, j : j + 8] @ basis.T) for i in range(0, h, 8) for j in range(0, w, 8)], 0)
+    at = np.sqrt((np.arange(8)[:, None] / 7) ** 2 + (np.arange(8)[None, :] / 7) ** 2)
+    found = raster.dct_bands(luma)
+    assert found[:4] == pytest.approx(band_means(energy, at, (0, 0.25, 0.5, 0.75, 1.01)))
+    assert found[4] == pytest.approx(np.log10(energy[at >= 0.75].mean()) - np.log10(energy[at <= 0.25].mean()))
+    on = [abs(luma[i + 1, j] - luma[i, j]) for i in range(h - 1) for j in range(w) if i % 8 == 7] + [abs(luma[i, j + 1] - luma[i, j]) for i in range(h) for j in range(w - 1) if j % 8 == 7]
+    off = [abs(luma[i + 1, j] - luma[i, j]) for i in range(h - 1) for j in range(w) if i % 8 != 7] + [abs(luma[i, j + 1] - luma[i, j]) for i in range(h) for j in range(w - 1) if j % 8 != 7]
+    assert raster.blockiness(luma) == pytest.approx(np.log10((np.mean(on) + 1e-6) / (np.mean(off) + 1e-6)))
+
+
+def test_weak_statistics_equal_their_definition():
+    rng = np.random.default_rng(6)
+    rgb = rng.integers(0, 256, (20, 30, 3)).astype(np.uint8)
+    rgb[:5] = 128
+    out = raster.weak_statistics(rgb)
+    assert tuple(out) == raster.WEAK
+    p = rgb.reshape(-1, 3) / 255
+    luma = [0.2126 * r + 0.7152 * g + 0.0722 * b for r, g, b in p]
+    share = Counter(min(int(v * 32), 31) for v in luma)
+    assert out["pixel_luma_entropy"] == pytest.approx(-sum(n / len(p) * np.log2(n / len(p)) for n in share.values()))
+    assert out["pixel_mean_g"] == pytest.approx(np.mean([x[1] for x in p])) and out["pixel_std_b"] == pytest.approx(np.std([x[2] for x in p]))
+    assert out["pixel_near_gray_fraction"] == pytest.approx(np.mean([max(x) - min(x) < 2 / 255 for x in p]))
+    assert out["pixel_clipped_fraction"] == pytest.approx(np.mean([v <= 1 / 255 or v >= 254 / 255 for x in p for v in x]))
+    assert out["pixel_edge_x"] == pytest.approx(np.mean([abs(luma[30 * i + j + 1] - luma[30 * i + j]) for i in range(20) for j in range(29)]))
+    assert len(raster.thumbnail(rgb)) == 3072
+
+
+def test_gate_fails_on_a_leak(spark):
+    """A score equal to the label is told from chance, one without relation is not."""
+    rows = spark.range(240).select(F.concat(F.lit("c"), F.col("id") % 80).alias("cluster_id"), ((F.col("id") % 80) % 2).cast("int").alias("label"), F.rand(3).alias("noise"))
+    out = M.permutation_gate(rows.withColumn("score", F.col("label").cast("double")), samples=999, tests=5).first()
+    assert out.verdict == "fail" and out.observed == 1.0 and out.p_value == pytest.approx(0.001)
+    assert M.permutation_gate(rows.withColumn("score", F.col("noise")), samples=999, tests=5).first().verdict == "pass"
+
+
+def test_totals_of_skewed_orders(spark):
+    """One outlier does not push all rows into one range."""
+    rows = spark.range(20_000).select((F.rand(1)).alias("v"), F.lit(1).alias("n")).union(spark.createDataFrame([(1e9, 1)], "v double, n int"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = O.running_totals(rows, "v", ["n"])
+        assert out.agg(F.max("n_to"), F.max("n_all")).first() == (20_001, 20_001)
+        assert out.where("v = 1e9").first().n_to == 20_001
+        sizes = [r[0] for r in rows.repartitionByRange("v").groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert max(sizes) < 0.5 * sum(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_near_hashes_of_clusters_that_share_a_hash(spark):
+    rows = [("1", "00000000000000ff", "X"), ("2", "00000000000000ff", "Y"), ("3", "00000000000000fe", "X"), ("4", "0f00000000000000", "Z"), ("5", "0f00000000000001", "Z")]
+    frame = spark.createDataFrame(rows, "image_id string, phash string, cluster_id string").selectExpr("*", "'g' generator", "'fit' split", "0 label")
+    found = {(r.rule, r.key) for r in I.split_violations(frame).collect()}
+    assert found == {("same_hash", "1"), ("near_duplicate", "2/3")}
+
+
+def test_hot_bands_lose_no_pair(spark):
+    """More nodes than are paired within a band that all of them share."""
+    rng = np.random.default_rng(8)
+    values = {int(v) << 22 for v in rng.integers(0, 1 << 40, 400)}
+    values |= {v ^ (1 << int(a)) ^ (1 << int(b)) for v in list(values)[:60] for a, b in [rng.integers(22, 62, 2)]}
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(sorted(values))], "id long, bits long")
+    truth = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(sorted(values)) for j, b in enumerate(sorted(values)) if i < j and (a ^ b).bit_count() <= 4}
+    assert {tuple(r) for r in D.hamming_pairs(rows, 4).collect()} == truth and len(truth) >= 50
+
+
+def test_suppressed_boxes_keep_what_only_a_suppressed_one_covers(spark):
+    rng = random.Random(4)
+    boxes = []
+    for i in range(150):
+        x, y, s = rng.randrange(400), rng.randrange(400), rng.randrange(20, 120)
+        boxes.append(("p", i, i, float(x), float(y), float(x + s), float(y + s)))
+    kept = []
+    for b in boxes:
+        cover = lambda a: max(0, min(a[5], b[5]) - max(a[3], b[3])) * max(0, min(a[6], b[6]) - max(a[4], b[4])) / min((a[5] - a[3]) ** 2, (b[5] - b[3]) ** 2)  # noqa: B023, E731
+        if not any(cover(a) >= 0.8 for a in kept):
+            kept.append(b)
+    found = D.suppressed_boxes(spark.createDataFrame(boxes, "page string, id long, rank long, x0 double, y0 double, x1 double, y1 double")).collect()
+    assert {r.id for r in found} == {b[1] for b in kept} and len(kept) < len(boxes)
+
+
+def test_parked_promotions(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [("p", k, rng.choice(["promote", "promote", "request"]), str(rng.randrange(6)), float(rng.randrange(10))) for k in range(60)]
+    src = tmp_path / "messages"
+    src.mkdir()
+    for k in range(3):
+        pd.DataFrame(rows[20 * k : 20 * k + 20], columns=["page", "seq", "kind", "id", "priority"]).to_parquet(src / f"{k}.parquet")
+    stream = W.read_files(spark, str(src), "*.parquet", "page string, seq long, kind string, id string, priority double", 1)
+    held, expected = {}, []
+    for page, seq, kind, i, priority in rows:
+        if kind == "promote":
+            held[i] = max(priority, held.get(i, priority))
+            if len(held) > 3:
+                del held[next(iter(held))]
+        else:
+            expected.append((page, seq, i, max(priority, held.pop(i, priority))))
+    assert sorted(map(tuple, W.finish(W.parked_promotions(stream, 3), "parked-test", "append").collect())) == sorted(expected)
+
+
 def test_text_cases(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("c")).first().c
