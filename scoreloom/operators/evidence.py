@@ -20,21 +20,23 @@ def fixed(c: Column, digits: int = 10) -> Column:
     return F.format_string(f"%.{digits}f", c)
 
 
-def set_hash(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def set_hash(rows: DataFrame, value: str, keys: tuple[str, ...] = (), digits: int = 2) -> DataFrame:
     """Hash of the sorted distinct values: independent of order and repetition.
 
-    Values are hashed in up to 256 sorted parts first and the parts' hashes
-    then, so that no task needs all values of a large set.
+    Values are hashed in sorted parts first, one for each beginning of
+    ``digits`` hex digits, and the parts' hashes then, so that no task needs all
+    values of a large set. Hashes agree only for the same number of digits:
+    2 for up to millions of values, 4 for billions.
     """
-    part = F.substring(F.md5(value), 1, 2)
+    part = F.substring(F.md5(value), 1, digits)
     inner = rows.select(*keys, value).distinct().groupBy(*keys, part.alias("part")).agg(F.sha2(F.to_json(F.array_sort(F.collect_set(value))), 256).alias("h"), F.count("*").alias("n"))
     return inner.groupBy(*keys).agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])), 256).alias("set_sha256"), F.sum("n").alias("n"))
 
 
-def row_digest(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Order-independent digest of rows: sorted hashes of each row, hashed in parts."""
+def row_digest(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = (), digits: int = 2) -> DataFrame:
+    """Order-independent digest of rows: sorted hashes of each row, hashed in parts by ``digits`` as in :func:`set_hash`."""
     hashed = rows.select(*keys, F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in columns))), 256).alias("h"))
-    parts = hashed.groupBy(*keys, F.substring("h", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("p"), F.count("*").alias("n"))
+    parts = hashed.groupBy(*keys, F.substring("h", 1, digits).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("p"), F.count("*").alias("n"))
     return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "p"))), lambda x: x["p"]), ""), 256).alias("digest"), F.sum("n").alias("n"))
 
 

@@ -25,4 +25,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from scoreloom.plans import chain_queries, contract_queries, data_queries, gate_queries, layout_queries, metric_queries, model_queries, stream_queries, text_queries  # noqa: F401
+    from scoreloom.plans import chain_queries, contract_queries, data_queries, gate_queries, layout_queries, metric_queries, model_queries, reach_queries, stream_queries, text_queries  # noqa: F401
