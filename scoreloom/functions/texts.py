@@ -17,16 +17,31 @@ _IMAGE_PATH = r"(?i)\.(?:avif|bmp|gif|jpe?g|jxl|png|tiff?|webp)$"
 _SPACE = r"[ \t\n\x0b\f\r]"
 
 
+def _outside_brackets(text: Column) -> Column:
+    """The parts at depth 0, of parts that each begin with a bracket, by a fold over them."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        depth = F.when(part.startswith("<"), state["depth"] + 1).when(part.startswith(">"), F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+        plain = F.regexp_replace(part, "^[<>]", "")
+        return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat(state["out"], plain)).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(F.split(text, "(?=[<>])"), start, step)["out"]
+
+
 def strip_markup(text: Column) -> Column:
     """Text outside of angle brackets, nested ones included, with white space collapsed.
 
-    Innermost brackets go first; 8 rounds cover any nesting found in captions,
-    and an unclosed bracket takes the rest of the text with it.
+    Innermost brackets go first, in 8 rounds; texts nested deeper, which are
+    rare, are read bracket by bracket. An unclosed bracket takes the rest of the
+    text with it.
     """
     out = text
     for _ in range(8):
         out = F.regexp_replace(out, r"<[^<>]*>", "")
+    deep = out.rlike(r"<[^<>]*>")
     out = F.regexp_replace(F.regexp_replace(out, r"(?s)<.*$", ""), ">", "")
+    out = F.when(deep, _outside_brackets(text)).otherwise(out)
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 

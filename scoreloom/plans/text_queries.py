@@ -36,7 +36,7 @@ def pages_by_host(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").groupBy(X.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '^$', ''), ''), 'unknown') AS slug FROM documents")
+@query("SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '^$', ''), ''), 'unknown') AS slug FROM documents")
 def slugify(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 

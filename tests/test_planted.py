@@ -343,6 +343,8 @@ def test_text_cases(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("c")).first().c
     assert get(X.strip_markup(F.lit("a <b <i>c> d</i>  e <unclosed"))) == "a d e"
+    nested = "x " + "<" * 12 + "in" + ">" * 12 + " y > z <p>w</p> " + "<" * 3 + "q>"
+    assert get(X.strip_markup(F.lit(nested))) == "x y z w"
     assert get(X.slug(F.lit("Été -- 2024!"))) == "été-2024" and get(X.slug(F.lit("??"))) == "unknown"
     assert get(X.short_name(F.lit("<a>Ann</a>"))) == "Ann"
     assert get(X.same_resource(F.lit("http://www.a.com/x/"), F.lit("https://a.com/x?y=1")))
