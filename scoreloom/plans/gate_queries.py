@@ -11,14 +11,19 @@ from scoreloom.operators import integrity as I
 from scoreloom.operators import metrics as M
 from scoreloom.operators.staging import shared_dir
 from scoreloom.plans.fixtures import SCORE_ROWS, THRESHOLD, score_rows, table
-from scoreloom.plans.metric_queries import _ORACLE, _sweep_sql
+from scoreloom.plans.metric_queries import _ORACLE, _interval_sql, _sweep_sql
 from scoreloom.registry import query
 from scoreloom.sources import files
 
 S = SCORE_ROWS
 
 
-@query()
+_EVAL = "(SELECT * FROM h WHERE split = 'eval')"
+
+
+@query(f"""WITH i AS ({_interval_sql(_EVAL, "20260814", _EVAL)}), n AS (WITH {S} SELECT count(*) FILTER (WHERE label = 1) AS ai, count(*) FILTER (WHERE label = 0) AS re FROM score_rows WHERE split = 'eval'),
+o AS (SELECT unnest(['n_ai', 'n_real', 'n_ai_clusters', 'n_real_clusters', 'balanced_accuracy', 'ci_lower']) AS gate, unnest([ai::DOUBLE, re::DOUBLE, n_ai_clusters::DOUBLE, n_real_clusters::DOUBLE, value, ci_lower]) AS observed, unnest([100, 100, 100, 100, 0.7, 0.7]::DOUBLE[]) AS least FROM i, n WHERE metric = 'balanced_accuracy')
+SELECT *, observed >= least AS passed FROM o""")
 def gated_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Validate, select, measure with intervals, and gate: one row for each gate."""
     rows = score_rows(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +37,22 @@ def metrics_by_degradation(spark: SparkSession, sf: str) -> DataFrame:
     return M.point_metrics(score_rows(spark, sf), T, keys=["degradation"])
 
 
-def _interval_sql(rows: str, seed: str) -> str:
+def _rows_sql() -> str:
+    """One row a metric: the value in ``p``, the bounds of the replicates in ``r``, clusters in ``c``."""
     one = lambda m: f"SELECT '{m}' AS metric, (SELECT {m} FROM p) AS value, (SELECT quantile_cont({m}, 0.025::DOUBLE) FROM r) AS ci_lower, (SELECT quantile_cont({m}, 0.975::DOUBLE) FROM r) AS ci_upper, (SELECT count(*) FROM c WHERE label = 1) AS n_ai_clusters, (SELECT count(*) FROM c WHERE label = 0) AS n_real_clusters"
+    return f'{one("tpr")} UNION ALL {one("tnr")} UNION ALL {one("balanced_accuracy")}'
+
+
+_BY_REPLICATE = "r AS (SELECT b, max(share) FILTER (WHERE label = 1) AS tpr, max(share) FILTER (WHERE label = 0) AS tnr, (max(share) FILTER (WHERE label = 1) + max(share) FILTER (WHERE label = 0)) / 2 AS balanced_accuracy FROM s GROUP BY b)"
+
+
+def _interval_sql(rows: str, seed: str, point: str = "h") -> str:
     return f"""
 WITH {_H}, {_CLUSTERS.format(sums="sum(hit) AS hit", rows=rows)}, {_draws(seed)},
 s AS (SELECT b, d.label, sum(hit) / sum(n) AS share FROM d JOIN k USING (label, idx) GROUP BY b, d.label),
-r AS (SELECT b, max(share) FILTER (WHERE label = 1) AS tpr, max(share) FILTER (WHERE label = 0) AS tnr, (max(share) FILTER (WHERE label = 1) + max(share) FILTER (WHERE label = 0)) / 2 AS balanced_accuracy FROM s GROUP BY b),
-p AS (SELECT {_RATES} FROM h)
-{one("tpr")} UNION ALL {one("tnr")} UNION ALL {one("balanced_accuracy")}
+{_BY_REPLICATE},
+p AS (SELECT {_RATES} FROM {point})
+{_rows_sql()}
 """
 
 
@@ -56,9 +66,21 @@ def mixed_unit_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return M.clustered_interval(score_rows(spark, sf), T, B, seed="mixed", unit_of_positives="image_id")
 
 
-@query()
+def _poisson_sql(samples: int, seed: str) -> str:
+    """Weights are how many of the cumulative probabilities of Poisson(1) a cluster's number reaches."""
+    reached = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(j) for j in range(k))!r}::DOUBLE)::INT" for k in range(1, 13))
+    u = uniform_sql(f"'{seed}|' || b || '|' || label || '|' || cluster_id")
+    return f"""
+WITH {_H}, c AS (SELECT label, cluster_id, count(*) AS n, sum(hit) AS hit FROM h GROUP BY ALL),
+w AS (SELECT b, label, n, hit, {reached} AS w FROM (SELECT *, {u} AS u FROM c, (SELECT unnest(range(0, {samples})) AS b))),
+s AS (SELECT b, label, sum(hit * w) / sum(n * w) AS share FROM w WHERE w > 0 GROUP BY ALL), {_BY_REPLICATE}, p AS (SELECT {_RATES} FROM h)
+{_rows_sql()}
+"""
+
+
+@query(_poisson_sql(B, "20260814"))
 def poisson_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return M.clustered_interval(score_rows(spark, sf), T, 200, method="poisson")
+    return M.clustered_interval(score_rows(spark, sf), T, B, method="poisson")
 
 
 @query(f"""WITH {S}, p AS (SELECT avg(label) AS p FROM score_rows)

@@ -44,9 +44,11 @@ def resumable_batch(spark: SparkSession, sf: str) -> DataFrame:
     return W.finish(work, "resume", "append", ["page", "url"]).groupBy("page").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {SCAN_ROWS}, s AS (SELECT page, seq, CASE WHEN phase <> 'purchase' THEN 'ready' WHEN max((phase <> 'purchase')::INT) OVER (PARTITION BY page ORDER BY seq) = 1 THEN 'lost' ELSE 'missing' END AS state FROM scan_rows),
+c AS (SELECT *, lag(state, 1, 'unknown') OVER (PARTITION BY page ORDER BY seq) AS earlier FROM s) SELECT page, arg_max(state, seq) AS state, count(*) FILTER (WHERE state <> earlier) AS changes FROM c GROUP BY page""")
 def availability_latch(spark: SparkSession, sf: str) -> DataFrame:
-    reports = _requests(spark, sf).select("page", "seq", (F.col("phase") != "error").alias("available"))
+    """Pages whose engine is away at purchases."""
+    reports = _requests(spark, sf).select("page", "seq", (F.col("phase") != "purchase").alias("available"))
     return W.finish(W.availability(reports), "latch")
 
 
