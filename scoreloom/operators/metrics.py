@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.keyed import draw, uniform
+from scoreloom.functions.keyed import digits, digits_of, draw, uniform
 from scoreloom.operators.ordering import dense_index, finite, running_totals
 from scoreloom.operators.staging import stage
 
@@ -193,8 +193,9 @@ def null_accuracies(rows: DataFrame, cuts: DataFrame, seed: str) -> DataFrame:
     rows = rows.where(finite(F.col("score")))
     n = -(-rows.count() // RANGE_ROWS) or 1
     placed = stage(rows.repartitionByRange(n, "score").withColumn("part", F.spark_partition_id()), "ranges")
-    number = lambda b: uniform(F.concat_ws("|", F.lit(seed), b, F.col("cluster_id")))
-    labelled = placed.crossJoin(F.broadcast(cuts)).select("part", "score", F.transform("cuts", lambda cut, b: (number(b) <= cut).cast("byte")).alias("labels"))
+    number = lambda b: digits(F.concat_ws("|", F.lit(seed), b, F.col("cluster_id")))
+    cuts = F.broadcast(cuts.select(F.transform("cuts", digits_of).alias("cuts")))
+    labelled = placed.crossJoin(cuts).select("part", "score", F.transform("cuts", lambda cut, b: (number(b) <= cut).cast("byte")).alias("labels"))
     labelled = stage(labelled, "replicates")
 
     def matrix(part: pa.Table) -> np.ndarray:
