@@ -30,15 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it as read back.
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet, with the writer's ``options``, in the shared folder and return it as read back.
 
     Cuts lineage: what comes after survives the loss of executors without
     computing ``df`` anew.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scoreloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, licenses, linedup, mixing, preferences, quality, secrets, simhash, tokens, toxicity
+from scoreloom.llm import decontaminate, licenses, linedup, mixing, preferences, quality, search, secrets, simhash, tokens, toxicity
 from scoreloom.llm.common import table
 
 
@@ -160,7 +160,28 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+     s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+     q AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+     p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+     f AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, n),
+     i AS (SELECT r, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * n) // l)) AS impact FROM p JOIN d USING (r), s),
+     x AS (SELECT item_id, r, sum(k * weight * impact)::BIGINT AS score FROM q JOIN f USING (t) JOIN i USING (t) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x JOIN d USING (r) WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
 QUERIES = {
+    "op13_wavelet_search": op13_wavelet_search,
     "op1_containment": op1_containment,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_ownership": op6_secret_ownership,
@@ -178,4 +199,5 @@ ORACLES: dict[str, str] = {
     "op2_preference_pairs": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op6_secret_ownership": OP6_SQL,
+    "op13_wavelet_search": OP13_SQL,
 }
