@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, licenses, linedup, mixing, preferences, quality, search, secrets, simhash, tokens, toxicity
+from scoreloom.llm import alignment, decontaminate, embedding, licenses, linedup, mixing, preferences, quality, search, secrets, simhash, tokens, toxicity
 from scoreloom.llm.common import table
 
 
@@ -160,6 +160,14 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_suffix_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -181,6 +189,8 @@ WHERE rank <= 10
 
 
 QUERIES = {
+    "op11_suffix_transducer": op11_suffix_transducer,
+    "op12_random_indexing": op12_random_indexing,
     "op13_wavelet_search": op13_wavelet_search,
     "op1_containment": op1_containment,
     "op5_quality_rules": op5_quality_rules,
