@@ -16,7 +16,8 @@ from scoreloom.llm.common import fresh, stage
 
 #: Labelled rows that the domain classifier is fitted on at most, and buckets its words are hashed to.
 SAMPLE, BUCKETS = 2_000, 1 << 10
-MOST_STEPS, CLOSE = 60, 1e-6
+#: A gradient of at most this share of the targets ends the descent, and a ridge keeps rates finite where targets are out of reach.
+CLOSE, RIDGE = 1e-7, 1e-10
 #: Distance from the targets, as a share of all tokens, from which on there is a warning.
 FAR = 0.01
 #: Share of all tokens that each domain (language, then + for good and - for poor quality) is to have.
@@ -118,11 +119,8 @@ def train_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col
 
 
 def _rate(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Projected-gradient path of each document from rate 1, replayed from the steps' common part."""
-    r = np.ones(len(p))
-    for step in steps:
-        r = np.maximum(0.0, r - p @ step)
-    return r
+    """Each document's rate: 1 less its part of all gradient steps, projected on the numbers from 0 on."""
+    return np.maximum(0.0, 1 - p @ np.sum(steps, axis=0)) if steps else np.ones(len(p))
 
 
 @dataclass
@@ -143,49 +141,64 @@ def fit_rates(table: DataFrame, targets: np.ndarray) -> Rates:
     """Steps of projected-gradient least squares on nonnegative rates, over all of ``table(n_tokens, posterior)``.
 
     The unknowns are one rate a document. The residual is the expected token
-    total by domain less the target share of all tokens. A rate's gradient step
-    is scaled by its tokens, so that it depends on the document's posterior
-    alone, and the residual is measured in the metric of the domain covariance
-    of the documents that still have a positive rate, in which a step of length
-    1 solves the problem unless more rates reach 0. A step that does not bring
-    the totals nearer is halved. Targets that no rates
-    reach end where steps bring the totals no nearer; the residual says how far.
-    A step is thus a vector over domains: the driver keeps these, and each pass
-    sums ``k + k * k`` numbers over the table.
+    total by domain less the target share of all tokens; its gradient, scaled by
+    a document's tokens, depends on the posterior alone. So gradient steps are
+    added up as a vector over domains, and a document's rate is the projection
+    of 1 less its product with the posterior: the projection comes after the
+    sum of all steps, which makes each rate a function of ``k`` numbers. Seen
+    from these, the descent minimises the convex function
+
+        sum of n * max(0, 1 - p.y) ** 2 / 2 + goal.y + ridge * |y| ** 2 / 2
+
+    whose gradient is the residual. A step is scaled by the inverse of its
+    curvature, the covariance of the documents with a positive rate, plus a
+    damping that falls with every step that brings the function down and rises
+    with every other one. The end is the least squares solution, of those the
+    one nearest to rates of 1; where targets are out of reach, the ``RIDGE``
+    keeps its rates finite. A pass sums ``1 + k + k * k`` numbers over the table.
     """
     k = len(targets)
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def sums(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n = batch.column(0).to_numpy(zero_copy_only=False)
                 p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                r = _rate(p, steps)
+                r = _rate(p, [y])
                 gram = (p * (n * (r > 0))[:, None]).T @ p
-                yield pa.record_batch([pa.array([[*((n * r) @ p), *gram.ravel()]], pa.list_(pa.float64()))], ["s"])
+                yield pa.record_batch([pa.array([[n @ (r * r) / 2, *((n * r) @ p), *gram.ravel()]], pa.list_(pa.float64()))], ["s"])
 
         parts = table.select("n_tokens", "posterior").mapInArrow(run, "s array<double>")
-        row = parts.agg(*(F.sum(F.element_at("s", i + 1)).alias(f"s{i}") for i in range(k + k * k))).first()
+        row = parts.agg(*(F.sum(F.element_at("s", i + 1)).alias(f"s{i}") for i in range(1 + k + k * k))).first()
         out = np.array([v or 0.0 for v in row])
-        return out[:k], out[k:].reshape(k, k)
-
-    now, gram = sums([])
-    inverse = lambda g: np.linalg.pinv(g + 1e-9 * np.trace(g) * np.eye(k), hermitian=True)
-    goal, steps, length = targets * now.sum(), [], 1.0
-    far = lambda totals: float(np.abs(totals - goal).sum())
-    for _ in range(MOST_STEPS):
-        if far(now) <= CLOSE * goal.sum() or length < 1e-3:
+        return out[1 : 1 + k], out[1 + k :].reshape(k, k), float(out[0])
+
+    y, moved = np.zeros(k), False
+    now, gram, value = sums(y)
+    tokens = float(now.sum())
+    if not tokens:
+        return Rates([], 0.0)
+    goal, ridge, damping = targets * tokens, RIDGE * np.trace(gram), 1e-6 * np.trace(gram)
+    least, most = ridge / 10, 1e6 * np.trace(gram)
+    objective = value
+    while damping <= most:
+        gradient = goal - now + ridge * y
+        if np.abs(gradient).sum() <= CLOSE * tokens:
             break
-        step = length * inverse(gram) @ (now - goal)
-        then, then_gram = sums([*steps, step])
-        if far(then) < far(now):
-            gain = far(now) - far(then)
-            steps, now, gram, length = [*steps, step], then, then_gram, min(1.0, 2 * length)
-            if gain <= 1e-5 * goal.sum():
+        step = np.linalg.solve(gram + (ridge + damping) * np.eye(k), gradient)  # the steps are taken off
+        then, then_gram, then_value = sums(y - step)
+        z = y - step
+        new = then_value + goal @ z + ridge * (z @ z) / 2
+        if new <= objective - 1e-4 * (gradient @ step):
+            gain = objective - new
+            y, now, gram, objective, damping, moved = z, then, then_gram, new, max(least, damping / 10), True
+            if gain <= 1e-13 * abs(objective):
                 break
+        elif gradient @ step <= 1e-12 * abs(objective):
+            break  # nothing left to gain that doubles can tell
         else:
-            length /= 2
-    return Rates(steps, far(now) / max(float(goal.sum()), 1e-300))
+            damping *= 10
+    return Rates([y] if moved else [], float(np.abs(now - goal).sum()) / tokens)
 
 
 def _posterior_table(docs: DataFrame, domains: Domains, id_col: str, text_col: str) -> DataFrame:
@@ -203,9 +216,9 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     """``(doc_id, n_tokens, posterior, rate)`` of each row of ``docs``.
 
     A classifier fitted on ``labelled(id, domain)`` gives every document its
-    probability of each domain in ``targets``; the rates, started at 1, are
-    moved as little as projected gradient steps need until the expected domain
-    token totals are the targets' shares of all tokens. Texts without a word,
+    probability of each domain in ``targets``; the rates are the nonnegative ones
+    nearest to 1 whose expected domain token totals come nearest to the targets'
+    shares of all tokens. Texts without a word,
     and nulls, have 0 tokens and the rate of the mean posterior; null ids stay
     null; repeated rows each get their rate. Empty tables give no rows, and
     labels without rows leave posteriors uniform.

@@ -53,6 +53,41 @@ def test_no_nonnegative_rates_come_nearer(spark):
         M.fit_rates(table, np.array([0.97, 0.02, 0.01])).checked()
 
 
+def accelerated(p, n, goal, steps=60_000):
+    """min |sum n r p - goal| over r >= 0 by accelerated projected gradient, each gradient scaled by the tokens."""
+    r = z = np.ones(len(n))
+    step, t = 1 / np.linalg.eigvalsh((p * n[:, None]).T @ p)[-1], 1.0
+    for _ in range(steps):
+        new = np.maximum(0, z - step * (p @ ((n * z) @ p - goal)))
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        z, r, t = new + (t - 1) / after * (new - r), new, after
+    return np.linalg.norm((n * r) @ p - goal)
+
+
+def test_rates_are_the_least_squares_ones_of_the_classifiers_own_posteriors(spark, docs, labels):
+    rows = M.document_rates(docs, M.labelled_domains(docs, labels), M.TARGETS).collect()
+    n, r, p = np.array([x.n_tokens for x in rows]), np.array([x.rate for x in rows]), np.array([x.posterior for x in rows])
+    goal = np.array(list(M.TARGETS.values())) * n.sum()
+    assert (r >= 0).all()
+    assert np.linalg.norm((n * r) @ p - goal) <= accelerated(p, n, goal) + 1e-3 * n.sum()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sharp_posteriors_over_eight_domains(spark, seed):
+    """Rare domains, domains without a document, and targets at and beyond the edge."""
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([0.02] * 8, 250)
+    if seed % 2:
+        p[:, 7] = 0
+        p /= p.sum(1, keepdims=True)
+    n = rng.integers(1, 3000, 250).astype(float)
+    targets = rng.dirichlet([0.7] * 8)
+    fit = M.fit_rates(spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens double, posterior array<double>").repartition(2), targets)
+    goal, r = targets * n.sum(), M._rate(p, fit.steps)
+    assert np.isfinite(r).all() and (r >= 0).all()
+    assert np.linalg.norm((n * r) @ p - goal) <= accelerated(p, n, goal) + 1e-3 * n.sum()
+
+
 def test_odd_rows(spark, odd, odd_rows, none):
     targets = {"a": 0.5, "b": 0.5}
     labelled = spark.createDataFrame([(1, "a"), (2, "b"), (6, "b"), (None, "a"), (7, "other"), (8, None)], "id long, domain string")
