@@ -150,17 +150,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other columns are not read.
     """
     printed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _labelled(stage(printed.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints"))
+    return _labelled(stage(printed.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")).drop("root")
 
 
 def _labelled(printed: DataFrame) -> DataFrame:
-    """``printed(doc_id, fp)`` with ``component_id``."""
+    """``printed(doc_id, fp)`` with ``component_id`` and ``root``, a fingerprint that names the component."""
     distinct = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected(links(distinct))
     inside = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = stage(inside.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # else the join below could not split a hot root
     by_print = stage(inside.select("fp", "root").join(least, "root"), "components")
-    return printed.join(by_print.drop("root"), "fp").select("doc_id", "fp", "component_id")
+    return printed.join(by_print, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,10 +170,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if its own component has an id, and a row whose id repeats with another
     text only by the component of that text: of an id with texts in several
     components, one row of each stays. Rows that repeat the kept id in its
-    component count as the same document, and one of them stays. A component
+    component count as the same document, and the one whose text has the least
+    hash stays. A component
     without any id keeps all its rows: there is nothing to tell them apart by.
     """
-    key, fp, gone_key, gone_fp = fresh(docs, "key", "fp", "gone_key", "gone_fp")
+    key, fp, gone_key, gone_fp, root, hashed, least = fresh(docs, "key", "fp", "gone_key", "gone_fp", "root", "hashed", "least")
 
     def prints(texts: pa.Array) -> pa.Array:
         return pa.array(fingerprints(texts).view(np.int64))
@@ -181,9 +182,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = stage(docs.withColumn(key, F.col(id_col).cast("long")).withColumn(fp, F.arrow_udf(prints, "long")(F.col(text_col))), "printed")  # once for all that follows
     labels = _labelled(out.select(F.col(key).alias("doc_id"), F.col(fp).alias("fp")))
     gone = labels.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
-    repeated = labels.where("doc_id = component_id").groupBy("doc_id", "fp").count().where("count > 1")
+    own = labels.where("doc_id = component_id").select(F.col("doc_id").alias(gone_key), F.col("fp").alias(gone_fp), F.col("root").alias(root))
+    repeated = own.groupBy(gone_key, root).count().where("count > 1")
     gone = gone.select(F.col("doc_id").alias(gone_key), F.col("fp").alias(gone_fp))  # not made distinct: an aggregation would bind the join on fp, so that it cannot split a hot one
     out = out.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.col(fp) == F.col(gone_fp)), "left_anti")
     if repeated.limit(1).count():
-        out = out.where(F.col(key).isNotNull()).dropDuplicates([key, fp]).unionByName(out.where(F.col(key).isNull()))
+        named = out.where(F.col(key).isNotNull()).join(own.distinct(), (F.col(key) == F.col(gone_key)) & (F.col(fp) == F.col(gone_fp))).drop(gone_key, gone_fp)
+        named = named.withColumn(hashed, F.xxhash64(F.col(text_col)))
+        first = named.groupBy(F.col(key).alias(gone_key), F.col(root).alias(gone_fp)).agg(F.min(hashed).alias(least))
+        named = named.join(first, (F.col(key) == F.col(gone_key)) & (F.col(root) == F.col(gone_fp)) & (F.col(hashed) == F.col(least)))
+        out = named.dropDuplicates([key, root]).select(out.columns).unionByName(out.where(F.col(key).isNull()))
     return out.select([F.col(f"`{c}`") for c in docs.columns])

@@ -132,3 +132,15 @@ def test_connected_components_of_a_path(spark):
     roots = {r.node: r.root for r in connected(edges).collect()}
     assert all(roots[i] == 0 for i in range(41)) and roots[101] == roots[100] == 100
     assert connected(edges.where("a < 0").select(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_an_id_with_near_texts_keeps_the_one_of_least_hash(spark):
+    base = prose(77, 400).split()
+    near = next(t for k in range(400) for t in [" ".join([*base[:k], "changed", *base[k + 1 :]])] if 0 < (reference(t) ^ reference(" ".join(base))).bit_count() <= 2)
+    rows = [(5, " ".join(base), 1), (5, near, 2), (5, near, 2), (5, prose(78, 300), 3), (9, near, 4), (6, None, 5), (6, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root int").repartition(3)
+    by_hash = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    assert got == sorted([(5, min(rows[0][1], near, key=by_hash.get)), (5, rows[3][1]), (6, "")])
