@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Decision rules (fixed values).
@@ -163,3 +163,11 @@ def crop_plan(width: Column, height: Column, edge: int = 440, crop: int = 384) -
     w = F.when(width <= height, F.lit(edge)).otherwise(F.greatest(F.lit(edge), F.floor(width * edge / height)))
     h = F.when(width <= height, F.greatest(F.lit(edge), F.floor(height * edge / width))).otherwise(F.lit(edge))
     return F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"), F.floor((w - crop) / 2).cast("int").alias("x"), F.floor((h - crop) / 2).cast("int").alias("y"))
+
+
+def valid_curves(knots: DataFrame) -> DataFrame:
+    """``(curve, valid)`` of ``knots(curve, i, x, y)``: two or more, finite, x strictly up and y never down in the order of ``i``."""
+    step = Window.partitionBy("curve").orderBy("i")
+    up = F.coalesce((F.col("x") > F.lag("x").over(step)) & (F.col("y") >= F.lag("y").over(step)), F.lit(True))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double"))
+    return knots.select("curve", (up & known).alias("ok")).groupBy("curve").agg((F.bool_and("ok") & (F.count("*") >= 2)).alias("valid"))

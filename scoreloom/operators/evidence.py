@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from scoreloom.operators.staging import stage
 
 
 def canonical_json(columns: dict[str, Column]) -> Column:
@@ -41,25 +48,88 @@ def row_digest(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = (),
 
 
 def chain(entries: DataFrame, order: str, payload: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Entries with the previous one's hash and their own, which covers it: a fold over each log."""
-    log = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("log"))
-    start = F.struct(F.lit("").alias("prev"), F.array().cast("array<struct<o:bigint,p:string,prev:string,h:string>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        h = F.sha2(F.concat(state["prev"], F.lit("|"), x["p"]), 256)
-        one = F.struct(x["o"].cast("long").alias("o"), x["p"].alias("p"), state["prev"].alias("prev"), h.alias("h"))
-        return F.struct(h.alias("prev"), F.concat(state["out"], F.array(one)).alias("out"))
+    """Entries with the previous one's hash and their own, which covers it.
 
-    return log.select(*keys, F.inline(F.aggregate("log", start, step)["out"])).select(*keys, F.col("o").alias(order), F.col("p").alias(payload), F.col("prev").alias("previous_sha256"), F.col("h").alias("entry_sha256"))
+    A log is one sequence by nature: each is dealt to one partition, sorted
+    there, and read as a stream with the last hash carried from row to row and
+    batch to batch. No log is ever held as a whole. A null payload hashes as the
+    empty text.
+    """
+    rows = entries.select(*keys, F.col(order).cast("long").alias(order), F.col(payload).cast("string").alias(payload))
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, order, payload)
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, before = None, ""
+        for batch in batches:
+            logs = list(zip(*(c.to_pylist() for c in batch.columns[:width]), strict=True)) if width else [()] * batch.num_rows
+            previous, own = [], []
+            for key, text in zip(logs, batch.column(width + 1).to_pylist(), strict=True):
+                if key != log:
+                    log, before = key, ""
+                previous.append(before)
+                before = hashlib.sha256(f"{before}|{text or ''}".encode()).hexdigest()
+                own.append(before)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(previous, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "previous_sha256", "entry_sha256"])
+
+    schema = StructType([*rows.schema.fields, StructField("previous_sha256", StringType()), StructField("entry_sha256", StringType())])
+    return rows.mapInArrow(run, schema)
 
 
 def broken_links(chained: DataFrame, order: str, payload: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Entries that do not match their own hash or the hash before: a check of the whole log, in parallel by log."""
-    from pyspark.sql import Window
+    """Entries that do not match their own hash or the hash before; ``chained`` has one row for each place of a log.
 
-    before = F.coalesce(F.lag("entry_sha256").over(Window.partitionBy(*keys).orderBy(order)), F.lit(""))
-    own = F.sha2(F.concat(F.col("previous_sha256"), F.lit("|"), F.col(payload)), 256)
-    return chained.withColumn("_before", before).where((F.col("previous_sha256") != F.col("_before")) | (F.col("entry_sha256") != own)).drop("_before")
+    One long log is checked by many tasks: rows are dealt by ranges of log and
+    place and written with the range's number. Inside a range the row before is
+    at hand; the first rows of ranges are compared with the last row of their
+    log in the ranges before, which are as many rows as there are ranges and
+    logs that go over them.
+    """
+    marked = chained.withColumns({"_own": F.sha2(F.concat(F.col("previous_sha256"), F.lit("|"), F.coalesce(F.col(payload).cast("string"), F.lit(""))), 256)})
+    placed = stage(marked.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()), "log")
+    inside = Window.partitionBy("_part", *keys).orderBy(order)
+    rows = placed.withColumn("_before", F.lag("entry_sha256").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    last = placed.groupBy(*keys, "_part").agg(F.max_by("entry_sha256", F.col(order)).alias("_last"))
+    parts = Window.partitionBy(*keys).orderBy("_part")
+    last = last.select(*keys, F.col("_part"), F.coalesce(F.lag("_last").over(parts), F.lit("")).alias("_carried"))
+    rows = rows.join(last.withColumn("_first", F.lit(True)), [*keys, "_part", "_first"], "left")
+    broken = (F.col("previous_sha256") != F.coalesce("_before", "_carried", F.lit(""))) | (F.col("entry_sha256") != F.col("_own"))
+    return rows.where(broken).select(*(F.col(f"`{c}`") for c in chained.columns))
+
+
+def merkle_root(hashes: Column) -> Column:
+    """The root of the tree over an array of hashes: neighbours are hashed together level by level, an odd one goes up as it is; '' for none."""
+
+    def roots(lists: pa.Array) -> pa.Array:
+        out = []
+        for level in lists.to_pylist():
+            level = level or [""]
+            while len(level) > 1:
+                level = [hashlib.sha256("".join(level[k : k + 2]).encode()).hexdigest() if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+            out.append(level[0])
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(roots, "string")(hashes)
+
+
+def segment_roots(chained: DataFrame, order: str, keys: tuple[str, ...] = (), size: int = 1024) -> DataFrame:
+    """``(<keys>, segment, n, root)``: the Merkle root of each ``size`` places of a log.
+
+    Roots that were kept tell which segments of a log have changed, each on its
+    own: :func:`changed_segments`.
+    """
+    segment = F.floor(F.col(order) / size).cast("long").alias("segment")
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("entry_sha256").alias("h")))), lambda x: x["h"])
+    by = chained.groupBy(*keys, segment).agg(hashes.alias("h"))
+    return by.select(*keys, "segment", F.size("h").cast("long").alias("n"), merkle_root(F.col("h")).alias("root"))
+
+
+def changed_segments(kept: DataFrame, now: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(<keys>, segment, status)``: segments whose roots differ from the kept ones, or that are missing or new."""
+    on = [*keys, "segment"]
+    both = kept.select(*on, F.col("root").alias("a")).join(now.select(*on, F.col("root").alias("b")), on, "full")
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "new").when(F.col("a") != F.col("b"), "changed")
+    return both.select(*on, status.alias("status")).where("status is not null")
 
 
 def freeze_drift(frozen: DataFrame, now: DataFrame, critical: Column) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.keyed import digits, digits_of, draw, uniform
-from scoreloom.operators.ordering import dense_index, finite, running_totals
-from scoreloom.operators.staging import stage
+from scoreloom.operators.ordering import finite, running_totals
+from scoreloom.operators.resampling import intervals, null_accuracies, per_cluster, replicates, statistics_of
 
 
 def cluster_id(df: DataFrame) -> Column:
@@ -51,36 +48,14 @@ def null_baselines(rows: DataFrame) -> DataFrame:
     return share.select(F.inline(F.array(one("always_real", zero, full, zero), one("always_ai", full, zero, full), one("prevalence", p, 1 - p, p))))
 
 
-def per_cluster(rows: DataFrame, sums: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """One row for each cluster and label with its row count and the ``sums``: all that resampling needs."""
-    return rows.groupBy(*keys, "label", "cluster_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+def _sides(name: str = "hit") -> Callable[[Callable[[str, int], Column]], Mapping[str, Column]]:
+    """tpr, tnr and balanced accuracy from sums of hits by label."""
 
+    def make(of: Callable[[str, int], Column]) -> Mapping[str, Column]:
+        tpr, tnr = (of(name, k) / of("n", k) for k in (1, 0))
+        return {"tpr": tpr, "tnr": tnr, "balanced_accuracy": (tpr + tnr) / 2}
 
-def resampled(clusters: DataFrame, sums: Sequence[str], samples: int, seed: str, method: str = "draws") -> DataFrame:
-    """``(b, label, n, <sums>)`` of ``samples`` bootstrap replicates of whole clusters within each label.
-
-    ``draws`` takes as many clusters with replacement as there are, by keyed
-    numbers, so any engine can repeat it. ``poisson`` gives every cluster an
-    independent Poisson(1) weight instead: no join and no ranks, for cluster
-    counts where the draws themselves would be the largest table.
-    """
-    reps = F.sequence(F.lit(0), F.lit(samples - 1))
-    if method == "poisson":
-        u = uniform(F.concat_ws("|", F.lit(seed), F.col("b"), F.col("label"), F.col("cluster_id")))
-        steps, total, term = [], 0.36787944117144233, 0.36787944117144233
-        for k in range(1, 13):
-            steps.append(total)
-            term /= k
-            total += term
-        weight = sum((u >= s).cast("int") for s in steps)
-        each = clusters.withColumn("b", F.explode(reps)).withColumn("w", weight).where("w > 0")
-        return each.groupBy("b", "label").agg(F.sum(F.col("n") * F.col("w")).alias("n"), *(F.sum(F.col(c) * F.col("w")).alias(c) for c in sums))
-    ranked = dense_index(clusters, "cluster_id", ["label"])
-    slots = ranked.select("label", "idx", "idx_n").withColumn("b", F.explode(reps))
-    key = F.concat_ws("|", F.lit(seed), F.col("b"), F.col("label"), F.col("idx"))
-    drawn = slots.select("b", "label", draw(key, F.col("idx_n")).alias("idx")).groupBy("b", "label", "idx").agg(F.count("*").alias("w"))
-    each = drawn.join(ranked.select("label", "idx", "n", *sums), ["label", "idx"])
-    return each.groupBy("b", "label").agg(F.sum(F.col("n") * F.col("w")).alias("n"), *(F.sum(F.col(c) * F.col("w")).alias(c) for c in sums))
+    return make
 
 
 def clustered_interval(rows: DataFrame, threshold: float, samples: int = 200, confidence: float = 0.95, seed: str = "20260814", score: str = "score", unit_of_positives: str | None = None, method: str = "draws") -> DataFrame:
@@ -93,15 +68,10 @@ def clustered_interval(rows: DataFrame, threshold: float, samples: int = 200, co
         raise ValueError("at least 200 samples and a confidence in (0.5, 1)")
     unit = F.col("cluster_id") if unit_of_positives is None else F.when(F.col("label") == 1, F.col(unit_of_positives)).otherwise(F.col("cluster_id"))
     rows = rows.withColumn("hit", hit(F.col(score), F.col("label"), threshold)).withColumn("cluster_id", unit)
-    clusters = per_cluster(rows, ["hit"])
-    share = F.col("hit") / F.col("n")
-    by_rep = resampled(clusters, ["hit"], samples, seed, method).groupBy("b").agg(F.max(F.when(F.col("label") == 1, share)).alias("tpr"), F.max(F.when(F.col("label") == 0, share)).alias("tnr"))
-    by_rep = by_rep.withColumn("balanced_accuracy", (F.col("tpr") + F.col("tnr")) / 2)
-    names, tail = ("tpr", "tnr", "balanced_accuracy"), (1 - confidence) / 2
-    bounds = by_rep.agg(*(F.percentile(c, F.array(F.lit(tail), F.lit(1 - tail))).alias(c) for c in names))
-    part = lambda k: F.sum(F.when(F.col("label") == k, F.col("hit"))) / F.sum(F.when(F.col("label") == k, F.col("n")))
-    point = clusters.agg(part(1).alias("p_tpr"), part(0).alias("p_tnr"), F.count_if(F.col("label") == 1).alias("n_ai_clusters"), F.count_if(F.col("label") == 0).alias("n_real_clusters"))
-    point = point.withColumn("p_balanced_accuracy", (F.col("p_tpr") + F.col("p_tnr")) / 2)
+    sums, names = {"hit": F.col("hit")}, ("tpr", "tnr", "balanced_accuracy")
+    bounds = intervals(replicates(rows, sums, _sides(), samples, seed, method), names, confidence)
+    counts = per_cluster(rows, sums).agg(F.count_if(F.col("label") == 1).alias("n_ai_clusters"), F.count_if(F.col("label") == 0).alias("n_real_clusters"))
+    point = statistics_of(rows, sums, _sides()).select(*(F.col(c).alias(f"p_{c}") for c in names)).crossJoin(F.broadcast(counts))
     one = lambda c: F.struct(F.lit(c).alias("metric"), F.col(f"p_{c}").alias("value"), F.get(c, 0).alias("ci_lower"), F.get(c, 1).alias("ci_upper"), "n_ai_clusters", "n_real_clusters")
     return point.crossJoin(F.broadcast(bounds)).select(F.inline(F.array(*map(one, names))))
 
@@ -109,10 +79,9 @@ def clustered_interval(rows: DataFrame, threshold: float, samples: int = 200, co
 def paired_delta(rows: DataFrame, threshold: float, a: str, b: str, samples: int = 200, seed: str = "20260814") -> DataFrame:
     """Balanced accuracy of scorer ``a`` less that of ``b`` on shared resamples, with the 2 x 2 table of agreement."""
     rows = rows.withColumn("hit_a", hit(F.col(a), F.col("label"), threshold)).withColumn("hit_b", hit(F.col(b), F.col("label"), threshold))
-    clusters = per_cluster(rows, ["hit_a", "hit_b"])
-    share = (F.col("hit_a") - F.col("hit_b")) / F.col("n")
-    deltas = resampled(clusters, ["hit_a", "hit_b"], samples, seed).groupBy("b").agg(F.avg(share).alias("d"))
-    bounds = deltas.agg(F.percentile("d", F.lit(0.025)).alias("ci_lower"), F.percentile("d", F.lit(0.975)).alias("ci_upper"))
+    delta = lambda of: {"delta": sum((of("hit_a", k) - of("hit_b", k)) / of("n", k) for k in (1, 0)) / 2}
+    bounds = intervals(replicates(rows, {"hit_a": F.col("hit_a"), "hit_b": F.col("hit_b")}, delta, samples, seed), ["delta"], 0.95)
+    bounds = bounds.select(F.get("delta", 0).alias("ci_lower"), F.get("delta", 1).alias("ci_upper"))
     side = lambda k: F.avg(F.when(F.col("label") == k, F.col("hit_a") - F.col("hit_b")))
     cell = lambda x, y: F.count_if((F.col("hit_a") == x) & (F.col("hit_b") == y))
     point = rows.agg(((side(1) + side(0)) / 2).alias("delta"), cell(1, 1).alias("both"), cell(1, 0).alias("only_a"), cell(0, 1).alias("only_b"), cell(0, 0).alias("neither"))
@@ -156,76 +125,6 @@ def oracle_balanced_accuracy(rows: DataFrame, score: str = "score", keys: Sequen
     return total.groupBy(*keys).agg(((1 + F.max(gap)) / 2).alias("oracle_ba")).where("oracle_ba is not null")
 
 
-#: Rows of a score range that one task sees with their labels in all replicates.
-RANGE_ROWS = 20_000
-
-
-def dividing_numbers(clusters: DataFrame, samples: int, seed: str) -> DataFrame:
-    """One row ``cuts``: by replicate, the number up to which clusters are positive, so that as many are as of ``clusters(cluster_id, label)``.
-
-    The keyed numbers of clusters are uniform, so the one that divides them
-    lies within eight deviations of its expectation but for a chance below 1e-14
-    (then the query fails). Numbers below that window are only counted, and
-    those inside, some square root of all, are sorted: replicates of all
-    clusters are never ranked or shuffled.
-    """
-    total = clusters.agg(F.count("*").alias("_n"), F.sum("label").alias("_k"))
-    share, n = F.col("_k") / F.col("_n"), F.col("_n")
-    width = 8 * F.sqrt(share * (1 - share) / n) + 8 / n
-    bounds = F.broadcast(total.select("_k", (share - width).alias("_low"), (share + width).alias("_high")))
-    reps = clusters.select("cluster_id").crossJoin(bounds).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    reps = reps.withColumn("_u", uniform(F.concat_ws("|", F.lit(seed), F.col("b"), F.col("cluster_id"))))
-    inside = F.collect_list(F.when((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")), F.col("_u")))
-    by = reps.groupBy("b", "_k").agg(F.count_if(F.col("_u") < F.col("_low")).alias("_below"), F.array_sort(inside).alias("_inside"))
-    at = F.get("_inside", (F.col("_k") - F.col("_below") - 1).cast("int"))
-    cut = F.when(F.col("_k") == 0, F.lit(-1.0)).otherwise(F.coalesce(at, F.raise_error(F.lit("no dividing number in the window")).cast("double")))
-    return by.select("b", cut.alias("cut")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "cut"))), lambda x: x["cut"]).alias("cuts"))
-
-
-def null_accuracies(rows: DataFrame, cuts: DataFrame, seed: str) -> DataFrame:
-    """``(b, oracle_ba)`` of ``rows(cluster_id, score)``, of which in each replicate the clusters with numbers up to the cut are positive.
-
-    A row carries its labels in all replicates as an array. Rows are dealt by
-    ranges of the score once for all replicates; each range gives its sums, and
-    then, after the sums of the ranges before it, its largest gap of the class
-    distributions. The driver holds sums by range and replicate.
-    """
-    rows = rows.where(finite(F.col("score")))
-    n = -(-rows.count() // RANGE_ROWS) or 1
-    placed = stage(rows.repartitionByRange(n, "score").withColumn("part", F.spark_partition_id()), "ranges")
-    number = lambda b: digits(F.concat_ws("|", F.lit(seed), b, F.col("cluster_id")))
-    cuts = F.broadcast(cuts.select(F.transform("cuts", digits_of).alias("cuts")))
-    labelled = placed.crossJoin(cuts).select("part", "score", F.transform("cuts", lambda cut, b: (number(b) <= cut).cast("byte")).alias("labels"))
-    labelled = stage(labelled, "replicates")
-
-    def matrix(part: pa.Table) -> np.ndarray:
-        labels = part["labels"].combine_chunks()
-        return labels.flatten().to_numpy(zero_copy_only=False).reshape(len(labels), -1)
-
-    def sums(part: pa.Table) -> pa.Table:
-        x = matrix(part).sum(0, dtype=np.int64)
-        return pa.table({"part": part["part"].slice(0, 1), "n": [part.num_rows], "p": pa.array([x.tolist()], pa.list_(pa.int64()))})
-
-    parts = sorted(labelled.groupBy("part").applyInArrow(sums, "part int, n long, p array<long>").collect())
-    p, size = np.array([r.p for r in parts], np.int64).reshape(len(parts), -1), np.array([r.n for r in parts], np.int64)
-    p_all, q_all = p.sum(0), size.sum() - p.sum(0)
-    before = {r.part: (p[:k].sum(0), size[:k].sum()) for k, r in enumerate(parts)}
-
-    def gaps(part: pa.Table) -> pa.Table:
-        order = np.argsort(part["score"].to_numpy(), kind="stable")
-        score = part["score"].to_numpy()[order]
-        last = np.append(score[1:] != score[:-1], True)  # equal scores count together
-        p_before, n_before = before[part["part"][0].as_py()]
-        p_to = np.cumsum(matrix(part)[order], axis=0, dtype=np.int64)[last] + p_before
-        q_to = (np.flatnonzero(last) + 1 + n_before)[:, None] - p_to
-        with np.errstate(invalid="ignore", divide="ignore"):
-            gap = np.abs(p_to / p_all - q_to / q_all).max(0)
-        return pa.table({"gaps": pa.array([gap.tolist()], pa.list_(pa.float64()))})
-
-    found = labelled.groupBy("part").applyInArrow(gaps, "gaps array<double>").select(F.posexplode("gaps").alias("b", "gap"))
-    return found.where(~F.isnan("gap")).groupBy("b").agg(((1 + F.max("gap")) / 2).alias("oracle_ba"))
-
-
 def permutation_gate(rows: DataFrame, score: str = "score", samples: int = 999, seed: str = "20260813", tests: int = 1) -> DataFrame:
     """Is the oracle accuracy of a feature more than shuffled cluster labels give?
 
@@ -235,7 +134,7 @@ def permutation_gate(rows: DataFrame, score: str = "score", samples: int = 999,
     null's median of 0.1 or more, and warns below 0.05.
     """
     clusters = rows.select("cluster_id", "label").distinct()
-    null = null_accuracies(rows.select("cluster_id", F.col(score).alias("score")), dividing_numbers(clusters, samples, seed), seed)
+    null = null_accuracies(rows.select("cluster_id", F.col(score).alias("score")), clusters, samples, seed)
     seen = oracle_balanced_accuracy(rows, score)
     both = null.crossJoin(F.broadcast(seen.withColumnRenamed("oracle_ba", "observed")))
     out = both.groupBy("observed").agg(F.count_if(F.col("oracle_ba") >= F.col("observed") - 1e-12).alias("n_ge"), F.percentile("oracle_ba", F.lit(0.5)).alias("null_median"), F.count("*").alias("samples"))

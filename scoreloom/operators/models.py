@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from scoreloom.functions.scalars import EPSILON, THRESHOLD
 from scoreloom.operators.metrics import best_threshold, oracle_balanced_accuracy, point_metrics, roc_auc
 from scoreloom.operators.ordering import dense_index, finite
+from scoreloom.operators.quantiles import exact_quantiles
 from scoreloom.operators.staging import stage
 
 
 def impute_medians(rows: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -> DataFrame:
     """Non-finite values of ``columns`` replaced by the exact median of the rows to fit on, 0 where there is none."""
-    good = lambda c: F.when(finite(F.col(c)), F.col(c))
-    source = rows if fit_on is None else rows.where(fit_on)
-    medians = source.agg(*(F.coalesce(F.percentile(good(c), F.lit(0.5)), F.lit(0.0)).alias(f"_m_{c}") for c in columns))
-    return rows.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(good(c), F.col(f"_m_{c}")) for c in columns}).drop(*(f"_m_{c}" for c in columns))
+    good = {c: F.when(finite(F.col(c)), F.col(c)) for c in columns}
+    medians = exact_quantiles(rows if fit_on is None else rows.where(fit_on), good, [0.5])
+    return rows.withColumns({c: F.coalesce(good[c], F.lit(medians[c][0] or 0.0)) for c in columns})
 
 
 class Logistic:

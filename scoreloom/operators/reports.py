@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.operators.metrics import best_threshold, hit, point_metrics, roc_auc
+from scoreloom.operators.quantiles import exact_quantiles
+from scoreloom.operators.staging import stage
 
 
 def family_slices(rows: DataFrame, threshold: float, family: str = "generator", score: str = "score") -> DataFrame:
@@ -44,7 +46,8 @@ def drift(rows: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
     label = F.col("label")
     ba = lambda c: sum(F.avg(F.when(label == k, hit(F.col(c), label, threshold))) for k in (1, 0)) / 2
     differ = (F.col(a) >= threshold) != (F.col(b) >= threshold)
-    return rows.agg(F.avg(d).alias("mean_drift"), F.percentile(d, F.lit(0.99)).alias("p99_drift"), F.max(d).alias("max_drift"), F.avg(differ.cast("int")).alias("disagreement"), (ba(a) - ba(b)).alias("ba_drop"))
+    p99 = F.lit(exact_quantiles(rows, {"d": d}, [0.99])["d"][0]).cast("double")
+    return rows.agg(F.avg(d).alias("mean_drift"), F.first(p99).alias("p99_drift"), F.max(d).alias("max_drift"), F.avg(differ.cast("int")).alias("disagreement"), (ba(a) - ba(b)).alias("ba_drop"))
 
 
 def strategy_ranking(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -63,9 +66,8 @@ def condition_summary(rows: DataFrame, threshold: float, condition: str = "degra
 
 def boundary_at_risk(rows: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
     """Rows so near the threshold that the 95th percentile of drift could flip them."""
-    p95 = rows.agg(F.percentile(F.abs(F.col(a) - F.col(b)), F.lit(0.95)).alias("p95"))
-    near = rows.crossJoin(F.broadcast(p95)).groupBy("p95").agg(F.count_if(F.abs(F.col(a) - threshold) <= F.col("p95")).alias("at_risk"), F.count("*").alias("n"))
-    return near.select("p95", "at_risk", "n")
+    p95 = F.lit(exact_quantiles(rows, {"d": F.abs(F.col(a) - F.col(b))}, [0.95])["d"][0]).cast("double")
+    return rows.agg(F.count_if(F.abs(F.col(a) - threshold) <= p95).alias("at_risk"), F.count("*").alias("n")).select(p95.alias("p95"), "at_risk", "n")
 
 
 def gate_effect(rows: DataFrame, gated: Column, threshold: float, cap: float = 0.35, score: str = "score") -> DataFrame:
@@ -114,8 +116,9 @@ def stratified_parity(rows: DataFrame, a: str, b: str, threshold: float, per_str
     from pyspark.sql import Window
 
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(*strata).orderBy(F.md5("image_id"), "image_id"))).where(F.col("r") <= per_stratum)
-    d = F.abs(F.col(a) - F.col(b))
-    return ranked.agg(F.percentile(d, F.lit(0.5)).alias("median_diff"), F.percentile(d, F.lit(0.95)).alias("p95_diff"), F.max(d).alias("max_diff"), F.count_if((F.col(a) >= threshold) != (F.col(b) >= threshold)).alias("flips"), F.count("*").alias("n"))
+    d, ranked = F.abs(F.col(a) - F.col(b)), stage(ranked.select(a, b), "parity")
+    middle, high = (F.lit(x).cast("double") for x in exact_quantiles(ranked, {"d": d}, [0.5, 0.95])["d"])
+    return ranked.agg(F.first(middle).alias("median_diff"), F.first(high).alias("p95_diff"), F.max(d).alias("max_diff"), F.count_if((F.col(a) >= threshold) != (F.col(b) >= threshold)).alias("flips"), F.count("*").alias("n"))
 
 
 def minimum_counts(rows: DataFrame, key: str, least: int) -> DataFrame:

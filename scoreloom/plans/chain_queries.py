@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import scalars as C
 from scoreloom.plans.decision import decide, fuse
-from scoreloom.plans.fixtures import SCORE_ROWS, score_rows
+from scoreloom.plans.fixtures import SCORE_ROWS, score_rows, table
 from scoreloom.registry import query
 
 S = SCORE_ROWS
@@ -49,16 +49,16 @@ def curve_apply(spark: SparkSession, sf: str) -> DataFrame:
     return score_rows(spark, sf).select("image_id", C.apply_curve(s, *CURVE).alias("calibrated"), C.logit(s).alias("logit"), C.sigmoid(s * 10 - 5).alias("sigmoid"))
 
 
-@query("SELECT * FROM (VALUES ('good', true), ('flat_x', false), ('falling_y', false), ('short', false)) v(curve, valid)")
+_KNOT_X, _KNOT_Y = "CASE WHEN o_custkey % 3 = 0 THEN o_orderkey // 50 ELSE o_orderkey END", "CASE WHEN o_custkey % 3 = 1 THEN o_totalprice ELSE o_orderkey // 100 END"
+
+
+@query(f"""WITH k AS (SELECT o_custkey, o_orderkey, {_KNOT_X} AS x, {_KNOT_Y} AS y FROM orders), s AS (SELECT o_custkey, x > lag(x) OVER w AND y >= lag(y) OVER w AS ok FROM k WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_custkey AS curve, count(*) >= 2 AND bool_and(coalesce(ok, true)) AS valid FROM s GROUP BY o_custkey""")
 def curve_validate(spark: SparkSession, sf: str) -> DataFrame:
-    """Knots as rows: x strictly up, y never down, two or more of them."""
-    from pyspark.sql import Window
-
-    knots = {"good": [(0.0, 0.1), (0.5, 0.1), (1.0, 0.9)], "flat_x": [(0.0, 0.1), (0.0, 0.2)], "falling_y": [(0.0, 0.5), (1.0, 0.4)], "short": [(0.0, 0.1)]}
-    rows = spark.createDataFrame([(k, i, x, y) for k, v in knots.items() for i, (x, y) in enumerate(v)], "curve string, i int, x double, y double")
-    w = Window.partitionBy("curve").orderBy("i")
-    step = rows.select("curve", F.coalesce((F.col("x") > F.lag("x").over(w)) & (F.col("y") >= F.lag("y").over(w)), F.lit(True)).alias("ok"))
-    return step.groupBy("curve").agg((F.bool_and("ok") & (F.count("*") >= 2)).alias("valid"))
+    """Orders as the knots of their customer's curve: x strictly up, y never down, two or more of them."""
+    orders = table(spark, sf, "orders")
+    x, y = (F.expr(e.replace("//", "div")) for e in (_KNOT_X, _KNOT_Y))
+    return C.valid_curves(orders.select(F.col("o_custkey").alias("curve"), F.col("o_orderkey").alias("i"), x.alias("x"), y.alias("y")))
 
 
 @query(f"WITH {S} SELECT image_id, least(greatest(CASE WHEN score <= 0.4::DOUBLE THEN score / 0.4::DOUBLE * 0.65::DOUBLE ELSE 0.65::DOUBLE + (score - 0.4::DOUBLE) / 0.6::DOUBLE * 0.35::DOUBLE END, 0), 1) AS shifted FROM score_rows")

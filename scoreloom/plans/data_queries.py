@@ -194,10 +194,28 @@ def hash_chain(spark: SparkSession, sf: str) -> DataFrame:
     return E.chain(table(spark, sf, "events").withColumn("payload", F.concat_ws(":", "event_type", "props")), "event_id", "payload", ("user_id",))
 
 
-@query("SELECT 0::BIGINT AS user_id, 0::BIGINT AS event_id WHERE false")
+#: Faults of a log: other texts under an old hash, and other texts that were signed anew.
+_FORGED, _SIGNED = "event_id % 97 = 5", "event_id % 89 = 7"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {_FORGED} AS forged, lag({_SIGNED}, 1, false) OVER (PARTITION BY user_id ORDER BY event_id) AS after_signed FROM events) SELECT user_id, event_id FROM e WHERE forged OR after_signed""")
 def chain_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """Broken links of a sound log: none."""
-    return E.broken_links(hash_chain(spark, sf), "event_id", "payload", ("user_id",)).select("user_id", "event_id")
+    """Broken links of a log with planted faults: forged entries, and the entries after ones that were signed anew."""
+    log = hash_chain(spark, sf)
+    other = F.concat("payload", F.lit(" forged"))
+    signed = F.expr(f"{_SIGNED} and not {_FORGED}")
+    log = log.withColumn("entry_sha256", F.when(signed, F.sha2(F.concat("previous_sha256", F.lit("|"), other), 256)).when(F.expr(f"{_SIGNED}"), F.reverse("entry_sha256")).otherwise(F.col("entry_sha256")))
+    log = log.withColumn("payload", F.when(F.expr(f"{_FORGED} or {_SIGNED}"), other).otherwise(F.col("payload")))
+    return E.broken_links(log, "event_id", "payload", ("user_id",)).select("user_id", "event_id")
+
+
+@query(f"""WITH s AS (SELECT user_id, event_id // 1000 AS segment, bool_or({_FORGED}) AS changed, bool_and({_SIGNED}) AS missing FROM events GROUP BY ALL)
+SELECT user_id, segment, CASE WHEN missing THEN 'missing' ELSE 'changed' END AS status FROM s WHERE changed OR missing OR (user_id, segment) IN (SELECT user_id, event_id // 1000 FROM events WHERE {_SIGNED})""")
+def merkle_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of logs whose roots tell that entries were changed or taken out."""
+    log = hash_chain(spark, sf)
+    now = log.where(f"not ({_SIGNED})").withColumn("entry_sha256", F.when(F.expr(_FORGED), F.reverse("entry_sha256")).otherwise(F.col("entry_sha256")))
+    return E.changed_segments(*(E.segment_roots(x, "event_id", ("user_id",), 1000) for x in (log, now)), ("user_id",))
 
 
 @query("""SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 11 = 0 THEN 'new' ELSE 'changed' END AS status, NOT (p_partkey % 7 <> 0 AND p_partkey % 11 = 0) AND p_partkey % 2 = 0 AS fatal FROM part WHERE (p_partkey % 7 = 0) <> (p_partkey % 11 = 0) OR (p_partkey % 5 = 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0)""")

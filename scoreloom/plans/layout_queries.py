@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import layout as B
+from scoreloom.functions.conditions import CONDITIONS, register
 from scoreloom.functions.keyed import uniform, uniform_sql
 from scoreloom.plans.fixtures import table
 from scoreloom.registry import query
@@ -48,14 +49,19 @@ def badge_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return _boxes(spark, sf).select("id", B.anchor(B.box("rect"), clip, 6.0, 12.0).alias("a")).select("id", "a.*")
 
 
-_FITS = [("contain", 400.0, 100.0, "0,75,200,125"), ("none", 100.0, 100.0, "50,50,150,150"), ("scale-down", 50.0, 50.0, "75,75,125,125"), ("cover", 10.0, 10.0, "0,0,200,200")]
+_FIT = "CASE p_partkey % 4 WHEN 0 THEN 'contain' WHEN 1 THEN 'none' WHEN 2 THEN 'scale-down' ELSE 'cover' END"
+_FIT_W, _FIT_H = "(p_partkey * 37 % 700)::DOUBLE", "(10 + p_size * 11)::DOUBLE"
 
 
-@query("SELECT * FROM (VALUES ('contain', '0,75,200,125'), ('none', '50,50,150,150'), ('scale-down', '75,75,125,125'), ('cover', '0,0,200,200')) v(fit, rect)")
+@query(f"""WITH i AS (SELECT p_partkey, {_FIT} AS fit, {_FIT_W} AS w, {_FIT_H} AS h FROM part), c AS (SELECT *, least(300 / nullif(w, 0), 200 / h) AS contain FROM i),
+s AS (SELECT p_partkey, fit, coalesce(w * scale, 300) AS pw, coalesce(h * scale, 200) AS ph FROM (SELECT *, CASE fit WHEN 'contain' THEN contain WHEN 'none' THEN 1 WHEN 'scale-down' THEN least(1, contain) END AS scale FROM c)),
+r AS (SELECT *, 20 + (300 - pw) * 0.25::DOUBLE AS x, 10 + (200 - ph) * 0.5::DOUBLE AS y FROM s)
+SELECT p_partkey, fit, round(greatest(20, x), 6) AS "left", round(greatest(10, y), 6) AS top, round(least(320, x + pw), 6) AS "right", round(least(210, y + ph), 6) AS bottom FROM r""")
 def fitted_rectangles(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([f[:3] for f in _FITS], "fit string, w double, h double")
-    r = B.fitted((F.lit(0.0), F.lit(0.0), F.lit(200.0), F.lit(200.0)), F.col("w"), F.col("h"), F.col("fit"), F.lit(0.5), F.lit(0.5))
-    return rows.select("fit", F.concat_ws(",", *(r[k].cast("int") for k in ("left", "top", "right", "bottom"))).alias("rect"))
+    """What parts, read as pictures of many sizes, paint of one box under each way of fitting."""
+    w, h = (F.expr(x.replace("::DOUBLE", "").join(("cast(", " as double)"))) for x in (_FIT_W, _FIT_H))
+    r = B.fitted((F.lit(20.0), F.lit(10.0), F.lit(320.0), F.lit(210.0)), w, h, F.expr(_FIT), F.lit(0.25), F.lit(0.5))
+    return table(spark, sf, "part").select("p_partkey", F.expr(_FIT).alias("fit"), *(F.round(r[k], 6).alias(k) for k in ("left", "top", "right", "bottom")))
 
 
 #: Transform chains and their weights; delivery conditions (dimension tables, fixed values of this library).
@@ -94,6 +100,20 @@ def stress_grid(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select("doc_id", F.col("cell").cast("long").alias("cell"), F.when(number(1) % 2 == 0, "jpeg").otherwise("webp").alias("codec"), (60 + number(5) % 31).alias("quality"))
 
 
+_CONDITIONS = ", ".join(f"({i}, {c[0]!r}, {c[1] or 'NULL'}, {c[2] or 'NULL'}::DOUBLE, {repr(c[3]) if c[3] else 'NULL'}, {c[4] or 'NULL'})" for i, c in enumerate(CONDITIONS))
+_W, _H = "p_partkey * 13 % 2400 + 1", "p_size * 40"
+
+
+@query(f"""WITH c(i, condition, longest, scale, codec, quality) AS (VALUES {_CONDITIONS}), p AS (SELECT p_partkey, {_W} AS w, {_H} AS h FROM part),
+s AS (SELECT *, coalesce(CASE WHEN greatest(w, h) > longest THEN longest::DOUBLE / greatest(w, h) END, scale, 1) AS f FROM p, c)
+SELECT p_partkey, condition, greatest(1, round_even(w * f, 0))::INT AS width, greatest(1, round_even(h * f, 0))::INT AS height, codec, quality::INT AS quality FROM s""")
+def delivery_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part, read as a picture, under each of the eleven conditions, by a lateral join with the table function."""
+    register(spark)
+    table(spark, sf, "part").selectExpr("p_partkey", f"cast({_W} as int) as w", f"{_H} as h").createOrReplaceTempView("pictures_to_deliver")
+    return spark.sql("SELECT p.p_partkey, c.* FROM pictures_to_deliver p, LATERAL delivery_conditions(p.w, p.h, 'width, height, codec, quality') c")
+
+
 def with_provider(rows: DataFrame, key: str, provider: Callable[[list[str]], list[dict[str, float]]], strategies: list[str]) -> DataFrame:
     """``rows(key)`` with one column for each strategy from a scoring function, called once a batch.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.operators.evidence import canonical_json, fixed
+from scoreloom.sources.quoted import quoted_records
 
 REQUIRED = ("image_id", "path", "label", "generator", "split", "score", "phash", "degradation", "cluster_id")
 STEP = "array<struct<op:string,quality:int,subsampling:int,codec:string,target:string,factor:double,fraction:array<double>,device_pixel_ratio:double>>"
@@ -30,24 +31,27 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def read_score_csv(spark: SparkSession, path: str, required: Sequence[str] = REQUIRED, score: str = "score") -> DataFrame:
+def read_score_csv(spark: SparkSession, path: str, required: Sequence[str] = REQUIRED, score: str = "score", file_col: str | None = None) -> DataFrame:
     """Score rows with typed columns, extras kept as text, and the score's own text in ``<score>_text``.
 
     A missing column or a ragged row fails; bad values become null, for the
-    violations frame to report with their keys.
+    violations frame to report with their keys. Quoted line breaks do not keep
+    several tasks from reading one file. ``file_col`` names a column for the
+    file that a row comes from.
     """
     names = header_of(spark, path)
     if missing := [c for c in required if c not in names]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     schema = ", ".join(f"`{n}` string" for n in names)
-    raw = spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", escape='"', multiLine=True, enforceSchema=True)
+    parsed = F.from_csv("record", schema, {"mode": "FAILFAST", "escape": '"'})
+    raw = quoted_records(spark, path).select(parsed.alias("row"), *([F.col("file").alias(file_col)] if file_col else [])).select("row.*", *([file_col] if file_col else []))
     number = F.col(score).try_cast("double")
     return raw.withColumns({f"{score}_text": F.col(score), score: number, "label": F.col("label").try_cast("int")})
 
 
 def read_many(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
     """Several score files in one frame, each row with the file it came from."""
-    parts = [read_score_csv(spark, p, **options).withColumn("source_file", F.input_file_name()) for p in paths]
+    parts = [read_score_csv(spark, p, file_col="source_file", **options) for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
