@@ -170,7 +170,23 @@ _BOX = "SELECT user_id AS page, event_id AS id, event_id AS rank, (event_id * 37
 
 @query(f"""WITH b AS ({_BOX}), p AS (SELECT a.id AS keeper, c.id AS suppressed, greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) AS overlap FROM b a JOIN b c ON a.page = c.page AND a.rank < c.rank) SELECT * FROM p WHERE overlap >= 0.8""")
 def overlapping_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return D.keep_first_boxes(table(spark, sf, "events").selectExpr("user_id page", "event_id id", "event_id rank", "cast(event_id * 37 % 1900 as double) x0", "cast(event_id * 53 % 1000 as double) y0", "cast(event_id * 37 % 1900 + 40 + event_id % 300 as double) x1", "cast(event_id * 53 % 1000 + 40 + event_id % 200 as double) y1"))
+    return D.keep_first_boxes(_event_boxes(spark, sf))
+
+
+def _event_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").selectExpr("user_id page", "event_id id", "event_id rank", "cast(event_id * 37 % 1900 as double) x0", "cast(event_id * 53 % 1000 as double) y0", "cast(event_id * 37 % 1900 + 40 + event_id % 300 as double) x1", "cast(event_id * 53 % 1000 + 40 + event_id % 200 as double) y1")
+
+
+_COVERS = "greatest(0, least(k.x1, x1) - greatest(k.x0, x0)) * greatest(0, least(k.y1, y1) - greatest(k.y0, y0)) / least((k.x1 - k.x0) * (k.y1 - k.y0), (x1 - x0) * (y1 - y0)) >= 0.8"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY rank) AS r FROM ({_BOX})),
+s AS (SELECT page, 0::BIGINT AS r, 0::BIGINT AS id, false AS stays, []::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS kept FROM (SELECT DISTINCT page FROM b)
+UNION ALL SELECT page, r, id, NOT covered, CASE WHEN covered THEN kept ELSE list_append(kept, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) END FROM (SELECT b.*, kept, len(list_filter(kept, lambda k: {_COVERS})) > 0 AS covered FROM s JOIN b ON b.page = s.page AND b.r = s.r + 1))
+SELECT page, id FROM s WHERE stays""")
+def suppressed_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of each page that stay when they are taken by rank and what a kept one covers goes."""
+    return D.suppressed_boxes(_event_boxes(spark, sf)).select("page", "id")
 
 
 _PART = "(SELECT {keys} part, sha256('[' || string_agg('\"' || v || '\"', ',' ORDER BY v) || ']') AS h, count(*) AS n FROM (SELECT DISTINCT {keys} {value} AS v, substr(md5({value}), 1, 2) AS part FROM {rows}) GROUP BY ALL)"

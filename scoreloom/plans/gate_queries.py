@@ -94,3 +94,23 @@ def index_merge(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "documents").select(F.lit("a").alias("origin"), F.col("doc_id").alias("id"), "lang")
     b = table(spark, sf, "pages").select(F.lit("b").alias("origin"), F.col("page_id").alias("id"))
     return files.merge_indexes(a, b).groupBy("origin").agg(F.count("*").alias("n"), F.count("lang").alias("n_lang"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT event_type || ':' || count(*) || ':' || max(event_id) AS payload, row_number() OVER (ORDER BY event_type) - 1 AS n FROM events GROUP BY event_type),
+c AS (SELECT n, payload, '' AS previous_sha256, sha256('|' || payload) AS entry_sha256 FROM p WHERE n = 0 UNION ALL SELECT p.n, p.payload, c.entry_sha256, sha256(c.entry_sha256 || '|' || p.payload) FROM c JOIN p ON p.n = c.n + 1)
+SELECT n, payload, previous_sha256, entry_sha256 FROM c""")
+def append_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A record for each kind of event, appended one after the other to a chained log on files and read back."""
+    path = _folder(spark, "log")
+    counts = table(spark, sf, "events").groupBy("event_type").agg(F.concat_ws(":", "event_type", F.count("*"), F.max("event_id")).alias("payload"))
+    for row in counts.orderBy("event_type").collect():
+        files.append_log(spark, path, row.payload)
+    return spark.read.json(path, schema="n long, payload string, previous_sha256 string, entry_sha256 string")
+
+
+@query(f"""WITH {S}, g AS (SELECT generator, count(*) AS n, avg(score) AS mean FROM score_rows GROUP BY generator)
+SELECT '## Scores' || chr(10) || chr(10) || '| generator | n | mean |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || generator || ' | ' || n || ' | ' || printf('%.4f', mean) || ' |' || chr(10), '' ORDER BY generator) AS report FROM g""")
+def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores by generator as a Markdown table."""
+    by = score_rows(spark, sf).groupBy("generator").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).orderBy("generator")
+    return spark.createDataFrame([(files.markdown(by, "Scores"),)], "report string")

@@ -101,7 +101,7 @@ def wiki_original(spark: SparkSession, sf: str) -> DataFrame:
     return _links(spark, sf).select("page_id", "k", X.wiki_original(F.concat(derivative, _cases("page_id % 3", "''", "'?x=1'", "'#top'"))).alias("original"))
 
 
-@query(f"""WITH {_LINKS} SELECT page_id, k, k % 4 < 2 AS thumb, CASE page_id % 3 WHEN 0 THEN NOT regexp_matches(url, '^https?://www\.') WHEN 1 THEN false ELSE true END AS same FROM links""")
+@query(f"""WITH {_LINKS} SELECT page_id, k, k % 4 < 2 AS thumb, CASE page_id % 3 WHEN 0 THEN NOT regexp_matches(url, '^https?://www[.]') WHEN 1 THEN false ELSE true END AS same FROM links""")
 def search_thumb_flag(spark: SparkSession, sf: str) -> DataFrame:
     """Which addresses are a search page's thumbnails, and whether an address and a variant of it are one resource."""
     url = _cases("k % 4", "'https://encrypted-tbn' || k || '.gstatic.com/images?q=' || page_id", "'https://tse' || page_id % 10 || '.mm.bing.net/th?id=' || k", "'https://gstatic.com/' || k", "url")
@@ -176,7 +176,7 @@ def preferred_asset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_PAGES}, r AS (SELECT page_id, regexp_replace(path, '^/+', '') AS r FROM p), c AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN nullif(r, '') WHEN 1 THEN r || '.JPG' WHEN 5 THEN r || '.png' END AS canonical, CASE page_id % 6 WHEN 0 THEN r WHEN 1 THEN '.jpg' WHEN 2 THEN r WHEN 3 THEN '.webp' WHEN 4 THEN '.gif' ELSE '.png' END AS tail FROM r)
-SELECT page_id, canonical, CASE WHEN page_id % 7 = 0 THEN 'tiff' ELSE coalesce(replace(nullif(regexp_extract(lower(tail), '\.([a-z0-9]+)$', 1), ''), 'jpg', 'jpeg'), 'unknown') END AS format FROM c""")
+SELECT page_id, canonical, CASE WHEN page_id % 7 = 0 THEN 'tiff' ELSE coalesce(replace(nullif(regexp_extract(lower(tail), '[.]([a-z0-9]+)$', 1), ''), 'jpg', 'jpeg'), 'unknown') END AS format FROM c""")
 def path_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """Paths of pages as files: with backslashes, with dots, absolute, leaving their root, with a drive."""
     rows = _pages(spark, sf).withColumn("r", F.regexp_replace("path", "^/+", ""))
