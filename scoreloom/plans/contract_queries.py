@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from scoreloom.operators import contracts as C
 from scoreloom.operators import evidence as E
 from scoreloom.operators import metrics as M
 from scoreloom.operators import raster
-from scoreloom.operators.staging import stage
+from scoreloom.operators.staging import shared_dir, stage
 from scoreloom.plans.fixtures import DOC_ROWS, SCAN_ROWS, SCORE_ROWS, THRESHOLD, doc_rows, scan_rows, score_rows, table
 from scoreloom.registry import query
+from scoreloom.sources import pictures
 
 S = SCORE_ROWS
 
@@ -277,3 +280,27 @@ def codec_flags(spark: SparkSession, sf: str) -> DataFrame:
     webp = F.concat(F.lit(text("RIFF") + "00000000" + text("WEBP")), F.lit(riff("VP8 ", "010203")), only(k % 5 == 0, riff("EXIF", "4d4d")), only(k % 7 == 0, riff("XMP ", text("<x/>"))))
     content = F.unhex(F.when(k % 3 == 0, jpeg).when(k % 3 == 1, png).otherwise(webp))
     return table(spark, sf, "documents").select("doc_id", raster.codec(content).alias("f")).select("doc_id", "f.*")
+
+
+_VALUES = "list_transform(embedding, lambda v: trunc(least(greatest((v::DOUBLE + 0.5::DOUBLE) * 255, 0.0::DOUBLE), 255.0::DOUBLE))::INT)"
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_VALUES} AS g FROM embeddings),
+px AS (SELECT vec_id, y, x, g[8 * y + x + 1] AS v, CASE WHEN vec_id % 4 = 1 THEN g[8 * x + y + 1] ELSE 255 END AS a FROM v, (SELECT unnest(range(0, 8)) AS y) a, (SELECT unnest(range(0, 8)) AS x) b),
+up AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN y WHEN 1 THEN 7 - y ELSE x END AS y, CASE vec_id % 3 WHEN 0 THEN x WHEN 1 THEN 7 - x ELSE 7 - y END AS x, [(2 * (v * a + f * (255 - a)) + 255) // 510 for f in [124, 116, 104]] AS c FROM px)
+SELECT vec_id, CASE WHEN vec_id % 50 = 7 THEN 'corrupt' WHEN vec_id % 50 = 8 THEN 'too-large' ELSE 'ok' END AS status, CASE WHEN vec_id % 50 NOT IN (7, 8) THEN sum((c[1] + 2 * c[2] + 3 * c[3]) * (8 * y + x + 1))::BIGINT END AS checksum FROM up GROUP BY vec_id""")
+def picture_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as PNG files, some with transparency, turned, over the pixel budget or broken, read back upright; hashes tell the bytes apart."""
+    grey = F.transform("embedding", lambda v: F.least(F.greatest((v.cast("double") + 0.5) * 255, F.lit(0.0)), F.lit(255.0)).cast("int"))
+    clear = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(F.get("g", i), F.get("g", (8 * (i % 8) + F.floor(i / 8)).cast("int")))))
+    rows = table(spark, sf, "embeddings").select("vec_id", grey.alias("g"))
+    size = F.when(F.col("vec_id") % 50 == 8, 16).otherwise(8)
+    pixels = F.when(F.col("vec_id") % 50 == 8, F.array_repeat(F.lit(0), 256)).when(F.col("vec_id") % 4 == 1, clear).otherwise(F.col("g"))
+    channels = F.when((F.col("vec_id") % 4 == 1) & (F.col("vec_id") % 50 != 8), 2).otherwise(1)
+    turned = F.when(F.col("vec_id") % 3 == 1, 3).when(F.col("vec_id") % 3 == 2, 6).otherwise(1)
+    folder = f"{shared_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    files = rows.select(F.col("vec_id").cast("string").alias("name"), size.alias("width"), size.alias("height"), channels.alias("channels"), turned.alias("orientation"), pixels.alias("pixels"), F.when(F.col("vec_id") % 50 == 7, 50).alias("kept"))
+    pictures.write_pictures(files, folder)
+    found = pictures.read_pictures(spark, folder, 200).withColumn("vec_id", F.regexp_extract("path", r"(\d+)[.]png$", 1).cast("long"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.conv(F.substring(F.hex("rgb"), 2 * i + 1, F.lit(2)), 16, 10).cast("long") * (i % 3 + 1) * (F.floor(i / 3) + 1))
+    return found.select("vec_id", "status", F.when(F.col("status") == "ok", F.aggregate(cells, F.lit(0).cast("long"), lambda t, x: t + x)).alias("checksum"))
