@@ -19,6 +19,7 @@ from scoreloom.operators.staging import shared_dir
 from scoreloom.plans.fixtures import SCAN_ROWS, SCORE_ROWS, scan_rows, score_rows, table
 from scoreloom.registry import query
 from scoreloom.sources import files
+from scoreloom.streaming import jobs as J
 from scoreloom.streaming import scans as W
 
 S = SCORE_ROWS
@@ -126,22 +127,29 @@ def keyed_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", uniform(F.concat(F.lit("7:"), F.col("p_partkey").cast("string"))).alias("u"))
 
 
-@query(f"WITH {SCAN_ROWS} SELECT url, min(seq) AS seq FROM scan_rows GROUP BY url")
+@query(f"""WITH RECURSIVE {SCAN_ROWS}, a AS (SELECT url, seq, epoch_us(ts) // 1000 AS asked, row_number() OVER (PARTITION BY url ORDER BY epoch_us(ts) // 1000, seq) AS r FROM scan_rows),
+s AS (SELECT url, seq, asked, r, asked AS last, true AS first FROM a WHERE r = 1 UNION ALL SELECT a.url, a.seq, a.asked, a.r, CASE WHEN a.asked - last > {24 * 3_600_000} THEN a.asked ELSE last END, a.asked - last > {24 * 3_600_000} FROM s JOIN a ON a.url = s.url AND a.r = s.r + 1)
+SELECT url, seq FROM s WHERE first""")
 def first_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """The first request of each URL by a watermarked state, over all events in one trigger; which of a URL's requests comes first is the stream's."""
+    """Requests of a stream whose URL had no such request in the day before: each of these goes out, the others wait for it."""
     e = W.read_files(spark, sf, "events.parquet", W.EVENTS)
     url = F.concat_ws("/", F.lit("https://img.example"), "event_type", (F.col("event_id") % 97).cast("string"))
-    out = W.finish(W.first_requests(e.select(F.col("event_id").alias("seq"), url.alias("url"), "ts"), "3650 days"), "first", "append")
-    first = scan_rows(spark, sf).groupBy("url").agg(F.min("seq").alias("seq"))
-    return out.select("url").join(first, "url")
+    requests = e.select(url.alias("url"), F.col("event_id").alias("seq"), F.unix_millis("ts").alias("at"), "ts")
+    with J.keyed_state(spark):
+        return W.finish(J.first_requests(requests, 24 * 3_600_000), "first", "append").select("url", "seq")
 
 
 @query(f"WITH {SCAN_ROWS}, d AS (SELECT url, min(seq) AS seq FROM scan_rows GROUP BY url) SELECT r.seq, r.page, r.url, d.seq::DOUBLE AS probability FROM scan_rows r JOIN d USING (url)")
 def fan_out(spark: SparkSession, sf: str) -> DataFrame:
-    """Every waiting request with the one result of its URL."""
-    rows = scan_rows(spark, sf)
-    results = rows.groupBy("url").agg(F.min("seq").cast("double").alias("probability"), F.min("ts").alias("done"))
-    return W.fan_out(rows.select("seq", "page", "url", "ts"), results, "3650 days").select("seq", "page", "url", "probability")
+    """Every waiting request of a stream with the one result of its URL, which comes by another stream."""
+    e = W.read_files(spark, sf, "events.parquet", W.EVENTS)
+    url = F.concat_ws("/", F.lit("https://img.example"), "event_type", (F.col("event_id") % 97).cast("string"))
+    requests = e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("page"), url.alias("url"), "ts")
+    folder = _folder(spark, "results")
+    results = scan_rows(spark, sf).groupBy("url").agg(F.min("seq").cast("double").alias("probability"), F.min("ts").alias("done"))
+    results.write.parquet(folder)
+    done = spark.readStream.schema(results.schema).parquet(folder)
+    return W.finish(W.fan_out(requests, done, "3650 days"), "fan-out", "append").select("seq", "page", "url", "probability")
 
 
 @query(f"WITH {SCAN_ROWS}, e AS (SELECT *, seq // 1000 AS epoch, max(seq // 1000) OVER (PARTITION BY page) AS latest FROM scan_rows) SELECT page, seq, epoch FROM e WHERE epoch = latest")

@@ -88,6 +88,50 @@ def session_memo(writes: DataFrame, capacity: int = KEPT, ttl_ms: int = 24 * 3_6
     return web.groupBy("page").transformWithStateInPandas(_Memo(capacity, ttl_ms), _Memo.SCHEMA, "update", "ProcessingTime")
 
 
+class _First(StatefulProcessor):
+    """Whether a key was asked for, until a timer forgets it."""
+
+    SCHEMA = "url string, seq long, at long"
+
+    def __init__(self, horizon_ms: int) -> None:
+        self.horizon_ms = horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out, last = [], self.last.get()[0] if self.last.exists() else None
+        for r in _rows(rows, ["at", "seq"]).itertuples(index=False):
+            if last is None or r.at - last > self.horizon_ms:
+                out.append((key[0], int(r.seq), int(r.at)))
+                last = int(r.at)
+        if out:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.last.update((last,))
+            self.handle.registerTimer(last + self.horizon_ms)
+        yield pd.DataFrame(out, columns=["url", "seq", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=["url", "seq", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def first_requests(requests: DataFrame, horizon_ms: int, late: str = "0 seconds") -> DataFrame:
+    """``(url, seq, at)``: of ``requests(url, seq, at, ts)`` those whose URL had no such request in the ``horizon_ms`` before.
+
+    In the order of ``at`` (milliseconds of ``ts``), then ``seq``: the first one
+    goes out and the others of the horizon wait for it. What is behind the
+    watermark is forgotten by a timer.
+    """
+    timed = requests.withWatermark("ts", late)
+    return timed.groupBy("url").transformWithStateInPandas(_First(horizon_ms), _First.SCHEMA, "append", "EventTime")
+
+
 class _Deadline(StatefulProcessor):
     """The request that a key waits for, and a timer at its deadline."""
 
