@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.common import fresh
+
 #: Marks around a turn in the rendering.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 #: Role whose text a model is trained on.
@@ -47,7 +49,8 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     The longest common prefix of turns (equal role and text) is rendered once,
     as the prompt; what is left of each side is its completion, with the spans
     that training keeps. Null sides count as no turns. Where one side is a
-    prefix of the other its completion is empty.
+    prefix of the other its completion is empty. Other columns stay as they are,
+    but for those of the results' names, which are replaced.
     """
     empty = F.array().cast(pairs.schema["chosen_turns"].dataType)
     a, b = F.coalesce("chosen_turns", empty), F.coalesce("rejected_turns", empty)
@@ -55,9 +58,10 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     out = pairs.withColumn("n_prompt_turns", F.coalesce(F.get(differs, 0), F.size(a)).cast("long"))
     n = F.col("n_prompt_turns").cast("int")
     rest = lambda x: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
-    out = out.withColumns({"p": F.slice(a, 1, n), "c": rest(a), "r": rest(b)})
-    made = {"prompt": _rendered(F.col("p")), "chosen": _rendered(F.col("c")), "chosen_spans": _spans(F.col("c")), "rejected": _rendered(F.col("r")), "rejected_spans": _spans(F.col("r"))}
-    return out.withColumns(made).drop("p", "c", "r", "chosen_turns", "rejected_turns")
+    p, c, r = fresh(out, "p", "c", "r")
+    out = out.withColumns({p: F.slice(a, 1, n), c: rest(a), r: rest(b)})
+    made = {"prompt": _rendered(F.col(p)), "chosen": _rendered(F.col(c)), "chosen_spans": _spans(F.col(c)), "rejected": _rendered(F.col(r)), "rejected_spans": _spans(F.col(r))}
+    return out.withColumns(made).drop(p, c, r, "chosen_turns", "rejected_turns")
 
 
 def reply_pairs(turns: DataFrame) -> DataFrame:

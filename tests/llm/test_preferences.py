@@ -36,3 +36,10 @@ def test_odd_turns(spark):
     assert (out[0].prompt, out[0].chosen, out[0].rejected) == (render([("user", "q")]), render([("assistant", "one")]), render([("assistant", "two")]))
     assert out[1].prompt == render([("user", "")])
     assert P.reply_pairs(df.where("conv_id > 99")).count() == 0
+
+
+def test_columns_of_clashing_names_stay(spark):
+    turn = "array<struct<role:string,text:string>>"
+    side = [("user", "a"), ("assistant", "b")]
+    row = P.format_pairs(spark.createDataFrame([(side, side[:1], "own p", 2, 3.0, "old")], f"chosen_turns {turn}, rejected_turns {turn}, p string, C int, r double, prompt string")).first()
+    assert (row.p, row.C, row.r) == ("own p", 2, 3.0) and row.prompt == render(side[:1]) and row.chosen == render(side[1:])
