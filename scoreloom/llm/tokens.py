@@ -15,6 +15,8 @@ from scoreloom.llm import bytescan as B
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the pre-tokens whose counts a worker keeps before it starts anew.
 KEPT = 4_000_000
+#: Characters from which on a pre-token is read on its own, with a window of its last positions instead of the path of them all.
+LONG = 1 << 14
 #: Bytes of texts whose pre-tokens are counted together.
 CHUNK = 1 << 19
 _SPACE = "▁"
@@ -38,6 +40,7 @@ class Unigram:
 
     def __init__(self, pieces: dict[str, float]) -> None:
         self.unknown = min(pieces.values(), default=0.0) - 10.0
+        self.longest = max(map(len, pieces), default=1)
         self.children: list[dict[str, int]] = [{}]
         self.score: list[float | None] = [None]
         for piece, score in pieces.items():
@@ -63,6 +66,9 @@ class Unigram:
         best, pieces, open_ = [0.0], [0], [[]]
         before = ""
         for token in sorted(tokens):
+            if len(token) > LONG:
+                out[token] = self._long(token)
+                continue
             shared, most = 0, min(len(before), len(token))
             while shared < most and before[shared] == token[shared]:
                 shared += 1
@@ -90,6 +96,33 @@ class Unigram:
             before = token
         return out
 
+    def _long(self, token: str) -> int:
+        """The count of one pre-token by the same steps; positions that no piece reaches back to are forgotten."""
+        best, pieces, live, base = [0.0], [0], [], 0
+        for at, c in enumerate(token):
+            top, count, now, single = None, 0, [], False
+            for node, start in (*live, (0, at)):
+                node = self.children[node].get(c)
+                if node is None:
+                    continue
+                now.append((node, start))
+                score = self.score[node]
+                if score is not None:
+                    single |= start == at
+                    total = best[start - base] + score
+                    if top is None or total > top:
+                        top, count = total, pieces[start - base] + 1
+            if not single and (top is None or best[-1] + self.unknown > top):
+                top, count = best[-1] + self.unknown, pieces[-1] + len(c.encode())
+            best.append(top)
+            pieces.append(count)
+            live = now
+            if len(best) > 4 * self.longest + 64:
+                gone = len(best) - self.longest - 1
+                del best[:gone], pieces[:gone]
+                base += gone
+        return pieces[-1]
+
 
 def pre_tokens(text: str) -> list[str]:
     """Parts that each begin with the visible space; a text is read as if a space came before it.

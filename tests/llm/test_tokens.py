@@ -44,6 +44,21 @@ def test_prefixes_are_shared_not_changed(pieces):
     assert model.counts(words) == {w: model.counts([w])[w] for w in words}
 
 
+def test_long_pre_tokens_are_read_in_a_window(pieces, monkeypatch):
+    import tracemalloc
+
+    rng, model = random.Random(1), T.Unigram(pieces)
+    tokens = ["▁" + "".join(rng.choice("abcdeinthsß😀漢") for _ in range(n)) for n in (1, 3, 40, 400, 3000)]
+    expected = model.counts(tokens)
+    monkeypatch.setattr(T, "LONG", 2)
+    assert model.counts(tokens) == expected
+    long = tokens[-1] * 100
+    tracemalloc.start()
+    assert model.counts([long])[long] > 0
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+
+
 def test_odd_rows(odd, odd_rows, none, pieces, monkeypatch):
     monkeypatch.setattr(T, "KEPT", 50)
     out = T.token_counts(odd, pieces).collect()
