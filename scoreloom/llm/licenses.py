@@ -368,8 +368,9 @@ def scan_licences(docs: DataFrame, model: Licences | None = None, id_col: str =
     """``(doc_id, notices)`` for each row: structs (start, end, family) of the notices found, in characters.
 
     A paragraph ends at a line without a letter or digit, and is searched as a
-    whole, over its line ends, in windows of ``WIDTHS`` words; every notice in it
-    is reported, of whichever families. Null and empty texts have no paragraph.
+    whole, over its line ends, in windows of ``WIDTHS`` words; notices of all
+    families with templates are reported, and in a stretch without any at most
+    one unknown notice. Null and empty texts have no paragraph.
     Ids may be null and repeat; every row gives a row; an empty table gives none
     (and a classifier fitted on the templates alone). Other columns are not read.
     """

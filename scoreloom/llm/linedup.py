@@ -183,8 +183,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rarer, so its hash is what documents are paired by: every document with the
     first one that holds the run. A run that very many documents hold gives as
     many pairs as documents, never their square, nothing is capped, and a
-    frequent short line pairs nobody. Each block that two documents share is
-    found, run by run, in the runs' first holders, whichever these are.
+    frequent short line pairs nobody. Each run meets its first holder; of blocks
+    that stand crossed there only some are aligned, and the others stay even if
+    a later document holds them in the same order.
 
     A pair's shared runs give the candidate lines, by their hashes; patience diff
     aligns them, and aligned blocks of ``least`` words go from the later document.
