@@ -32,7 +32,7 @@ def running_scan_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SCAN_ROWS} SELECT page, url, seq FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY seq DESC) AS r FROM (SELECT page, url, max(seq) AS seq FROM scan_rows GROUP BY ALL)) WHERE r <= 3")
 def lru_memo(spark: SparkSession, sf: str) -> DataFrame:
-    return W.finish(W.lru_memo(_requests(spark, sf), 3), "memo")
+    return W.finish(W.lru_memo(_requests(spark, sf), 3), "memo", latest=["page"])
 
 
 @query(f"WITH {SCAN_ROWS} SELECT epoch_us(time_bucket(INTERVAL 10 MINUTES, ts)) // 1000000 AS start, phase, count(*) AS n, avg(priority) AS priority FROM scan_rows GROUP BY ALL")
@@ -53,7 +53,7 @@ c AS (SELECT *, lag(state, 1, 'unknown') OVER (PARTITION BY page ORDER BY seq) A
 def availability_latch(spark: SparkSession, sf: str) -> DataFrame:
     """Pages whose engine is away at purchases."""
     reports = _requests(spark, sf).select("page", "seq", (F.col("phase") != "purchase").alias("available"))
-    return W.finish(W.availability(reports), "latch")
+    return W.finish(W.availability(reports), "latch", latest=["page"])
 
 
 @query()

@@ -382,3 +382,50 @@ def test_gate_table_and_isolation(spark):
     assert {r.gate: r.passed for r in I.gate_table(seen, {"a": 5, "b": 1}).collect()} == {"a": True, "b": False}
     r = spark.createDataFrame([("x", "fit"), ("x", "eval"), ("y", "eval")], "k string, split string")
     assert I.isolation(r, F.col("split") == "fit", F.col("split") == "eval", ["k"]).first().shared == 1
+
+
+@pytest.fixture
+def small_frames(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _shuffled(tmp_path, files_=1):
+    """Rows of two pages in no order, dealt to files in the order of their places."""
+    frame = pd.DataFrame({"seq": range(60 * files_)})
+    frame["page"], frame["url"], frame["up"] = "p" + (frame["seq"] % 2).astype(str), "u" + (frame["seq"] * 7 % 11).astype(str), (frame["seq"] * 5 % 13 > 5)
+    for k in range(files_):
+        frame[60 * k : 60 * k + 60].sample(frac=1, random_state=k).to_parquet(tmp_path / f"{k}.parquet")
+    return frame
+
+
+@pytest.mark.parametrize("files_", [1, 3])
+def test_latch_and_memo_take_pages_of_many_frames_in_order(spark, tmp_path, small_frames, files_):
+    frame = _shuffled(tmp_path, files_)
+    stream = W.read_files(spark, str(tmp_path), "*.parquet", "page string, url string, up boolean, seq long", 1)
+    found = {r.page: (r.state, r.changes) for r in W.finish(W.availability(stream.withColumnRenamed("up", "available")), "latch-test", latest=["page"]).collect()}
+    held = sorted((r.page, r.url, r.seq) for r in W.finish(W.lru_memo(stream, 3), "memo-test", latest=["page"]).collect())
+    for page, own in frame.groupby("page"):
+        now, told = "unknown", 0
+        for up in own["up"]:
+            then = "ready" if up else ("lost" if now in ("ready", "lost") else "missing")
+            now, told = then, told + (then != now)
+        assert found[page] == (now, told)
+        last = own.groupby("url")["seq"].max().nlargest(3)
+        assert [(u, s) for p, u, s in held if p == page] == sorted(last.items())
+
+
+def test_parked_promotions_take_messages_of_many_frames_in_order(spark, tmp_path, small_frames):
+    frame = _shuffled(tmp_path)
+    stream = W.read_files(spark, str(tmp_path), "*.parquet", "page string, url string, up boolean, seq long")
+    messages = stream.select("page", "seq", F.when(F.col("up"), "request").otherwise("promote").alias("kind"), F.col("url").alias("id"), F.col("seq").cast("double").alias("priority"))
+    parked, expected = {}, []
+    for r in frame.itertuples():
+        key = (r.page, r.url)
+        if r.up:
+            expected.append((r.page, r.seq, r.url, max(float(r.seq), parked.pop(key, -1.0))))
+        else:
+            parked[key] = max(float(r.seq), parked.get(key, -1.0))
+    # a promotion's priority is its place, so one that came later would be above its request
+    assert sorted(tuple(x) for x in W.finish(W.parked_promotions(messages, 50), "parked-test", "append").collect()) == sorted(expected)
