@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +25,17 @@ def content_hash(columns: dict[str, Column]) -> Column:
 
 
 def fixed(c: Column, digits: int = 10) -> Column:
-    """A number as text with fixed decimals, the form in which scores are hashed."""
-    return F.format_string(f"%.{digits}f", c)
+    """A number as text with fixed decimals, the form in which scores are hashed.
+
+    The number's exact value is rounded, half to even, as C does. Java rounds its
+    shortest text half up, which gives another last digit for some.
+    """
+
+    def texts(numbers: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f"%.{digits}f" % x for x in numbers.to_pylist()], pa.string())
+
+    x = c.cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.format_string(f"%.{digits}f", x)).otherwise(F.arrow_udf(texts, "string")(x))
 
 
 def set_hash(rows: DataFrame, value: str, keys: tuple[str, ...] = (), digits: int = 2) -> DataFrame:
@@ -76,6 +87,33 @@ def chain(entries: DataFrame, order: str, payload: str, keys: tuple[str, ...] =
     return rows.mapInArrow(run, schema)
 
 
+def list_hash(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """``(<key>, md5)``: the MD5 hash of each key's texts, joined by commas in the order of ``order``.
+
+    Such a hash is one sequence by nature: each key's rows are sorted and read as
+    a stream, with the hash carried from batch to batch; no list is ever whole.
+    """
+    rows = rows.select(F.col(key).cast("string").alias(key), order, F.col(value).cast("string").alias(value)).where(F.col(value).isNotNull())
+    rows = rows.repartition(key).sortWithinPartitions(key, order, value).select(key, value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hashed = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([hashed.hexdigest()])], [key, "md5"])
+        for batch in batches:
+            for k, own in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), itemgetter(0)):
+                part = ",".join(text for _, text in own).encode()
+                if hashed is not None and k == now:
+                    hashed.update(b"," + part)
+                    continue
+                if hashed is not None:
+                    yield row()
+                now, hashed = k, hashlib.md5(part)
+        if hashed is not None:
+            yield row()
+
+    return rows.mapInArrow(run, f"`{key}` string, md5 string")
+
+
 def broken_links(chained: DataFrame, order: str, payload: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Entries that do not match their own hash or the hash before; ``chained`` has one row for each place of a log.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.operators import integrity as I
 from scoreloom.operators import metrics as M
+from scoreloom.operators.evidence import list_hash
 from scoreloom.operators.staging import shared_dir
 from scoreloom.plans.fixtures import SCORE_ROWS, THRESHOLD, score_rows, table
 from scoreloom.plans.metric_queries import _ORACLE, _interval_sql, _sweep_sql
@@ -68,8 +69,8 @@ def score_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "scores")
     files.write_score_csv(score_rows(spark, sf).withColumn("path", F.col("image_id")), path, ["score"])
     back = files.read_score_csv(spark, path)
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "score_text"))), lambda x: x["score_text"]), ",")
-    return back.groupBy("split").agg(F.count("*").alias("n"), F.sum("label").alias("n_ai"), F.md5(texts).alias("scores_md5"))
+    counts = back.groupBy("split").agg(F.count("*").alias("n"), F.sum("label").alias("n_ai"))
+    return counts.join(list_hash(back, "split", "image_id", "score_text"), "split", "left").select("split", "n", "n_ai", F.col("md5").alias("scores_md5"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS feature FROM documents")

@@ -429,3 +429,17 @@ def test_parked_promotions_take_messages_of_many_frames_in_order(spark, tmp_path
             parked[key] = max(float(r.seq), parked.get(key, -1.0))
     # a promotion's priority is its place, so one that came later would be above its request
     assert sorted(tuple(x) for x in W.finish(W.parked_promotions(messages, 50), "parked-test", "append").collect()) == sorted(expected)
+
+
+def test_fixed_text_rounds_the_exact_value(spark):
+    values = [0.12345678905, 0.00000000005, 0.12345678915, 0.5, 1e-20, -0.25, 123456.123456789051, None, float("nan")]
+    found = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(E.fixed(F.col("v")).alias("t")).collect()]
+    assert found == [*("%.10f" % v for v in values[:-2]), "null", "NaN"]
+
+
+def test_list_hash_of_many_batches(spark, small_frames):
+    import hashlib
+
+    data = [(f"k{i % 3}", f"{i:03d}", None if i == 9 else str(i * i)) for i in range(100)]
+    found = {r.k: r.md5 for r in E.list_hash(spark.createDataFrame(data, "k string, i string, v string").orderBy(F.desc("i")), "k", "i", "v").collect()}
+    assert found == {k: hashlib.md5(",".join(v for q, _, v in data if q == k and v is not None).encode()).hexdigest() for k in ("k0", "k1", "k2")}
