@@ -76,16 +76,25 @@ def clustered_interval(rows: DataFrame, threshold: float, samples: int = 200, co
     return point.crossJoin(F.broadcast(bounds)).select(F.inline(F.array(*map(one, names))))
 
 
+def _paired_hits(rows: DataFrame, threshold: float, a: str, b: str) -> DataFrame:
+    return rows.withColumn("hit_a", hit(F.col(a), F.col("label"), threshold)).withColumn("hit_b", hit(F.col(b), F.col("label"), threshold))
+
+
+def paired_point(rows: DataFrame, threshold: float, a: str, b: str) -> DataFrame:
+    """Balanced accuracy of scorer ``a`` less that of ``b``, with the 2 x 2 table of agreement: one scan, no resamples."""
+    rows = _paired_hits(rows, threshold, a, b)
+    side = lambda k: F.avg(F.when(F.col("label") == k, F.col("hit_a") - F.col("hit_b")))
+    cell = lambda x, y: F.count_if((F.col("hit_a") == x) & (F.col("hit_b") == y))
+    return rows.agg(((side(1) + side(0)) / 2).alias("delta"), cell(1, 1).alias("both"), cell(1, 0).alias("only_a"), cell(0, 1).alias("only_b"), cell(0, 0).alias("neither"))
+
+
 def paired_delta(rows: DataFrame, threshold: float, a: str, b: str, samples: int = 200, seed: str = "20260814") -> DataFrame:
-    """Balanced accuracy of scorer ``a`` less that of ``b`` on shared resamples, with the 2 x 2 table of agreement."""
-    rows = rows.withColumn("hit_a", hit(F.col(a), F.col("label"), threshold)).withColumn("hit_b", hit(F.col(b), F.col("label"), threshold))
+    """:func:`paired_point` with an interval of the difference on shared resamples."""
+    hits = _paired_hits(rows, threshold, a, b)
     delta = lambda of: {"delta": sum((of("hit_a", k) - of("hit_b", k)) / of("n", k) for k in (1, 0)) / 2}
-    bounds = intervals(replicates(rows, {"hit_a": F.col("hit_a"), "hit_b": F.col("hit_b")}, delta, samples, seed), ["delta"], 0.95)
+    bounds = intervals(replicates(hits, {"hit_a": F.col("hit_a"), "hit_b": F.col("hit_b")}, delta, samples, seed), ["delta"], 0.95)
     bounds = bounds.select(F.get("delta", 0).alias("ci_lower"), F.get("delta", 1).alias("ci_upper"))
-    side = lambda k: F.avg(F.when(F.col("label") == k, F.col("hit_a") - F.col("hit_b")))
-    cell = lambda x, y: F.count_if((F.col("hit_a") == x) & (F.col("hit_b") == y))
-    point = rows.agg(((side(1) + side(0)) / 2).alias("delta"), cell(1, 1).alias("both"), cell(1, 0).alias("only_a"), cell(0, 1).alias("only_b"), cell(0, 0).alias("neither"))
-    return point.crossJoin(F.broadcast(bounds))
+    return paired_point(rows, threshold, a, b).crossJoin(F.broadcast(bounds))
 
 
 def roc_auc(rows: DataFrame, score: str = "score", keys: Sequence[str] = ()) -> DataFrame:

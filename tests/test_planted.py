@@ -459,3 +459,13 @@ def test_planes_and_thumbnails_leave_the_worker_in_small_batches(spark, monkeypa
     images = pa.array([{"origin": "", "height": 6, "width": 5, "nChannels": 3, "mode": 16, "data": bytes(d[5])} for _, d in data])
     made = list(raster.vectors_of(iter([images]), lambda rgb: rgb.ravel().astype(float)))
     assert sum(map(len, made)) == 40 and max(len(m.values) for m in made) <= 200 + 90 and made[0][1].as_py() == (image + 1)[..., 2::-1].ravel().tolist()
+
+
+def test_paired_point_takes_no_resamples_and_agrees_with_the_interval(spark, monkeypatch):
+    r = rows(spark, lambda y, i: 0.2 + 0.6 * y if i % 3 else 0.5).withColumn("other", F.lit(0.7))
+    whole = M.paired_delta(r, 0.65, "score", "other").drop("ci_lower", "ci_upper").first()
+    monkeypatch.setattr(M, "replicates", lambda *_: pytest.fail("resampled"))
+    assert M.paired_point(r, 0.65, "score", "other").first() == whole
+    from scoreloom.plans.contract_queries import best_null_delta
+
+    assert best_null_delta(spark, "/root/testdata/sf0.001").count() == 1
