@@ -11,16 +11,6 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
-def digits(key: Column) -> Column:
-    """The 13 hex digits that :func:`uniform` reads: compared as texts, they are in the order of the numbers."""
-    return F.substring(F.sha2(key, 256), 1, 13)
-
-
-def digits_of(number: Column) -> Column:
-    """The digits of a number that :func:`uniform` gave; the empty text, before all digits, for a negative one."""
-    return F.when(number < 0, "").otherwise(F.lpad(F.lower(F.hex((number * F.lit(4503599627370496.0)).cast("long"))), 13, "0"))
-
-
 def draw(key: Column, n: Column) -> Column:
     """A whole number from 0 to n - 1."""
     return F.floor(uniform(key) * n).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -9,58 +10,127 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.keyed import digits, digits_of, uniform
 from scoreloom.operators.ordering import dense_index, finite
 from scoreloom.operators.staging import stage
 
-#: Clusters whose sums are sent to workers at most (8 bytes a sum); beyond that draws are joined with them.
+#: Clusters whose sums are sent to workers at most (8 bytes a sum); beyond that draws are sent to them.
 SENT = 2_000_000
+#: Neighbouring clusters of a block, whose draws one task adds up: a place inside has two bytes.
+BLOCK = 65_536
 #: Chance that a Poisson(1) number is at most 0, 1, 2, ...; what is left after 12 is below 1e-9.
 POISSON = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 12)]))
 
 
-def _numbers(seed: str, label: str, own: str, samples: int) -> Column:
-    """The keyed numbers of a row in all replicates, as an array."""
-    head, tail = F.lit(f"{seed}|"), F.concat_ws("|", F.lit(""), F.col(label), F.col(own))
-    return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda b: uniform(F.concat(head, b.cast("string"), tail))).alias("numbers")
+def keyed_numbers(heads: Sequence[str], tails: Sequence[str]) -> np.ndarray:
+    """:func:`scoreloom.functions.keyed.uniform` of each head and tail put together, a row for each tail."""
+    tails, out = [t.encode() for t in tails], []
+    for head in heads:
+        begun, digests = hashlib.sha256(head.encode()).copy, []
+        for tail in tails:  # the head is hashed once
+            h = begun()
+            h.update(tail)
+            digests.append(h.digest())
+        out.append(np.frombuffer(b"".join(digests), ">u8")[::4] >> np.uint64(12))
+    return np.stack(out, axis=1).astype(float) / 4503599627370496.0
+
+
+def _tail(label: str, own: str) -> Column:
+    """What comes after seed and replicate in a row's keys; nulls are left out, as :func:`~pyspark.sql.functions.concat_ws` does."""
+    return F.concat_ws("|", F.lit(""), F.col(label), F.col(own)).alias("tail")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _added(rows: DataFrame, samples: int, sums: Sequence[str], add: Callable[[int, np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
-    """``(b, label, <sums>)`` over ``rows(label, numbers, ...)``.
+def _added(rows: DataFrame, samples: int, seed: str, sums: Sequence[str], add: Callable[[int, np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """``(b, label, <sums>)`` over ``rows(label, tail, ...)``.
 
-    ``add`` makes an array of sums by replicate from a label, the numbers of
-    some of its rows and their other columns. A task adds these up and gives one
-    row for each label and replicate.
+    ``add`` makes an array of sums by replicate from a label, the keyed numbers
+    of some of its rows and their other columns. A task adds these up and gives
+    one row for each label and replicate.
     """
+    heads = [f"{seed}|{b}" for b in range(samples)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             labels = batch.column(0).to_numpy()
             for k in np.unique(labels).tolist():
                 own = batch.filter(pa.array(labels == k))
-                total[k] = total.get(k, 0) + add(k, _matrix(own.column(1)), [c.to_numpy(zero_copy_only=False) for c in own.columns[2:]])
+                total[k] = total.get(k, 0) + add(k, keyed_numbers(heads, own.column(1).to_pylist()), [c.to_numpy(zero_copy_only=False) for c in own.columns[2:]])
         for k, found in total.items():
             yield pa.record_batch([pa.array(range(samples), pa.int32()), pa.array([k] * samples, pa.int32()), *(pa.array(x.astype(float)) for x in found)], ["b", "label", *sums])
 
-    part = rows.where("label is not null").mapInArrow(run, "b int, label int, " + ", ".join(f"`{c}` double" for c in sums))
+    part = _spread(rows.where("label is not null")).mapInArrow(run, "b int, label int, " + ", ".join(f"`{c}` double" for c in sums))
     return part.groupBy("b", "label").agg(*(F.sum(c).alias(c) for c in sums))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in many parts alike in size: each is hashed for every replicate, so that a part of few bytes is much work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _shipped(ranked: DataFrame, sums: Sequence[str], samples: int, seed: str) -> DataFrame:
+    """``(b, label, <sums>)`` of the draws from ``ranked(label, idx, idx_n, <sums>)``, whose sums no worker has as a whole.
+
+    Places are dealt to blocks of ``BLOCK``. A task draws for some places and
+    replicates and sends each block, in one row, the drawn places inside it, two
+    bytes each, and how many are of each replicate; a block adds up its own.
+    """
+    heads = [f"{seed}|{b}" for b in range(samples)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 8192):
+            labels = batch.column(0).to_numpy()
+            for k in np.unique(labels).tolist():
+                own = batch.filter(pa.array(labels == k))
+                n = own.column(2)[0].as_py()
+                at = np.floor(keyed_numbers(heads, own.column(1).to_pylist()).T.ravel() * n).astype(np.int64)  # replicate by replicate
+                block, blocks = at // BLOCK, -(-n // BLOCK)
+                of = np.bincount(block * samples + np.arange(samples).repeat(own.num_rows), minlength=blocks * samples).reshape(blocks, samples)
+                order = np.argsort(block.astype(np.uint16) if blocks < 65536 else block, kind="stable")
+                places, ends = (at % BLOCK).astype(np.uint16)[order], of.sum(1).cumsum()
+                hit = np.flatnonzero(of.any(1))
+                parts = [places[ends[j] - of[j].sum() : ends[j]].tobytes() for j in hit]
+                yield pa.record_batch([pa.array([k] * len(hit), pa.int32()), pa.array(hit, pa.int64()), pa.array([of[j].astype(np.uint32).tobytes() for j in hit], pa.binary()), pa.array(parts, pa.binary())], ["label", "block", "counts", "places"])
+
+    def add(drawn: pa.Table, own: pa.Table) -> pa.Table:
+        total = np.zeros((len(sums), samples))
+        if own.num_rows and drawn.num_rows:
+            values = np.zeros((len(sums), BLOCK))
+            values[:, own["idx"].to_numpy() % BLOCK] = np.stack([own[c].to_numpy() for c in sums])
+            for counts, places in zip(drawn["counts"], drawn["places"], strict=True):
+                b = np.arange(samples).repeat(np.frombuffer(counts.as_buffer(), np.uint32))
+                at = np.frombuffer(places.as_buffer(), np.uint16)
+                total += [np.bincount(b, v[at], samples) for v in values]
+        label = (own if own.num_rows else drawn)["label"][0].as_py()
+        return pa.table({"b": pa.array(range(samples), pa.int32()), "label": pa.array([label] * samples, pa.int32()), **{c: pa.array(x) for c, x in zip(sums, total, strict=True)}})
+
+    rows = _spread(ranked.where("label is not null").select("label", _tail("label", "idx"), "idx_n"))
+    drawn = rows.mapInArrow(draw, "label int, block long, counts binary, places binary")
+    own = ranked.select("label", F.floor(F.col("idx") / BLOCK).cast("long").alias("block"), "idx", *sums)
+    found = drawn.groupBy("label", "block").cogroup(own.groupBy("label", "block")).applyInArrow(add, "b int, label int, " + ", ".join(f"`{c}` double" for c in sums))
+    return found.groupBy("b", "label").agg(*(F.sum(c).alias(c) for c in sums))
+
+
 def replicate_sums(clusters: DataFrame, sums: Sequence[str], samples: int, seed: str, method: str = "draws") -> DataFrame:
     """``(b, label, <sums>)`` of ``samples`` bootstrap replicates of whole ``clusters(label, cluster_id, <sums>)`` within each label.
 
     ``draws`` takes as many clusters with replacement as there are, by keyed
     numbers of replicate, label and place, so any engine can repeat it.
     ``poisson`` gives each cluster an independent Poisson(1) weight by its keyed
-    number instead. A row carries its numbers of all replicates as an array, and
-    a task adds up what they stand for: replicates of clusters are never rows.
-    For ``draws`` the workers get the clusters' sums, up to ``SENT`` clusters;
-    more are joined with the draws, to the same result.
+    number instead. A task makes the numbers of some rows at a time and adds up
+    what they stand for: replicates of clusters are never rows. For ``draws`` the
+    workers get the clusters' sums, up to ``SENT`` clusters; draws of more are
+    sent to the blocks that hold them, to the same result.
     """
     clusters = clusters.withColumn("label", F.col("label").cast("int"))
     values = [F.col(c).cast("double").alias(c) for c in sums]
@@ -69,12 +139,10 @@ def replicate_sums(clusters: DataFrame, sums: Sequence[str], samples: int, seed:
         def weighted(_: int, numbers: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
             return np.stack(own) @ np.searchsorted(POISSON, numbers, "right").astype(float)
 
-        return _added(clusters.select("label", _numbers(seed, "label", "cluster_id", samples), *values), samples, sums, weighted)
+        return _added(clusters.select("label", _tail("label", "cluster_id"), *values), samples, seed, sums, weighted)
     ranked = stage(dense_index(clusters, "cluster_id", ["label"]).select("label", "idx", "idx_n", *values), "ranked")
     if ranked.count() > SENT:
-        drawn = ranked.select("label", "idx_n", F.posexplode(_numbers(seed, "label", "idx", samples)).alias("b", "u"))
-        drawn = drawn.groupBy("b", "label", F.floor(F.col("u") * F.col("idx_n")).cast("long").alias("idx")).agg(F.count("*").alias("w"))
-        return drawn.join(ranked, ["label", "idx"]).groupBy("b", "label").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in sums))
+        return _shipped(ranked, sums, samples, seed)
     table = ranked.orderBy("label", "idx").toArrow().combine_chunks()
     labels, of = table["label"].to_numpy(), np.stack([table[c].to_numpy() for c in sums])
     sent = {int(k): of[:, labels == k] for k in np.unique(labels)}
@@ -83,7 +151,7 @@ def replicate_sums(clusters: DataFrame, sums: Sequence[str], samples: int, seed:
         own = sent[label]
         return own[:, np.floor(numbers * own.shape[1]).astype(np.int64)].sum(1)
 
-    return _added(ranked.select("label", _numbers(seed, "label", "idx", samples)), samples, sums, drawn_sums)
+    return _added(ranked.select("label", _tail("label", "idx")), samples, seed, sums, drawn_sums)
 
 
 def replicates(rows: DataFrame, sums: Mapping[str, Column], statistics: Callable[[Callable[[str, int], Column]], Mapping[str, Column]], samples: int, seed: str, method: str = "draws") -> DataFrame:
@@ -134,29 +202,40 @@ def dividing_numbers(clusters: DataFrame, samples: int, seed: str) -> DataFrame:
     those inside, some square root of all, are sorted: replicates of all
     clusters are never ranked or shuffled.
     """
-    total = clusters.agg(F.count("*").alias("_n"), F.sum("label").alias("_k"))
-    share, n = F.col("_k") / F.col("_n"), F.col("_n")
-    width = 8 * F.sqrt(share * (1 - share) / n) + 8 / n
-    bounds = F.broadcast(total.select("_k", (share - width).alias("_low"), (share + width).alias("_high")))
-    reps = clusters.select("cluster_id").crossJoin(bounds).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    reps = reps.withColumn("_u", uniform(F.concat_ws("|", F.lit(seed), F.col("b"), F.col("cluster_id"))))
-    inside = F.collect_list(F.when((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")), F.col("_u")))
-    by = reps.groupBy("b", "_k").agg(F.count_if(F.col("_u") < F.col("_low")).alias("_below"), F.array_sort(inside).alias("_inside"))
-    at = F.get("_inside", (F.col("_k") - F.col("_below") - 1).cast("int"))
-    cut = F.when(F.col("_k") == 0, F.lit(-1.0)).otherwise(F.coalesce(at, F.raise_error(F.lit("no dividing number in the window")).cast("double")))
+    n, k = clusters.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    share = k / n if n else 0.0
+    width = 8 * (share * (1 - share) / n) ** 0.5 + 8 / n if n else 0.0
+    low, high, heads = share - width, share + width, [f"{seed}|{b}" for b in range(samples)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, inside = np.zeros(samples, np.int64), [[] for _ in range(samples)]
+        for batch in _slices(batches):
+            u = keyed_numbers(heads, batch.column(0).to_pylist())
+            below += (u < low).sum(0)
+            for b, own in enumerate(((u >= low) & (u < high)).T):
+                inside[b].append(u[own, b])
+        lists = [np.concatenate(x) if x else np.zeros(0) for x in inside]
+        yield pa.record_batch([pa.array(range(samples), pa.int32()), pa.array(below), pa.array(lists, pa.list_(pa.float64()))], ["b", "below", "inside"])
+
+    found = _spread(clusters.select(F.concat_ws("|", F.lit(""), "cluster_id").alias("tail"))).mapInArrow(run, "b int, below long, inside array<double>")
+    by = found.groupBy("b").agg(F.sum("below").alias("_below"), F.array_sort(F.flatten(F.collect_list("inside"))).alias("_inside"))
+    at = F.get("_inside", (F.lit(k) - F.col("_below") - 1).cast("int"))
+    cut = F.lit(-1.0) if k == 0 else F.coalesce(at, F.raise_error(F.lit("no dividing number in the window")).cast("double"))
     return by.select("b", cut.alias("cut")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "cut"))), lambda x: x["cut"]).alias("cuts"))
 
 
 def cluster_bits(clusters: DataFrame, cuts: DataFrame, seed: str) -> DataFrame:
     """``(cluster_id, bits)``: one bit for each replicate, 1 where the cluster is positive."""
-    number = lambda b: digits(F.concat_ws("|", F.lit(seed), b, F.col("cluster_id")))
-    cuts = F.broadcast(cuts.select(F.transform("cuts", digits_of).alias("cuts")))
-    labels = clusters.select("cluster_id").distinct().crossJoin(cuts).select("cluster_id", F.transform("cuts", lambda cut, b: (number(b) <= cut).cast("byte")).alias("labels"))
+    cut = np.array(cuts.first()["cuts"])
+    heads = [f"{seed}|{b}" for b in range(len(cut))]
 
-    def pack(labels: pa.Array) -> pa.Array:
-        return pa.array([x.tobytes() for x in np.packbits(_matrix(labels).astype(bool), axis=1)] if len(labels) else [], pa.binary())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            bits = np.packbits(keyed_numbers(heads, [f"|{c}" for c in batch.column(0).to_pylist()]) <= cut, axis=1)
+            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in bits], pa.binary())], ["cluster_id", "bits"])
 
-    return labels.select("cluster_id", F.arrow_udf(pack, "binary")("labels").alias("bits"))
+    ids = clusters.select(F.col("cluster_id").cast("string").alias("cluster_id")).where("cluster_id is not null").distinct()
+    return _spread(ids).mapInArrow(run, "cluster_id string, bits binary")
 
 
 def prefix_sums(parts: DataFrame, order: str, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

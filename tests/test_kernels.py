@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom.functions.keyed import uniform as keyed_uniform
 from scoreloom.operators import metrics as M
 from scoreloom.operators import quantiles as Q
 from scoreloom.operators import resampling as R
@@ -79,6 +80,22 @@ def test_any_statistic_of_draws_equals_brute_force(spark, rows, monkeypatch, sen
         assert abs(r.mean_0 - expected[b, 0]) < 1e-9 and abs(r.ratio - expected[b, 1] / expected[b, 0]) < 1e-9
 
 
+@pytest.mark.parametrize("block", [4, 65_536])
+def test_draws_of_many_clusters_are_added_up_by_blocks(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(R, "SENT", 0)
+    monkeypatch.setattr(R, "BLOCK", block)
+    monkeypatch.setattr(F, "posexplode", lambda *_: pytest.fail("a row for each draw"))
+    got = {r.b: r.mean for r in R.replicates(rows, {"total": F.col("score")}, lambda of: {"mean": of("total", 1) / of("n", 1)}, 9, "s").collect()}
+    expected = brute_replicates(rows.collect(), 9, "s")
+    assert len(got) == 9 and all(abs(got[b] - expected[b, 1]) < 1e-9 for b in got)
+
+
+def test_keyed_numbers_equal_those_of_columns(spark):
+    tails = ["|1|é", "|", "", "|0|" + "x" * 100]
+    by_column = [[r.u for r in spark.createDataFrame([(h + t,) for h in ("s|0", "s|1")], "k string").select(keyed_uniform(F.col("k")).alias("u")).collect()] for t in tails]
+    assert R.keyed_numbers(["s|0", "s|1"], tails).tolist() == by_column
+
+
 def test_poisson_weights(spark, rows):
     by = R.replicates(rows, {"total": F.col("score")}, lambda of: {"n": of("n", 0), "mean": of("total", 0) / of("n", 0)}, 300, "p", "poisson").toPandas()
     exact = rows.where("label = 0").agg(F.avg("score"), F.count("*")).first()
