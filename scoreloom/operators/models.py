@@ -42,26 +42,46 @@ class Logistic:
         return 1 / (1 + F.exp(-self.margin()))
 
 
-def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "label", c: float = 1.0, standardise: bool = True, balanced: bool = True) -> Logistic | None:
+def _counted_stats(rows: DataFrame, columns: Sequence[str], label: str, count: str) -> dict:
+    """Rows, positives, means and population deviations of rows that stand for ``count`` equal ones; 0 for a column that does not vary."""
+    n = F.col(count)
+    first = rows.agg(F.sum(n).alias("n"), F.sum(F.col(label) * n).alias("p"), *(F.sum(F.col(x) * n).alias(f"m_{x}") for x in columns), *(F.min(x).alias(f"lo_{x}") for x in columns), *(F.max(x).alias(f"hi_{x}") for x in columns)).first().asDict()
+    total = first["n"] or 0
+    varies = {x: first[f"lo_{x}"] != first[f"hi_{x}"] for x in columns}
+    mean = {x: first[f"m_{x}"] / total if varies[x] else first[f"lo_{x}"] for x in columns}
+    out = {"n": total, "p": first["p"]} | {f"m_{x}": mean[x] for x in columns} | {f"s_{x}": 0.0 for x in columns}
+    if moving := [x for x in columns if varies[x]]:
+        square = rows.agg(*(F.sum(n * (F.col(x) - F.lit(float(mean[x]))) ** 2).alias(x) for x in moving)).first()
+        out |= {f"s_{x}": (square[x] / total) ** 0.5 for x in moving}
+    return out
+
+
+def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "label", c: float = 1.0, standardise: bool = True, balanced: bool = True, count: str | None = None) -> Logistic | None:
     """None for fewer than 8 rows, one class, or columns that do not vary. Classes weigh alike if ``balanced``, and else each row.
 
     Population deviations; the penalty is that of a regularised sum over rows
-    with weight ``c`` on the loss.
+    with weight ``c`` on the loss. ``count`` names a column that tells for how
+    many equal rows a row stands.
     """
-    stats = rows.agg(F.count("*").alias("n"), F.sum(label).alias("p"), *(F.avg(x).alias(f"m_{x}") for x in columns), *(F.stddev_pop(x).alias(f"s_{x}") for x in columns)).first().asDict()
+    stats = _counted_stats(rows, columns, label, count) if count else rows.agg(F.count("*").alias("n"), F.sum(label).alias("p"), *(F.avg(x).alias(f"m_{x}") for x in columns), *(F.stddev_pop(x).alias(f"s_{x}") for x in columns)).first().asDict()
     n, p = stats["n"], stats["p"] or 0
     if n < 8 or not 0 < p < n:
         return None
     mean, scale = (np.array([float(stats[f"{k}_{x}"] or 0.0) for x in columns]) for k in "ms")
     if scale.sum() == 0:
         return None
+    moving = np.flatnonzero(scale > 0) if standardise else np.arange(len(columns))  # a standardised constant is 0 and has no weight
     mean, scale = (mean, np.where(scale > 0, scale, 1.0)) if standardise else (np.zeros(len(columns)), np.ones(len(columns)))
-    z = {f"_z{i}": (F.col(x) - float(mean[i])) / float(scale[i]) for i, x in enumerate(columns)}
+    z = {f"_z{i}": (F.col(columns[i]) - float(mean[i])) / float(scale[i]) for i in moving.tolist()}
     weight = F.when(F.col(label) == 1, F.lit(n / (2 * p))).otherwise(F.lit(n / (2 * (n - p)))) if balanced else F.lit(1.0)
+    if count:
+        weight = weight * F.col(count)
     data = rows.select(F.col(label).cast("double").alias("label"), weight.alias("w"), *(v.alias(k) for k, v in z.items()))
     data = VectorAssembler(inputCols=list(z), outputCol="features").transform(data).select("label", "w", "features")
     fit = LogisticRegression(weightCol="w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(data)
-    return Logistic(columns, mean, scale, np.array(fit.coefficients), float(fit.intercept))
+    weights = np.zeros(len(columns))
+    weights[moving] = np.array(fit.coefficients)
+    return Logistic(columns, mean, scale, weights, float(fit.intercept))
 
 
 def group_folds(rows: DataFrame, group: str, k: int, label: str = "label", name: str = "fold") -> DataFrame:
@@ -70,19 +90,25 @@ def group_folds(rows: DataFrame, group: str, k: int, label: str = "label", name:
     return rows.join(dense_index(groups, group, [label]).select(group, label, F.pmod("idx", F.lit(k)).alias(name)), [group, label])
 
 
-def out_of_fold(rows: DataFrame, columns: Sequence[str], group: str, label: str = "label", most_folds: int = 5, balanced: bool = True) -> DataFrame:
+def out_of_fold(rows: DataFrame, columns: Sequence[str], group: str, label: str = "label", most_folds: int = 5, balanced: bool = True, alike: bool = False) -> DataFrame:
     """``rows`` with ``fold`` and the ``probability`` by a model that saw no row of the group's fold.
 
-    As many folds as the smaller class has groups, 2 to ``most_folds``.
+    As many folds as the smaller class has groups, 2 to ``most_folds``. If many
+    rows are ``alike``, the models are fitted on distinct rows of a fold that
+    weigh as often as they occur, which is the same sum.
     """
     few = rows.groupBy(label).agg(F.countDistinct(group).alias("n")).agg(F.min("n"), F.count("*")).first()
     k = min(most_folds, few[0] or 0)
     if k < 2 or few[1] < 2:
         raise ValueError("out-of-fold needs two groups or more of both labels")
     rows = stage(group_folds(rows, group, k, label), "folds")
+    fitted, count = rows, None
+    if alike:
+        count = "_count"
+        fitted = stage(rows.groupBy("fold", label, *columns).agg(F.count("*").alias(count)), "alike")
     p = F.lit(None).cast("double")
     for f in range(k):
-        model = fit_logistic(rows.where(F.col("fold") != f), columns, label, balanced=balanced)
+        model = fit_logistic(fitted.where(F.col("fold") != f), columns, label, balanced=balanced, count=count)
         p = F.when(F.col("fold") == f, model.probability() if model else F.lit(0.5)).otherwise(p)
     return rows.withColumn("probability", p)
 

@@ -75,7 +75,7 @@ def manifest_leakage(spark: SparkSession, sf: str) -> DataFrame:
         *(F.lit(640).alias(c) for c in ("source_width", "source_height", "output_width", "output_height")), F.col("l_extendedprice").alias("source_bytes"), F.col("l_extendedprice").alias("output_bytes"),
     )
     rows, columns = L.manifest_features(rows)
-    return L.leakage_verdict(L.out_of_fold(rows, columns, "source", balanced=False))
+    return L.leakage_verdict(L.out_of_fold(rows.select("source", "label", *columns), columns, "source", balanced=False, alike=True))
 
 
 @query()

@@ -469,3 +469,13 @@ def test_paired_point_takes_no_resamples_and_agrees_with_the_interval(spark, mon
     from scoreloom.plans.contract_queries import best_null_delta
 
     assert best_null_delta(spark, "/root/testdata/sf0.001").count() == 1
+
+
+def test_models_of_counted_rows_equal_those_of_all_rows(spark, monkeypatch):
+    data = [(f"g{i % 30}", i % 30 % 2, float(i % 4 + i % 30 % 2), float(i // 7 % 3), 0.1) for i in range(600)]
+    frame = spark.createDataFrame(data, "grp string, label int, a double, b double, c double")
+    seen, fit = [], L.fit_logistic
+    monkeypatch.setattr(L, "fit_logistic", lambda rows_, *x, **k: seen.append(rows_.count()) or fit(rows_, *x, **k))
+    one, two = ({(r.grp, r.a, r.b): r.probability for r in L.out_of_fold(frame, ["a", "b", "c"], "grp", balanced=balanced, alike=alike).collect()} for alike, balanced in ((False, False), (True, False)))
+    assert one.keys() == two.keys() and max(abs(one[k] - two[k]) for k in one) < 1e-6
+    assert len(seen) == 10 and max(seen[5:]) < 120 < min(seen[:5])
