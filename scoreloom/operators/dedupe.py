@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +30,26 @@ def _part(bits: Column, lo: int, hi: int) -> Column:
     return F.shiftrightunsigned(bits, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
 
 
-def _finer(lo: int, hi: int, distance: int) -> list[Column]:
-    """Bands of the bits outside ``lo`` to ``hi``, moved together."""
-    rest = _part(F.col("bits"), 0, lo) if lo else F.lit(0).cast("long")
+def _key(parts: list[Column]) -> Column:
+    """One value of a band's parts: of several words a hash, which adds candidates at most."""
+    return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
+
+
+def _finer(lo: int, hi: int, distance: int, words: list[str]) -> list[Column]:
+    """Bands of the bits outside ``lo`` to ``hi`` of each word, moved together."""
+    rest = [_part(F.col(w), 0, lo) if lo else F.lit(0).cast("long") for w in words]
     if hi < 64:
-        rest = rest.bitwiseOR(F.shiftleft(_part(F.col("bits"), hi, 64), lo))
-    return [F.struct(F.lit(i).alias("band2"), _part(rest, a, b).alias("value2")) for i, (a, b) in enumerate(_cuts(64 - hi + lo, distance))]
+        rest = [r.bitwiseOR(F.shiftleft(_part(F.col(w), hi, 64), lo)) for r, w in zip(rest, words, strict=True)]
+    return [F.struct(F.lit(i).alias("band2"), _key([_part(r, a, b) for r in rest]).alias("value2")) for i, (a, b) in enumerate(_cuts(64 - hi + lo, distance))]
 
 
-def _bands(rows: DataFrame, distance: int) -> DataFrame:
+def _bands(rows: DataFrame, distance: int, words: list[str]) -> DataFrame:
     """Each row under the value of each of distance + 1 bands: pairs within the distance share one."""
-    band = [F.struct(F.lit(i).alias("band"), _part(F.col("bits"), lo, hi).alias("value")) for i, (lo, hi) in enumerate(_cuts(64, distance))]
-    return rows.select("id", "bits", F.inline(F.array(*band)))
+    band = [F.struct(F.lit(i).alias("band"), _key([_part(F.col(w), lo, hi) for w in words]).alias("value")) for i, (lo, hi) in enumerate(_cuts(64, distance))]
+    return rows.select("id", *words, F.inline(F.array(*band)))
 
 
-def hamming_pairs(rows: DataFrame, distance: int) -> DataFrame:
+def hamming_pairs(rows: DataFrame, distance: int, more: str | None = None) -> DataFrame:
     """All pairs ``(a, b, distance)`` of distinct values of ``rows(id, bits)`` within ``distance``, a before b.
 
     Rows of equal bits are one node, named by their least id; expand them by
@@ -49,20 +57,25 @@ def hamming_pairs(rows: DataFrame, distance: int) -> DataFrame:
     follows. The members of a bucket of more than ``PAIRWISE`` nodes are not
     paired: what is left of their bits is cut into as many bands again, one of
     which two members within the distance also share.
+
+    Among millions of rows some unrelated 64 bits are within a few of each other
+    by chance. With ``more``, the column of a second word, a hash is of 128 bits,
+    and ``distance`` is over both words.
     """
-    nodes = rows.groupBy("bits").agg(F.min("id").alias("id"))
-    banded = _bands(nodes, distance)
+    words = ["bits"] if more is None else ["bits", more]
+    nodes = rows.groupBy(*words).agg(F.min("id").alias("id"))
+    banded = _bands(nodes, distance, words)
     sizes = stage(banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "bands")  # so that the joins can split a hot bucket
     live = stage(banded.join(sizes, ["band", "value"]), "buckets")
-    few = live.where(F.col("n") <= PAIRWISE).select("id", "bits", "band", "value", F.lit(0).alias("band2"), F.lit(0).cast("long").alias("value2"))
+    few = live.where(F.col("n") <= PAIRWISE).select("id", *words, "band", "value", F.lit(0).alias("band2"), F.lit(0).cast("long").alias("value2"))
     many = live.where(F.col("n") > PAIRWISE)
-    finer = F.when(F.lit(False), F.array(*_finer(0, 64, distance)))
+    finer = F.when(F.lit(False), F.array(*_finer(0, 64, distance, words)))
     for i, (lo, hi) in enumerate(_cuts(64, distance)):
-        finer = finer.when(F.col("band") == i, F.array(*_finer(lo, hi, distance)))
+        finer = finer.when(F.col("band") == i, F.array(*_finer(lo, hi, distance, words)))
     keys = ["band", "value", "band2", "value2"]
-    left = few.union(many.select("id", "bits", "band", "value", F.inline(finer)))
-    right = left.select(F.col("id").alias("b"), F.col("bits").alias("b_bits"), *keys)
-    d = F.bit_count(F.col("bits").bitwiseXOR(F.col("b_bits")))
+    left = few.union(many.select("id", *words, "band", "value", F.inline(finer)))
+    right = left.select(F.col("id").alias("b"), *(F.col(w).alias(f"b_{w}") for w in words), *keys)
+    d = reduce(add, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"b_{w}"))) for w in words))
     found = left.join(right, keys).where("id < b").where(d <= distance)
     return found.select(F.col("id").alias("a"), "b", d.alias("distance")).distinct()
 
@@ -87,16 +100,18 @@ def keep_earliest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = stage(state.union(dropped.select("id", F.lit(False))), "state")
 
 
-def greedy_dedupe(rows: DataFrame, distance: int) -> DataFrame:
+def greedy_dedupe(rows: DataFrame, distance: int, more: str | None = None) -> DataFrame:
     """``rows(id, bits)`` that a scan in id order would keep: those without a kept earlier row within ``distance``.
 
     Not components: a row near only to a dropped row stays (see
     :func:`keep_earliest`). Rows without bits are excluded. Equal bits are
-    decided without pairs: only the least id can stay.
+    decided without pairs: only the least id can stay. ``more`` is the second
+    word of hashes of 128 bits (see :func:`hamming_pairs`).
     """
-    rows = rows.where(F.col("bits").isNotNull())
-    nodes = stage(rows.groupBy("bits").agg(F.min("id").alias("id")), "nodes")
-    edges = stage(hamming_pairs(nodes, distance).select("a", "b"), "edges")
+    words = ["bits"] if more is None else ["bits", more]
+    rows = rows.dropna(subset=words)
+    nodes = stage(rows.groupBy(*words).agg(F.min("id").alias("id")), "nodes")
+    edges = stage(hamming_pairs(nodes, distance, more).select("a", "b"), "edges")
     return rows.join(keep_earliest(nodes, edges), "id", "left_semi")
 
 

@@ -296,6 +296,21 @@ def test_near_hashes_of_clusters_that_share_a_hash(spark):
     assert found == {("same_hash", "1"), ("near_duplicate", "2/3")}
 
 
+def test_pairs_of_two_words_equal_brute_force(spark, monkeypatch):
+    """Also where one word is the same for all, and in bands that are cut again."""
+    rng = random.Random(3)
+    flip = lambda v, n: v ^ sum(1 << k for k in rng.sample(range(128), n))
+    values = {rng.getrandbits(128) for _ in range(40)} | {rng.getrandbits(64) << 64 for _ in range(40)} | {rng.getrandbits(64) for _ in range(40)}
+    values = sorted(values | {flip(v, rng.randint(1, 7)) for v in values for _ in range(3)})
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(i, signed(v >> 64), signed(v & (1 << 64) - 1)) for i, v in enumerate(values)], "id long, bits long, more long").cache()
+    for distance in (0, 1, 5):
+        truth = {(i, j, (v ^ w).bit_count()) for i, v in enumerate(values) for j, w in enumerate(values) if i < j and (v ^ w).bit_count() <= distance}
+        for most in (128, 1):
+            monkeypatch.setattr(D, "PAIRWISE", most)
+            assert {tuple(r) for r in D.hamming_pairs(df, distance, "more").collect()} == truth
+
+
 def test_hot_bands_lose_no_pair(spark):
     """More nodes than are paired within a band that all of them share."""
     rng = np.random.default_rng(8)
