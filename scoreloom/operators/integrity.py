@@ -37,23 +37,25 @@ def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def split_violations(rows: DataFrame, distance: int | None = 4, seen_generators: bool = False) -> DataFrame:
+def split_violations(rows: DataFrame, distance: int | None = 4, seen_generators: bool = False, more: str | None = None) -> DataFrame:
     """``(rule, key)`` for repeated ids, generators or clusters in several splits, clusters of both labels, and near duplicates across clusters.
 
     Two hashes within the distance give one pair of rows in different clusters,
     if there is one among all rows that have them: the first rows of two
-    clusters stand for each hash.
+    clusters stand for each hash. ``more`` is a column of 16 further hex digits,
+    with which hashes are of 128 bits (see :func:`hamming_pairs`).
     """
     many = lambda key, value, rule: rows.groupBy(F.col(key).alias("key")).agg(F.countDistinct(value).alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), "key")
     parts = [duplicate_keys(rows, "image_id").select(F.lit("duplicate_id").alias("rule"), F.col("image_id").alias("key")), many("cluster_id", "split", "cluster_crosses"), many("cluster_id", "label", "cluster_conflict")]
     if not seen_generators:
         parts.append(many("generator", "split", "generator_crosses"))
     if distance is not None:
-        bits = rows.select(F.col("image_id").alias("id"), hash_bits(F.col("phash")).alias("bits"), "cluster_id").where("bits is not null")
-        held = bits.groupBy("bits", "cluster_id").agg(F.min("id").alias("id"))
-        two = held.withColumn("r", F.row_number().over(Window.partitionBy("bits").orderBy("id"))).where("r <= 2")
-        two = stage(two.groupBy("bits").agg(F.array_sort(F.collect_list(F.struct("id", "cluster_id"))).alias("held")), "hashes")
-        pairs = hamming_pairs(two.select(F.get("held", 0)["id"].alias("id"), "bits"), distance)
+        words = {"bits": "phash"} | ({"more": more} if more else {})
+        bits = rows.select(F.col("image_id").alias("id"), *(hash_bits(F.col(c)).alias(w) for w, c in words.items()), "cluster_id").dropna(subset=list(words))
+        held = bits.groupBy(*words, "cluster_id").agg(F.min("id").alias("id"))
+        two = held.withColumn("r", F.row_number().over(Window.partitionBy(*words).orderBy("id"))).where("r <= 2")
+        two = stage(two.groupBy(*words).agg(F.array_sort(F.collect_list(F.struct("id", "cluster_id"))).alias("held")), "hashes")
+        pairs = hamming_pairs(two.select(F.get("held", 0)["id"].alias("id"), *words), distance, "more" if more else None)
         own = two.select(F.get("held", 0)["id"].alias("id"), "held")
         both = pairs.join(own.withColumnsRenamed({"id": "a", "held": "ha"}), "a").join(own.withColumnsRenamed({"id": "b", "held": "hb"}), "b")
         crossing = F.get(F.filter(F.flatten(F.transform("ha", lambda x: F.transform("hb", lambda y: F.struct(x.alias("x"), y.alias("y"))))), lambda p: p["x"]["cluster_id"] != p["y"]["cluster_id"]), 0)

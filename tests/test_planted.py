@@ -296,6 +296,13 @@ def test_near_hashes_of_clusters_that_share_a_hash(spark):
     assert found == {("same_hash", "1"), ("near_duplicate", "2/3")}
 
 
+def test_near_hashes_of_two_words(spark):
+    rows = [("1", "00000000000000ff", "000000000000000f", "X"), ("2", "00000000000000fe", "000000000000000e", "Y"), ("3", "00000000000000fd", "f000000000000000", "Z"), ("4", "0f0f000000000000", "1", "X"), ("5", "0f0f000000000000", "1", "Y"), ("6", "0f0f000000000000", "ffff", "Z")]
+    frame = spark.createDataFrame(rows, "image_id string, phash string, rest string, cluster_id string").selectExpr("*", "'g' generator", "'fit' split", "0 label")
+    found = {(r.rule, r.key) for r in I.split_violations(frame, more="rest").collect()}
+    assert found == {("same_hash", "4"), ("near_duplicate", "1/2")}
+
+
 def test_pairs_of_two_words_equal_brute_force(spark, monkeypatch):
     """Also where one word is the same for all, and in bands that are cut again."""
     rng = random.Random(3)

@@ -47,3 +47,13 @@ def test_unrelated_texts_of_near_hashes_both_stay(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'s' source", "'en' lang").write.parquet(f"{tmp_path}/documents.parquet")
     got, expected = against_sql(spark, tmp_path, "greedy_dedupe")
     assert got == expected == [(2,), (3,), (4,), (8,)]
+
+
+def test_unrelated_images_of_near_hashes_are_no_violation(spark, tmp_path):
+    """The first 64 bits of the digests of these two keys differ in 4."""
+    orders = [(561564, 1, "1-URGENT"), (4059114, 2, "1-URGENT"), (7, 2, "5-LOW"), (7, 1, "1-URGENT")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").selectExpr("*", "'F' o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "BUILDING"), (2, "MACHINERY")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got, expected = against_sql(spark, tmp_path, "split_violations")
+    assert ("duplicate_id", "7") in expected
+    assert [r for r in got if r[0] != "same_hash"] == expected and ("same_hash", "7") in got
