@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from scoreloom.operators.staging import shared_dir
@@ -133,7 +135,7 @@ def first_requests(requests: DataFrame, horizon_ms: int, late: str = "0 seconds"
 
 
 class _Deadline(StatefulProcessor):
-    """The request that a key waits for, and a timer at its deadline."""
+    """The requests that a bucket's pages wait for, and a timer at the first of their deadlines."""
 
     SCHEMA = "page string, seq long, outcome string, ended long"
 
@@ -142,44 +144,58 @@ class _Deadline(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "seq long, at long")
+        self.open = handle.getValueState("open", "pages array<string>, seqs array<long>, ats array<long>")
+
+    def _held(self) -> pd.DataFrame:
+        pages, seqs, ats = self.open.get() if self.open.exists() else ([], [], [])
+        return pd.DataFrame({"page": np.array(pages, object), "seq": np.array(seqs, "int64"), "at": np.array(ats, "int64")})
+
+    def _hold(self, rows: pd.DataFrame) -> None:
+        if rows.empty:
+            self.open.clear()
+        else:
+            self.open.update((rows["page"].tolist(), rows["seq"].tolist(), rows["at"].tolist()))
+            self.handle.registerTimer(int(rows["at"].min()) + self.limit_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = before = self.open.get() if self.open.exists() else None
-        out = []
-        for r in _rows(rows, ["at", "seq"]).itertuples(index=False):
-            if now is not None:
-                late = r.at - now[1] > self.limit_ms
-                out.append((key[0], now[0], "timeout" if late else "done", now[1] + self.limit_ms if late else r.at))
-            now = (int(r.seq), int(r.at))
-        if before is not None:
-            self.handle.deleteTimer(before[1] + self.limit_ms)
-        self.open.update(now)
-        self.handle.registerTimer(now[1] + self.limit_ms)
-        yield pd.DataFrame(out, columns=["page", "seq", "outcome", "ended"])
+        held = self._held()
+        if not held.empty:
+            self.handle.deleteTimer(int(held["at"].min()) + self.limit_ms)
+        new = pd.concat([f[["page", "seq", "at"]] for f in rows]).astype({"seq": "int64", "at": "int64"})
+        both = pd.concat([held, new], ignore_index=True)
+        page, at = pd.factorize(both["page"], use_na_sentinel=False)[0], both["at"].to_numpy()
+        order = np.lexsort((both["seq"].to_numpy(), at, np.arange(len(both)) >= len(held), page))  # what a page waits for comes first
+        both, page, at = both.iloc[order], page[order], at[order]
+        ends = page[1:] == page[:-1]
+        late = at[1:][ends] - at[:-1][ends] > self.limit_ms
+        out = both[:-1][ends]
+        self._hold(both[np.append(~ends, True)])
+        yield pd.DataFrame({"page": out["page"].to_numpy(), "seq": out["seq"].to_numpy(), "outcome": np.where(late, "timeout", "done"), "ended": np.where(late, at[:-1][ends] + self.limit_ms, at[1:][ends])})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.open.exists():
-            seq, at = self.open.get()
-            self.open.clear()
-            out.append((key[0], seq, "timeout", at + self.limit_ms))
-        yield pd.DataFrame(out, columns=["page", "seq", "outcome", "ended"])
+        held = self._held()
+        ended = held["at"] + self.limit_ms
+        due = ended <= timerValues.getCurrentWatermarkInMs()
+        self._hold(held[~due])
+        yield pd.DataFrame({"page": held["page"][due], "seq": held["seq"][due], "outcome": "timeout", "ended": ended[due]})
 
     def close(self) -> None:
         pass
 
 
-def with_deadlines(requests: DataFrame, limit_ms: int, late: str = "0 seconds") -> DataFrame:
+def with_deadlines(requests: DataFrame, limit_ms: int, late: str = "0 seconds", buckets: int = 1024) -> DataFrame:
     """How each of ``requests(page, seq, at, ts)`` ends: ``(page, seq, outcome, ended)``, once.
 
     The page's next request within ``limit_ms`` of ``at`` (milliseconds of
     ``ts``) ends it as done. Otherwise it times out: when a later request tells,
     or by a timer as soon as the watermark passes the deadline, without any
     further input of the page.
+
+    Pages are dealt to ``buckets`` by their hash; a bucket's rows of a trigger are
+    worked on at once, and its state is one row for each page that waits.
     """
-    timed = requests.withWatermark("ts", late)
-    return timed.groupBy("page").transformWithStateInPandas(_Deadline(limit_ms), _Deadline.SCHEMA, "append", "EventTime")
+    timed = requests.withWatermark("ts", late).withColumn("bucket", F.pmod(F.hash("page"), F.lit(buckets)))
+    return timed.groupBy("bucket").transformWithStateInPandas(_Deadline(limit_ms), _Deadline.SCHEMA, "append", "EventTime")
 
 
 class _Board(StatefulProcessor):

@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,75 @@ def test_jobs_over_several_triggers(spark, tmp_path):
     assert got == [("u", 1, 1, 2, 5.0, "cancelled", 5), ("u", 2, 7, 1, 9.0, "finished", 9)]
 
 
+def ends_of(rows, limit):
+    """Each request's end by the definition, over rows of ``(page, seq, at)``."""
+    now, out = max(at for _, _, at in rows), []
+    for page in {p for p, _, _ in rows}:
+        own = sorted((at, seq) for p, seq, at in rows if p == page)
+        for (at, seq), later in zip(own, [x for x, _ in own[1:]] + [None], strict=True):
+            if later is not None and later - at <= limit:
+                out.append((page, seq, "done", later))
+            elif later is not None or at + limit <= now:
+                out.append((page, seq, "timeout", at + limit))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_deadlines_over_several_triggers(spark, tmp_path, buckets):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *"abcdefghijkl"]), seq, 1_700_000_000_000 + seq // 2 * 1000 + rng.randrange(2) * 300) for seq in range(300)]
+    rows.sort(key=lambda r: (r[2], r[1]))
+    requests = stream(spark, tmp_path, rows, "page string, seq long, at long", [range(0, 90), range(90, 91), range(91, 200), range(200, 300)])
+    requests = requests.selectExpr("*", "timestamp_millis(at) as ts")
+    with J.keyed_state(spark):
+        got = W.finish(J.with_deadlines(requests, 9_000, buckets=buckets), "deadlines", "append").collect()
+    truth = ends_of(rows, 9_000)
+    assert sorted(map(tuple, got), key=repr) == truth and {r[2] for r in truth} == {"done", "timeout"}
+
+
+class Handle:
+    """A processor's handle outside Spark: one value, its timers, and how often either was changed."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def clear(self):
+        self.value, self.calls = None, self.calls + 1
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.calls += 1
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+        self.calls += 1
+
+
+def test_deadlines_of_many_pages_in_few_calls():
+    """The calls to the state do not grow with the pages of a trigger."""
+    handle, out, limit = Handle(), [], 500
+    rows = [(f"p{k % 400}", k, 1000 + k // 4) for k in range(3000)]
+    job = J._Deadline(limit)
+    job.init(handle)
+    for part in (rows[:1000], rows[1000:]):
+        frames = [pd.DataFrame(part[i::3], columns=["page", "seq", "at"]) for i in range(3)]
+        out += [tuple(r) for f in job.handleInputRows((7,), iter(frames), None) for r in f.itertuples(index=False)]
+    assert handle.calls <= 5 and len(handle.timers) == 1
+    assert sorted(out, key=repr) == ends_of(rows, limit) and len(out) == 2600
+
+
 def test_condition_table(spark):
     conditions.register(spark)
     rows = spark.sql("SELECT c.* FROM VALUES (2000, 1000), (10, 5), (null, 3) AS t(w, h), LATERAL delivery_conditions(w, h, 'width, height') c").collect()
