@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the text contracts define it.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch that goes to a Python worker inside ``small_batches``.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +48,21 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches for Python end at ``BATCH_BYTES`` or with one larger row, for queries that run inside.
+
+    Spark by itself counts 10,000 rows, so long rows make batches of any size,
+    which the executor and its worker both hold.
+    """
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 #: Paths of the tables that this driver has written, in order.
 written: list[str] = []
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm import bytescan as B
-from scoreloom.llm.common import SPACES, fresh, stage
+from scoreloom.llm.common import SPACES, fresh, small_batches, stage
 
 #: Least number of words of an aligned block that is deleted, unless told otherwise.
 BLOCK_WORDS = 20
@@ -195,7 +195,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     key = F.xxhash64(F.col(text_col))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key.alias("v"), F.col(text_col).alias("text"))
-    found = stage(rows.mapInArrow(_run_batches(least), "id long, v long, w1 long, w2 long, at array<int>, lines array<long>, words array<int>"), "runs")
+    with small_batches(docs.sparkSession):
+        found = stage(rows.mapInArrow(_run_batches(least), "id long, v long, w1 long, w2 long, at array<int>, lines array<long>, words array<int>"), "runs")
     who = F.struct("id", "v")
     heads = found.groupBy("w1", "w2").agg(F.min(F.struct("id", "v", "at")).alias("head"), F.max(who).alias("tail"))
     heads = heads.where("struct(head.id, head.v) <> tail").select("w1", "w2", F.col("head.id").alias("p"), F.col("head.v").alias("pv"), F.col("head.at").alias("there"))
@@ -203,7 +204,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = found.join(heads, ["w1", "w2"]).where((F.col("id") != F.col("p")) | (F.col("v") != F.col("pv")))
     each = pairs.groupBy("id", "v", "p", "pv").agg(F.collect_set(F.struct(F.col("at").alias("here"), "there", "lines", "words")).alias("shared"))  # repeated rows give one set
     gone = each.select("id", "v", "shared").mapInArrow(_align_batches(least), "id long, v long, removed array<int>")
-    return gone.groupBy("id", "v").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("removed")))).alias("removed"))
+    gone = gone.groupBy("id", "v").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("removed")))).alias("removed"))
+    with small_batches(docs.sparkSession):
+        return stage(gone, "gone")
 
 
 def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -241,11 +244,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = repeated_lines(docs, id_col, text_col, least)
     k, v, r = fresh(docs, "join_id", "join_version", "removed")
     marked = docs.withColumn(k, F.col(id_col).cast("long")).withColumn(v, F.xxhash64(F.col(text_col)))
-    marked = marked.join(gone.select(F.col("id").alias(k), F.col("v").alias(v), F.col("removed").alias(r)), [k, v], "left")
+    gone = gone.select(F.col("id").alias(k), F.col("v").alias(v), F.col("removed").alias(r))
+    marked = marked.join(gone.hint("merge"), [k, v], "left")  # the same plan at every size: the lines grow with the texts
 
     def cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
         return _without(texts, removed)
 
-    new = F.arrow_udf(cut, "string")(F.col(text_col), F.col(r))
-    out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    changes = F.size(r) > 0
+    new = F.arrow_udf(cut, "string")(F.when(changes, F.col(text_col)), F.col(r))  # other texts need not go to the workers
+    out = [F.when(changes, new).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return marked.select(*out, *([F.coalesce(F.size(r), F.lit(0)).cast("long").alias(count_col)] if count_col else []))

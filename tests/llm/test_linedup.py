@@ -1,5 +1,6 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
 from samples import prose
 
 from scoreloom.llm import linedup as L
@@ -135,6 +136,55 @@ def test_many_partners_give_rows_in_proportion(spark):
     assert removed(spark.createDataFrame(docs, "doc_id long, text string")) == {1000: set(range(300))}
 
 
+def test_workers_get_batches_of_bounded_size(spark, monkeypatch, tmp_path):
+    """Long texts and long lists of shared runs: Spark's own batches, of 10,000 rows, would have 90 and 30 MB here."""
+
+    def noted(name):
+        made = getattr(L, name)
+
+        def wrapped(least):
+            def run(batches, inner=made(least)):
+                def seen():
+                    for batch in batches:
+                        with (tmp_path / name).open("a") as f:
+                            f.write(f"{batch.num_rows} {batch.nbytes}\n")
+                        yield batch
+
+                yield from inner(seen())
+
+            return run
+
+        monkeypatch.setattr(L, name, wrapped)
+
+    for name in ("_run_batches", "_align_batches"):
+        noted(name)
+    text, n = "\n".join(prose(k, 20) for k in range(300)), 2500
+    docs = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.lit("\nnumber "), F.col("id").cast("string")).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    out = L.drop_repeated_lines(docs, count_col="n").groupBy("n", F.col("text").startswith("number")).count().collect()
+    assert {tuple(r) for r in out} == {(0, False, 1), (300, True, n - 1)}
+    for name, rows in (("_run_batches", n), ("_align_batches", n - 1)):
+        sizes = [tuple(map(int, x.split())) for x in (tmp_path / name).read_text().splitlines()]
+        print(name, len(sizes), "batches, largest", max(b for _, b in sizes))
+        assert sum(k for k, _ in sizes) == rows and max(b for _, b in sizes) <= 5 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def test_only_texts_that_change_go_to_the_workers(spark, monkeypatch, tmp_path):
+    cut = L._without
+
+    def noted(texts, removed):
+        with (tmp_path / "texts").open("a") as f:
+            f.write("".join(f"{x}\n" for x in texts.is_valid().to_pylist()))
+        return cut(texts, removed)
+
+    monkeypatch.setattr(L, "_without", noted)
+    docs = [(k, prose(k % 40, 30)) for k in range(50)] + [(90, None), (91, "")]
+    out = {r.doc_id: r.text for r in L.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {k: "" if 40 <= k < 50 else x for k, x in docs}
+    assert Counter((tmp_path / "texts").read_text().split()) == {"True": 10, "False": 42}
+
+
 def test_alignment():
     assert L.patience([(0, 5), (1, 1), (2, 2), (3, 0), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
     assert L.align(dict(enumerate([1, 2, 3, 2])), dict(enumerate([9, 1, 2, 3]))) == [(0, 1), (1, 2), (2, 3)]
